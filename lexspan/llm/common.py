@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +66,29 @@ def rows_of(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[
 
 def as_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted, partitioned rows as arrays, cut only where one of the first `keys` columns changes. What is held is a
+    batch and the group that it breaks off in."""
+    kept: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if kept is not None:
+            now = [np.concatenate(x) for x in zip(kept, now, strict=True)]
+        differs = np.zeros(len(now[0]) - 1, dtype=bool)
+        for column in now[:keys]:
+            differs |= column[1:] != column[:-1]
+        edges = np.flatnonzero(differs)
+        cut = int(edges[-1]) + 1 if len(edges) else 0
+        kept = [x[cut:].copy() for x in now]
+        if cut:
+            yield [x[:cut] for x in now]
+    if kept is not None and len(kept[0]):
+        yield kept
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
