@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspan.llm import ann, bpe, chat, packing, passages, pii, quality, secrets, simhash, toxicity
+from lexspan.llm import ann, bpe, chat, oracles, packing, passages, pii, quality, secrets, simhash, toxicity
 from lexspan.llm.common import table
 
 
@@ -53,4 +53,4 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii_pseudonyms, op3_secret_scan, op4_substring_dedup, op5_chat_format, op6_nearest_vectors, op7_packing, op8_byte_bpe, op9_quality_rules, op10_simhash_groups)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = dict(oracles.SQL)

@@ -234,28 +234,32 @@ def spans(text: Column, rule: Rule) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(shape))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block: int = 1024) -> DataFrame:
-    """(doc_id, found): for each row of docs all spans of all rules, by start and then by rule."""
-    spark = docs.sparkSession
+def _scan(docs: DataFrame, rules: tuple[Rule, ...], block: int) -> DataFrame:
+    """(doc_id, h, found), h being the text's hash: rows may repeat an id with another text."""
     texts = id_text(docs)
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     keyed = [r for r in rules if queries[r.kind] is not True]
     full = [r for r in rules if queries[r.kind] is True]
     none = F.array().cast("array<struct<start:bigint,ends_at:bigint,rank:int,kind:string>>")
     every = lambda of: F.array_sort(F.concat(none, *of))
+    h = F.xxhash64("text").alias("h")
     scanned = every([F.when(F.rlike("text", F.lit(r.java)), spans(F.col("text"), r)).otherwise(none) for r in full])
     if not keyed:
-        return texts.select("doc_id", scanned.alias("found"))
-    work = Tables(spark, "secrets")
+        return texts.select("doc_id", h, scanned.alias("found"))
+    work = Tables(docs.sparkSession, "secrets")
     wanted = set().union(*(trigrams(queries[r.kind]) for r in keyed))
     index = work.put("index", build_index(texts, wanted, block))
     picked = work.put("candidates", candidates(index, {r.kind: queries[r.kind] for r in keyed}))
     verify = every([F.when(F.array_contains("kinds", r.kind), spans(F.col("text"), r)).otherwise(none) for r in keyed])
-    # rows may repeat an id with another text, so the text's hash goes along
-    checked = work.put("checked", texts.where("doc_id is not null").join(picked, "doc_id").select("doc_id", "text", verify.alias("b")).where(F.size("b") > 0).select("doc_id", F.xxhash64("text").alias("h"), "b").distinct())
+    checked = work.put("checked", texts.where("doc_id is not null").join(picked, "doc_id").select("doc_id", h, verify.alias("b")).where(F.size("b") > 0).distinct())
     no_id = every([spans(F.col("text"), r) for r in keyed])
-    with_hash = texts.select("doc_id", F.xxhash64("text").alias("h"), scanned.alias("a"), F.when(F.col("doc_id").isNull(), no_id).alias("c"))
-    return with_hash.join(checked, ["doc_id", "h"], "left").select("doc_id", F.array_sort(F.concat("a", F.coalesce("b", "c", none))).alias("found"))
+    with_hash = texts.select("doc_id", h, scanned.alias("a"), F.when(F.col("doc_id").isNull(), no_id).alias("c"))
+    return with_hash.join(checked, ["doc_id", "h"], "left").select("doc_id", "h", F.array_sort(F.concat("a", F.coalesce("b", "c", none))).alias("found"))
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block: int = 1024) -> DataFrame:
+    """(doc_id, found): for each row of docs all spans of all rules, by start and then by rule."""
+    return _scan(docs, rules, block).select("doc_id", "found")
 
 
 def said(found: Column) -> Column:
@@ -269,12 +273,16 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("found")).alias("spans"))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]", block: int = 1024) -> DataFrame:
     """The documents with each secret (overlapping ones as one) replaced by `mark`; n_chars, if there, is counted anew."""
+    names = docs.columns
+    taken = {n.lower() for n in names}
+    h, found, key = (next(x for x in (n, *(f"{n}_{i}" for i in range(len(taken) + 1))) if x not in taken) for n in ("h", "found", "key"))
     work = Tables(docs.sparkSession, "redact")
-    some = work.put("found", scan(docs, rules).where("doc_id is not null and size(found) > 0").groupBy("doc_id").agg(F.first("found").alias("found")))
+    hits = _scan(docs, rules, block).where("size(found) > 0").distinct()
+    some = work.put("found", hits.select(F.col("doc_id").alias(key), F.col("h").alias(h), F.col("found").alias(found)))
     where = F.aggregate(
-        "found",
+        found,
         F.struct(F.lit(1).cast("bigint").alias("at"), F.lit("").alias("out")),
         lambda acc, x: F.struct(
             F.greatest(acc["at"], x["ends_at"] + 1).alias("at"),
@@ -282,8 +290,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"], F.length("text"))),
     )
-    names = docs.columns
-    out = docs.join(some, "doc_id", "left").withColumn("text", F.when(F.col("found").isNotNull(), where).otherwise(F.col("text")))
+    # null-safe, as documents without an id are scanned too
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col(h))
+    hit = F.col(found).isNotNull()
+    out = docs.join(some, same, "left").withColumn("text", F.when(hit, where).otherwise(F.col("text")))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("found").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*names)

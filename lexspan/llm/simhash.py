@@ -10,8 +10,8 @@ planes, 64 rows to a word; distances of many rows are updated plane by plane in
 radius, and a block is abandoned once all its rows exceed it. A bucket gives a spanning tree of what it links, never all pairs.
 Components come from minimum labels with pointer jumping over written tables.
 
-Cases: a null text is the empty one; texts without words have fingerprint zero and link like any other; a null doc_id is a
-member without an id: it takes the group's smallest id if there is one, else null; repeated rows each give a row; an empty table gives no rows;
+Cases: a null text is the empty one; texts without words have fingerprint zero and link like any other; a null doc_id belongs
+to the group of its fingerprint if a document with an id has that fingerprint, else to none (null); repeated rows each give a row; an empty table gives no rows;
 other columns are ignored.
 """
 

@@ -1,0 +1,503 @@
+"""Each operator against brute force, an exact round trip or held-out accuracy, and its edge cases."""
+
+import hashlib
+import os
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lexspan.llm import ann, bpe, chat, packing, passages, pii, quality, secrets, simhash, toxicity
+
+DOCS = "doc_id bigint, text string"
+#: Columns whose names the operators use inside.
+CLASH = ("h", "fp", "found", "hits", "key", "kinds", "node", "label", "spans", "_spans", "n_words", "low")
+tables = pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+
+
+def docs(spark, *texts):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOCS)
+
+
+def words(n, seed, size=4000):
+    r = random.Random(seed)
+    return [f"w{r.randrange(size)}" for _ in range(n)]
+
+
+def edge_cases(spark):
+    """Null ids and texts, an empty and a very long text, repeated rows and clashing column names."""
+    long = " ".join(words(30_000, 1))
+    rows = [(1, None), (2, ""), (None, "password=abcdefgh12 a b"), (None, None), (3, "  \n\t "), (4, long), (5, "same text here again"), (5, "same text here again"), (6, "same text here again")]
+    return spark.createDataFrame(rows, DOCS).withColumns({n: F.lit("x") for n in CLASH})
+
+
+FRAMES = {
+    "toxicity": lambda d: toxicity.score(d, toxicity.OrdinalModel({"bad": 1.0}, [1.0, 2.0])),
+    "pii": pii.pseudonymise,
+    "secrets": lambda d: secrets.digests(secrets.scan(d)),
+    "redact": secrets.redact,
+    "packing": packing.pack,
+    "bpe": bpe.encode_documents,
+    "quality": quality.quality,
+    "keep_good": quality.keep_good,
+    "simhash": simhash.groups,
+    "keep_first": simhash.keep_first,
+    "passages": passages.passages,
+    "drop_passages": passages.drop_passages,
+}
+
+
+@pytest.mark.parametrize("name", FRAMES)
+def test_edges_and_empty_tables(spark, name):
+    d = edge_cases(spark)
+    made = FRAMES[name](d)
+    rows = made.collect()
+    if name in ("toxicity", "pii", "secrets", "bpe", "quality", "simhash", "redact"):
+        assert len(rows) == 9
+    if name in ("redact", "keep_good", "keep_first", "drop_passages"):
+        assert made.columns == d.columns
+    nothing = FRAMES[name](d.limit(0))
+    assert nothing.count() == 0
+    assert nothing.columns == made.columns
+
+
+# Toxicity
+
+
+@tables
+def test_toxicity_held_out(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(d, labels, sample=1200)
+    assert model.thresholds == sorted(model.thresholds)
+    trained = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    seen = [trained.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(600) for t in (0, 1)]
+    held = trained.join(seen[0].unionByName(seen[1]).select("doc_id"), "doc_id", "left_anti")
+    rows = toxicity.score(d, model).join(held, "doc_id").collect()
+    pairs = [(r[-1], r["expected_severity"]) for r in rows]
+    hit = Counter((bool(t), s > 0.5) for t, s in pairs)
+    assert hit[(True, True)] + hit[(False, False)] >= 0.98 * len(pairs)
+
+
+def test_toxicity_without_labels():
+    assert toxicity.learn([], []).score("a", {}) == (0.0, 0, False)
+    assert toxicity.learn(["a b"], [1]).thresholds == []
+
+
+def test_ordinal_order():
+    r = random.Random(3)
+    grades = [r.randrange(4) for _ in range(400)]
+    texts = [" ".join(["bad"] * (2 * g) + words(10, i)) for i, g in enumerate(grades)]
+    model = toxicity.fit([toxicity.vector_of(t) for t in texts], grades, ["bad", "^bad"])
+    score = [model.score(" ".join(["bad"] * n + ["x"]), {})[0] for n in range(7)]
+    assert score == sorted(score)
+    assert score[0] < 0.5 < 2.5 < score[6]
+
+
+# PII
+
+
+def luhn(d):
+    return sum((x * 2 - 9 if x > 4 else x * 2) if i % 2 else x for i, x in enumerate(map(int, reversed(d))))
+
+
+def test_pii_formats(spark):
+    text = "m bob.Ab-42@mail8.example.com 10.1.2.255 +1 (988) 555-2485 4041894974608795 4041-8949-7460-8795 123-45-6789 2001-02-29 2000-02-29 31.12.1999 12/31/1999 999.1.1.1 4041894974608796"
+    rows = pii.pseudonymise(docs(spark, text, "bob.Ab-42@mail8.example.com 1999-12-31 4041 8949 7460 8795", "none 12")).orderBy("doc_id").collect()
+    new = rows[0]["text"].split()
+    old = text.split()
+    assert rows[2]["text"] == "none 12"
+    assert [i for i, (a, b) in enumerate(zip(old, new)) if a != b] == [1, 2, 4, 5, 6, 7, 8, 10, 11, 12]
+    assert all(re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "9", a))) == re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "9", b))) or i == 2 for i, (a, b) in enumerate(zip(old, new)))
+    assert luhn(new[6]) % 10 == 0 and new[7].replace("-", "") == new[6]
+    other = rows[1]["text"].split()
+    assert other[0] == new[1]
+    y, m, day = other[1].split("-")
+    assert new[11] == f"{day}.{m}.{y}" and new[12] == f"{m}/{day}/{y}"
+    assert "".join(other[2:]) == new[6]
+    assert (rows[0]["n_email"], rows[0]["n_date"], rows[0]["n_ip"], rows[0]["n_ssn"], rows[0]["n_phone"], rows[0]["n_card"]) == (1, 3, 1, 1, 1, 2)
+
+
+def test_pii_is_a_permutation(spark):
+    days = spark.range(0, 146097, 7).select("id", F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
+    out = pii.pseudonymise(days.withColumnRenamed("id", "doc_id"), "k1")
+    assert out.select("text").distinct().count() == out.count()
+    ips = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat_ws(".", F.lit("10"), (F.col("id") / 65536).cast("int") % 256, (F.col("id") / 256).cast("int") % 256, F.col("id") % 256).alias("text"))
+    out = pii.pseudonymise(ips)
+    assert out.select("text").distinct().count() == 20000
+    assert out.where("n_ip <> 1").isEmpty()
+    assert pii.pseudonymise(ips, "other").join(out.select("doc_id", F.col("text").alias("t2")), "doc_id").where("text = t2").count() < 5
+
+
+# Secrets
+
+
+def brute_spans(text):
+    found = []
+    for rank, r in enumerate(secrets.RULES):
+        for m in re.finditer(r.pattern, text, re.I | re.A if r.nocase else re.A):
+            if len(m[r.group]) >= r.least:
+                found.append((m.start(), rank, f"{r.kind}:{m.start()}:{m.end()}"))
+    return [x for _, _, x in sorted(found)]
+
+
+def test_secrets_brute_force(spark):
+    r = random.Random(5)
+    bits = ["password", "PASSWD", "Token", "api_key", "ApiKey", "secret", "=", ":", " ", '"', "'", "abcdefgh", "0123456789abcdef" * 2, "AKIA", "ABCDEFGHIJ12", "é😀", "\n", "ghp_" + "a1" * 18, "xoxb-1234567890", "-----BEGIN RSA PRIVATE KEY-----", "x"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(25))) for _ in range(400)] + ["token: secret : abcdefghij", "token=token=abcdefgh1", "AKIA" * 9, "a" * 40 + "g" + "b" * 31]
+    rows = secrets.digests(secrets.scan(docs(spark, *texts), block=64)).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        every = brute_spans(texts[row["doc_id"]])
+        base = [x for x in every if x.split(":")[0] in ("assign", "access", "hex")]
+        assert row["spans"] == ",".join(every)
+        assert row["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [row[f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x.startswith(k + ":") for x in base) for k in ("assign", "access", "hex")]
+
+
+def holds(query, text):
+    if query is True:
+        return True
+    if isinstance(query, str):
+        return query in text.lower()
+    return (all if query[0] == "and" else any)(holds(q, text) for q in query[1])
+
+
+def test_trigram_queries_admit_every_match():
+    samples = {"assign": 'Api_Key" : \'abcdefgh1', "access": "AKIAABCDEFGHIJKL", "github": "ghs_" + "x" * 36, "slack": "xoxr-1234567890", "stripe": "rk_live_" + "a" * 16, "google": "AIza" + "b" * 35, "jwt": "eyJ" + "a" * 8 + ".eyJ" + "b" * 8 + "." + "c" * 8, "private_key": "-----BEGIN PRIVATE KEY-----"}
+    for r in secrets.RULES:
+        q = secrets.trigram_query(r.pattern)
+        assert (q is True) == (r.kind == "hex")
+        if r.kind in samples:
+            assert re.search(r.pattern, samples[r.kind], re.I if r.nocase else 0)
+            assert holds(q, samples[r.kind])
+            assert not holds(q, "nothing of the sort")
+
+
+def test_redaction(spark):
+    d = docs(spark, "é password=abcdefgh12 and AKIAABCDEFGHIJKLMN.", "clean").withColumn("n_chars", F.length("text").cast("bigint"))
+    rows = secrets.redact(d).orderBy("doc_id").collect()
+    assert [r["text"] for r in rows] == ["é [SECRET] and [SECRET].", "clean"]
+    assert [r["n_chars"] for r in rows] == [24, 5]
+
+
+# Passages
+
+
+def test_passages_fuzzy_and_shared(spark):
+    shared = words(70, 9)
+    fuzzy = shared[:20] + ["new"] + shared[22:45] + shared[46:]
+    texts = [" ".join(words(100, 100 + i) + (shared if i % 3 else fuzzy) + words(80, 200 + i)) for i in range(12)] + [" ".join(words(300, 300 + i)) for i in range(10)]
+    rows = passages.passages(docs(spark, *texts)).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in rows] == list(range(1, 12))
+    for r in rows:
+        assert r["source_doc_id"] < r["doc_id"]
+        assert abs(r["start_word"] - 100) <= 3 and abs(r["end_word"] - 170) <= 4
+        assert r["similarity"] >= 0.8
+    left = passages.drop_passages(docs(spark, *texts)).orderBy("doc_id").collect()
+    assert left[0]["text"] == texts[0] and left[15]["text"] == texts[15]
+    assert all(175 <= len(r["text"].split()) <= 188 for r in left[1:12])
+
+
+def test_passages_split_between_sources(spark):
+    a, b = words(34, 1, 10**6), words(34, 2, 10**6)
+    texts = [" ".join(words(60, 10, 10**6) + a), " ".join(b + words(60, 11, 10**6)), " ".join(words(50, 12, 10**6) + a + b + words(50, 13, 10**6))]
+    rows = passages.passages(docs(spark, *texts)).collect()
+    assert [(r["doc_id"], r["n_sources"]) for r in rows] == [(2, 2)]
+    assert (rows[0]["start_word"], rows[0]["end_word"]) == (50, 118)
+
+
+def test_chain_against_all_orders():
+    r = random.Random(4)
+    for _ in range(60):
+        fragments = sorted({(a, a + r.randrange(3), b) for a, b in ((r.randrange(60), r.randrange(60)) for _ in range(8))})
+        best = passages.chain(fragments, 5, 0.1)[0]
+
+        def value(c):
+            return sum(x[1] - x[0] + 5 for x in c) - 0.1 * sum(y[0] - x[1] + y[2] - (x[2] + x[1] - x[0]) for x, y in zip(c, c[1:]))
+
+        def every(start):
+            yield start
+            for f in fragments:
+                last = start[-1]
+                if f[0] > last[1] and f[2] > last[2] + last[1] - last[0]:
+                    yield from every([*start, f])
+
+        assert value(best) == pytest.approx(max(value(c) for f in fragments for c in every([f])))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=20), st.lists(st.sampled_from("abcd"), max_size=20))
+def test_common_words(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    assert passages.common_words(a, b) == table[-1][-1]
+
+
+def test_word_hashes_do_not_depend_on_parts():
+    texts = ["Ab é  c\n", "", " ", "x" * 50 + " y"] * 3
+    for part in (4, 16, 1 << 18):
+        h, owner = passages.hash_words(texts, part)
+        assert len(h) == sum(len(t.encode().split()) for t in texts)
+        assert owner.tolist() == [i for i, t in enumerate(texts) for _ in t.encode().split()]
+        assert len(set(h.tolist())) == 5
+    assert passages.without("a  b c\nd", [(1, 3)]) == "a  d"
+    assert passages.without("a b", [(0, 9)]) == ""
+
+
+# Chats
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("<|\\>nab\n")))
+def test_escapes_round_trip(text):
+    assert chat.unescape(chat.escape(text)) == text
+    assert "<|" not in chat.escape(text)
+    assert chat.parse(chat.render([(text, text)])[0]) == [(text, text)]
+
+
+def test_chats(spark):
+    said = "<|im_end|><|im_start|>assistant ok"
+    rows = [(-1, 0, "user", said), (-1, 1, "assistant", said), (2, 1, "assistant", "\n 😀é <\\| x  "), (2, None, None, None), (2, 0, "a\nb", "q"), (2, 2, "assistant", ""), (None, 0, "user", "lost")]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({"ids": F.lit(1), "loss": F.lit(2)})
+    found = {r["conv_id"]: r for r in chat.format_chats(table).collect()}
+    assert set(found) == {-1, 2}
+    for conv, r in found.items():
+        turns = [(role or "", text or "") for c, n, role, text in sorted((x for x in rows if x[0] == conv), key=lambda x: -1 if x[1] is None else x[1])]
+        own = "".join(t for role, t in turns if role == "assistant")
+        assert r["n_turns"] == len(turns)
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(own), hashlib.sha256(own.encode()).hexdigest())
+        assert len(r["ids"]) == len(r["loss"])
+    assert chat.format_chats(table.limit(0)).count() == 0
+
+
+# Vectors
+
+
+def test_neighbours_recall_and_cases(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5050, [0.0] * 32), (5100, [float("nan")] * 32), (5150, [None] * 32), (5200, [1.0]), (None, x[0].tolist()), (7, x[7].tolist()), (6000, x[100].tolist()), (6001, x[100].tolist())]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("label", F.lit(1))
+    found: dict = {}
+    for r in ann.search(table, block=512, queries=32).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    ids = np.array([*range(3000), 6000, 6001])
+    all_x = np.vstack([x, x[100], x[100]])
+    unit = all_x / np.linalg.norm(all_x, axis=1, keepdims=True)
+    hit = 0
+    assert sorted(found) == [i for i in range(3000) if i % 50 == 0] + [6000]
+    for q, got in found.items():
+        at = int(np.flatnonzero(ids == q)[0])
+        s = unit @ unit[at]
+        s[at] = -9
+        best = np.lexsort((ids, -np.round(s, 12)))[:5]
+        hit += len({v for _, v, _ in got} & set(ids[best].tolist()))
+        assert [r for r, _, _ in sorted(got)] == [1, 2, 3, 4, 5]
+    assert hit >= 0.9 * 5 * len(found)
+    assert [v for _, v, _ in sorted(found[100])[:2]] == [6000, 6001]
+    assert [v for _, v, _ in sorted(found[6000])[:2]] == [100, 6001]
+    assert ann.search(table.limit(0)).count() == 0
+
+
+def test_probing_is_exact():
+    rng = np.random.default_rng(1)
+    codes = rng.integers(0, 256, size=(700, 16), dtype=np.uint8)
+    made = ann.MultiIndex(codes)
+    for radius in (0, 15, 40, 52, 63):
+        for q in codes[:20]:
+            d = np.bitwise_count(codes ^ q).sum(axis=1)
+            assert made.within(q, radius).tolist() == np.flatnonzero(d <= radius).tolist()
+
+
+# Packing
+
+
+def test_best_fit_decreasing():
+    r = random.Random(1)
+    for window in (7, 16, 100):
+        lengths = [r.randint(1, window) for _ in range(300)]
+        open_: list[int] = []
+        for n in sorted(lengths, reverse=True):
+            fits = [i for i, room in enumerate(open_) if room >= n]
+            if fits:
+                open_[min(fits, key=lambda i: open_[i])] -= n
+            else:
+                open_.append(window - n)
+        placed = packing.best_fit_decreasing(lengths, window)
+        assert 1 + max(a for a, _ in placed) == len(open_)
+        used = Counter()
+        for n, (a, at) in sorted(zip(lengths, placed), key=lambda x: x[1]):
+            assert used[a] == at
+            used[a] += n
+        assert max(used.values()) <= window
+
+
+@tables
+def test_packing_against_tokenizers(spark, small):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    d = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6, "a <|endoftext|>  b   c \n\n d"), (10**6 + 1, None)], DOCS))
+    texts = {r["doc_id"]: r["text"] or "" for r in d.collect()}
+    by, by_sequence = {}, {}
+    for r in packing.pack(d).collect():
+        by.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+    assert set(by) == set(texts)
+    for doc, rows in by.items():
+        ids = np.array([*t.encode(texts[doc], add_special_tokens=False).ids, 1], dtype="<u4")
+        at = 0
+        for r in sorted(rows, key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    for rows in by_sequence.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048
+
+
+# Byte BPE
+
+
+@pytest.fixture(scope="module")
+def coder():
+    import public_tokenizers
+
+    return bpe.ByteBpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, chunk=40, overlap=8)
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=st.text(st.one_of(st.sampled_from(" \t\n'sl12éß漢😀. "), st.characters(max_codepoint=0x2FF, exclude_categories=("Cs",))), max_size=300))
+def test_chunked_encoding(coder, text):
+    ids, n, chunks = coder.encode(text)
+    assert ids.tolist() == coder.bpe.encode_ordinary(text)
+    assert coder.decode(ids) == text.encode()
+    assert chunks == 1 or len(text) > 48
+
+
+def test_long_runs(coder):
+    for text in (" " * 500 + "a", "a" * 500, "\n \n" * 200, "'s" * 200, "x" * 39 + "  " + "y" * 60):
+        assert coder.encode(text)[0].tolist() == coder.bpe.encode_ordinary(text)
+
+
+# Quality rules
+
+
+def brute_quality(text):
+    found = [(m.start(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    ws = [w for _, w in found]
+    threes = [tuple(ws[i : i + 3]) for i in range(len(ws) - 2)]
+    covered = {i + j for i, t in enumerate(threes) if threes.count(t) > 1 for j in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text)), sum(x in lines[:i] for i, x in enumerate(lines)), len(covered)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("ab \n\t\x0b\x1c\xa0é#|"), max_size=80))
+def test_quality_brute_force(text):
+    found, _ = quality.judge(text)
+    assert found[:5] == brute_quality(text)
+
+
+def test_line_rules():
+    prose = "\n".join(" ".join(words(12, i)) + "." for i in range(8))
+    found, left = quality.judge(prose + "\nHome | About | Contact | Help\nAll rights reserved.\n#### $$$$ %%%%")
+    assert left == prose
+    assert found[5:8] == (False, True, 3)
+    assert quality.judge(prose)[1] == prose
+    junk = "\n".join("Home | A | B | " + " ".join(words(12, i)) for i in range(8))
+    assert quality.judge(junk)[0][5:7] == (False, False)
+
+
+def test_keep_good(spark):
+    prose = " ".join(words(80, 3)) + "."
+    d = spark.createDataFrame([(1, prose, 5), (2, "short", 5), (3, prose + "\nAll rights reserved.", 5)], "doc_id bigint, text string, n_chars int")
+    assert [tuple(r) for r in quality.keep_good(d).orderBy("doc_id").collect()] == [(1, prose, len(prose)), (3, prose, len(prose))]
+
+
+# SimHash
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    ws = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    if not ws:
+        return 0
+    shingles = [" ".join(ws[i : i + 4]) for i in range(max(1, len(ws) - 3))]
+    hs = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_fingerprints():
+    for text in ("", " \n", "One", "a b c", "A b C D", "é A b c d É\x1ce", " ".join(words(200, 1))):
+        assert simhash.fingerprint(text) == brute_fingerprint(text)
+
+
+def clusters(n=900):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, n // 3, dtype=np.uint64)
+    hot = base[0] ^ np.array([sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in range(n // 3)], dtype=np.uint64)
+    near = base ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 7), replace=False)) for _ in base], dtype=np.uint64)
+    return np.unique(np.concatenate([base, hot, near]))
+
+
+def pairs(fps, radius=4):
+    return {(i, i + 1 + int(j)) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius)}
+
+
+def test_bit_sliced_distances():
+    fps = clusters(300)
+    want = pairs(fps)
+    lanes = np.unpackbits(simhash.near(fps, simhash.planes_of(fps), 4).view(np.uint8), axis=1, bitorder="little")[:, : len(fps)]
+    assert {(int(a), int(b)) for a, b in zip(*np.nonzero(lanes)) if a < b} == want
+    a, b = simhash.shifted_pairs(fps, np.zeros(len(fps), dtype=np.int64), 4, len(fps))
+    assert set(zip(a.tolist(), b.tolist())) == want
+
+
+@pytest.mark.parametrize("most", [4096, 40])
+def test_components_of_fingerprints(spark, most):
+    from lexspan.llm.common import Tables
+
+    fps = clusters()
+    nodes = np.random.default_rng(1).permutation(len(fps))
+    table = spark.createDataFrame([(int(f.astype(np.int64)), int(n)) for f, n in zip(fps, nodes)], "fp bigint, node bigint")
+    work = Tables(spark, "test")
+    labels = {r["node"]: r["label"] for r in simhash.components(work.put("edges", simhash.near_links(table, work, most=most)), work).collect()}
+    forest = simhash.Forest()
+    for i, j in pairs(fps):
+        forest.join(int(nodes[i]), int(nodes[j]))
+    assert {int(n): labels.get(int(n), int(n)) for n in nodes} == {int(n): forest.root(int(n)) for n in nodes}
+
+
+def test_components_of_a_path(spark):
+    from lexspan.llm.common import Tables
+
+    order = random.Random(2).sample(range(200), 200)
+    edges = spark.createDataFrame(list(zip(order, order[1:])), "a bigint, b bigint")
+    rows = simhash.components(edges, Tables(spark, "test")).collect()
+    assert {r["node"] for r in rows} == set(range(200))
+    assert {r["label"] for r in rows} == {0}
+
+
+def test_groups(spark):
+    a, b = " ".join(words(300, 1)), " ".join(words(300, 2))
+    rows = simhash.groups(docs(spark, a, b, a.upper().replace("W", "w"), "", None)).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in rows] == [0, 1, 0, 3, 3]
+    assert rows[3]["fingerprint"] == "0" * 16
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs(spark, a, b, a)).collect()) == [0, 1]
