@@ -555,3 +555,13 @@ def stream_chunks(spark, sf_dir):
 @query()
 def stream_sessions(spark, sf_dir):
     return _streamed(spark, sf_dir, streams.mute_sessions)
+
+
+@query()
+def stream_gate(spark, sf_dir):
+    return _streamed(spark, sf_dir, lambda rows: streams.gated_blocks(rows.withColumn("dur_us", F.when(F.col("id") % 3 == 0, F.col("dur_us")))))
+
+
+@query()
+def stream_delay(spark, sf_dir):
+    return _streamed(spark, sf_dir, lambda rows: streams.delayed_blocks(rows, 5))

@@ -70,3 +70,47 @@ def mute_sessions(hits: DataFrame, late: str = "10 seconds") -> DataFrame:
 def ticker(stream: DataFrame, by: str = "key") -> DataFrame:
     """Running counts of a stream, for update mode."""
     return stream.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def gated_blocks(marks: DataFrame) -> DataFrame:
+    """marks(key, id, now_us, dur_us): a row with dur_us is a hit that sets a deadline, one without is a block. Gives each block's id,
+    now_us and muted. A micro-batch is taken in time order, hits before blocks of the same time."""
+    least = int(LEAST_MUTE_S * 1_000_000)
+
+    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        (until,) = state.get if state.exists else (-(1 << 62),)
+        rows = pd.concat(list(frames))
+        rows = rows.assign(block=rows["dur_us"].isna()).sort_values(["now_us", "block", "id"], kind="stable")
+        out = []
+        for id_, now, dur, block in zip(rows["id"].tolist(), rows["now_us"].tolist(), rows["dur_us"].tolist(), rows["block"].tolist(), strict=True):
+            if block:
+                out.append((key[0], id_, now, now < until))
+            else:
+                until = max(until, now + max(least, int(dur)))
+        state.update((until,))
+        yield pd.DataFrame(out, columns=["key", "id", "now_us", "muted"])
+
+    rows = marks.select("key", "id", "now_us", "dur_us")
+    return rows.groupBy("key").applyInPandasWithState(step, "key bigint, id bigint, now_us bigint, muted boolean", "until_us bigint", "append", "NoTimeout")
+
+
+def delayed_blocks(blocks: DataFrame, delay: int) -> DataFrame:
+    """blocks(key, id, now_us) → key, id, out_id: the block that plays when this one comes in, `delay` blocks before; null at first. The
+    state is the ids of so many blocks."""
+
+    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(frames)).sort_values(["now_us", "id"], kind="stable")
+        ids = rows["id"].tolist()
+        line = held + ids
+        out = [line[i - delay] if i >= delay else None for i in range(len(held), len(line))]
+        state.update((line[-delay:],))
+        yield pd.DataFrame({"key": key[0], "id": ids, "out_id": pd.array(out, dtype="Int64")})
+
+    rows = blocks.select("key", "id", "now_us")
+    return rows.groupBy("key").applyInPandasWithState(step, "key bigint, id bigint, out_id bigint", "held array<bigint>", "append", "NoTimeout")
+
+
+def play(stream: DataFrame, device, checkpoint: str):
+    """Hands each micro-batch to `device(frame, batch_id)`, the playback surface; batches that are tried again keep their number."""
+    return stream.writeStream.foreachBatch(device).option("checkpointLocation", checkpoint)

@@ -4,6 +4,7 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexspan.operators import live, manifest, match, timeline
@@ -149,3 +150,11 @@ def test_streams_equal_their_twins(spark, small):
     assert chunks.where("n_blocks <> 16 or n_samples <> 16384").isEmpty()
     blocks = queries.mute_events(spark, small).select((F.col("key") % 50).alias("key")).groupBy("key").count().select(F.sum(F.floor(F.col("count") / 16))).first()[0]
     assert chunks.count() == blocks
+
+    gated = queries.stream_gate(spark, small).select("id", "muted")
+    rows = queries.mute_events(spark, small).withColumn("key", F.col("key") % 50)
+    twin = live.gate(rows.where("id % 3 <> 0"), rows.where("id % 3 = 0")).select("id", "muted")
+    assert gated.exceptAll(twin).isEmpty() and twin.exceptAll(gated).isEmpty()
+    out = queries.stream_delay(spark, small).select("id", "out_id")
+    twin = rows.select("id", F.lag("id", 5).over(W.partitionBy("key").orderBy("now_us", "id")).alias("out_id"))
+    assert out.exceptAll(twin).isEmpty() and twin.exceptAll(out).isEmpty()
