@@ -51,6 +51,15 @@ def id_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def arrow(df: DataFrame, task, schema) -> DataFrame:
+    """mapInArrow with batches bounded in bytes: the session's spark.sql.execution.arrow.maxBytesPerBatch, which is set to 8 MB here
+    unless it has been set. A batch is held by the JVM and by the worker, for each core."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, "8m")
+    return df.mapInArrow(task, schema)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[tuple[list, list]]:
     """(first column, second column) as lists, texts of about `size` bytes or one row at a time."""
     for batch in batches:
