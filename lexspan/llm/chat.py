@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import as_batch, partitions, whole_groups
+from lexspan.llm.common import arrow, as_batch, partitions, whole_groups
 
 # The template's marks.
 START, END, SPEAKER = "<|im_start|>", "<|im_end|>", "assistant"
@@ -130,4 +130,4 @@ def format_chats(conversations: DataFrame, path: str | None = None) -> DataFrame
 
     rows = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt = rows.repartition(partitions(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(task, FIELDS)
+    return arrow(dealt.select("conv_id", "role", "text"), task, FIELDS)

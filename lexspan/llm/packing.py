@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexspan.llm.common import as_batch, id_text, rows_of
+from lexspan.llm.common import arrow, as_batch, id_text, rows_of
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
@@ -144,4 +144,4 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, pool: int = 8192,
                     yield flush()
         yield flush()
 
-    return id_text(docs).mapInArrow(task, PIECES)
+    return arrow(id_text(docs), task, PIECES)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import Tables, as_batch, id_text, partitions, rows_of, whole_groups
+from lexspan.llm.common import Tables, arrow, as_batch, id_text, partitions, rows_of, whole_groups
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
         for keys, texts in rows_of(batches):
             yield as_batch(schema, keys, np.array([fingerprint(x, words) for x in texts], dtype=np.uint64).astype(np.int64))
 
-    return id_text(docs).mapInArrow(task, "doc_id long, fp long")
+    return arrow(id_text(docs), task, "doc_id long, fp long")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -255,7 +255,7 @@ def near_links(classes: DataFrame, work: Tables, radius: int = 4, cuts: int = 6,
             yield as_batch(schema, *links_of(fp.view(np.uint64), node, starts, radius))
 
     dealt = paired.select(F.explode("buckets").alias("bucket"), "fp", "node").repartition(partitions(work.spark), "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(task, "a long, b long")
+    found = arrow(dealt, task, "a long, b long")
     return found.distinct()
 
 

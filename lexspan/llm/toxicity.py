@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import as_batch, id_text, rows_of
+from lexspan.llm.common import arrow, as_batch, id_text, rows_of
 
 FIELDS = "doc_id long, expected_severity double, grade long, toxic boolean"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("expected_severity", pa.float64()), ("grade", pa.int64()), ("toxic", pa.bool_())])
@@ -172,4 +172,4 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
         for keys, texts in rows_of(batches):
             yield as_batch(_SCHEMA, keys, *zip(*(model.score(x, cache) for x in texts), strict=True))
 
-    return id_text(docs).mapInArrow(task, FIELDS)
+    return arrow(id_text(docs), task, FIELDS)
