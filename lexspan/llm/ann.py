@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import Tables, as_batch, partitions
+from lexspan.llm.common import Tables, arrow, as_batch, partitions
 
 _RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -114,7 +114,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, sample: int = 20000, block: int = 1024, queries: int = 256, salts: int = 24, coder: Coder | None = None) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, sample: int = 20000, block: int = 1024, queries: int = 1024, salts: int = 24, coder: Coder | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose vec_id is divisible by `every`. `sample`: most rows that the codes are
     learned from (those of least hash of their id)."""
     spark = vectors.sparkSession
@@ -156,30 +156,41 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, sample: int = 20000,
     blocks = max(1, -(-asked.count() // queries))
     asked = asked.groupBy(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).alias("qb")).agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))
     asked = work.put("blocks", asked.select("qb", F.col("asked.vec_id").alias("query_ids"), F.flatten("asked.v").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")))
-    indexed = work.put("index", rows.mapInArrow(index, "part long, ids binary, vectors binary, codes binary"))
+    indexed = work.put("index", arrow(rows, index, "part long, ids binary, vectors binary, codes binary"))
     met = indexed.withColumns({"salt": F.pmod(F.xxhash64("part"), F.lit(salts)), "qb": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))}).join(asked, ["qb", "salt"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, best = None, {}  # of the pair of query block and salt that is being met: by query its k best so far
+
+        def flush() -> pa.RecordBatch:
+            rows = [(q, v, s) for q, (ids, scores) in best.items() for v, s in zip(ids.tolist(), scores.tolist(), strict=True)]
+            return as_batch(_RESULT, *(zip(*rows, strict=True) if rows else [[]] * 3))
+
         for batch in batches:
-            for ids, raw, codes, query_ids, flat in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(batch.num_rows):
+                qb, salt, ids, raw, codes, query_ids, flat = (c[0] for c in (x.to_pylist() for x in batch.slice(i, 1).columns))
+                if (qb, salt) != at:
+                    if best:
+                        yield flush()
+                    at, best, q = (qb, salt), {}, np.array(flat).reshape(-1, dim)
+                    query_codes = coder.codes(q)
                 ids, x = np.frombuffer(ids, dtype=np.int64), np.frombuffer(raw).reshape(-1, dim)
-                made, q = MultiIndex(np.frombuffer(codes, dtype=np.uint8).reshape(len(ids), -1)), np.array(flat).reshape(-1, dim)
-                out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * 2 + [np.zeros(0)]
-                parts = []
-                for own, vector, code in zip(query_ids, q, coder.codes(q), strict=True):
-                    at = made.within(code, coder.radius)
-                    at = at[ids[at] != own]
-                    score = cosine(vector[None, :], x[at])
-                    best = np.lexsort((ids[at], -score))
-                    if len(best) > k:  # repeated ids are merged later, so k different ones are kept
-                        _, first = np.unique(ids[at][best], return_index=True)
-                        best = best[np.sort(first)[:k]]
-                    parts.append((np.full(len(best), own), ids[at][best], score[best]))
-                if parts:
-                    out = [np.concatenate(z) for z in zip(*parts, strict=True)]
-                yield as_batch(_RESULT, *out)
-
-    found = met.select("ids", "vectors", "codes", "query_ids", "queries").mapInArrow(probe, "query_id long, vec_id long, score double")
+                made = MultiIndex(np.frombuffer(codes, dtype=np.uint8).reshape(len(ids), -1))
+                for own, vector, code in zip(query_ids, q, query_codes, strict=True):
+                    near = made.within(code, coder.radius)
+                    near = near[ids[near] != own]
+                    found, score = ids[near], cosine(vector[None, :], x[near])
+                    if own in best:
+                        found, score = np.concatenate([best[own][0], found]), np.concatenate([best[own][1], score])
+                    order = np.lexsort((found, -score))
+                    if len(order) > k:  # rows may repeat an id, so k different ones are kept
+                        _, first = np.unique(found[order], return_index=True)
+                        order = order[np.sort(first)[:k]]
+                    best[own] = (found[order], score[order])
+        if best:
+            yield flush()
+
+    found = arrow(met.select("qb", "salt", "ids", "vectors", "codes", "query_ids", "queries"), probe, "query_id long, vec_id long, score double")
     best = work.put("best", found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
