@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding in overlapping chunks.
 
-A text is cut into chunks that overlap; each is pre-tokenised on its own. Near a cut a chunk may see other pre-tokens than the
-whole text has, so neighbours are stitched at the first position in their overlap that both have as a pre-token boundary with
-the same pre-token behind it, far enough from the chunk's end; where there is none, the overlap grows. The pieces are then encoded, each pre-token
+A text is cut at fixed places into chunks that overlap; each is pre-tokenised on its own. Near a cut a chunk may see other
+pre-tokens than the whole text has, so neighbours are stitched where they resynchronise: at the first pre-token in their overlap that
+both have, far enough from the chunks' ends. From a true boundary on, pre-tokens depend on what follows alone, so the later
+chunk is right from there. Where there is none, the earlier chunk goes on. The pieces are then encoded, each pre-token
 once for a worker (a bounded cache); decoding concatenates the raw bytes of the ids.
 
 Cases: a null text is the empty one (no ids); a null doc_id is kept; repeated rows give repeated results; an empty table gives
@@ -12,14 +13,16 @@ no rows; other columns are ignored; a text of any length is encoded whole.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexspan.llm.common import as_batch, id_text, rows_of
+from lexspan.llm.common import arrow, as_batch, id_text, rows_of
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_pretokens long, n_chunks long"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_pretokens", pa.int64()), ("n_chunks", pa.int64())])
@@ -28,7 +31,7 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha
 class ByteBpe:
     """Encoder and decoder by a rank file. `chunk` and `overlap` are in characters."""
 
-    def __init__(self, path: str, pattern: str, chunk: int = 1 << 16, overlap: int = 1 << 9, cache: int = 1 << 18):
+    def __init__(self, path: str, pattern: str, chunk: int = 1 << 16, overlap: int = 1 << 9, cache: int = 1 << 18, workers: int = 1):
         import base64
 
         import regex
@@ -39,7 +42,7 @@ class ByteBpe:
         self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile(pattern).findall
         self.finditer = regex.compile(pattern).finditer
-        self.chunk, self.overlap, self.limit = chunk, overlap, cache
+        self.chunk, self.overlap, self.limit, self.workers = chunk, overlap, cache, workers
         self.cache: dict[str, bytes] = {}
         table = [b""] * (1 + max(ranks.values()))
         for raw, rank in ranks.items():
@@ -47,32 +50,48 @@ class ByteBpe:
         self.raw = table
 
     def pretokens(self, text: str) -> tuple[list[str], int]:
-        """The pattern's matches over the whole text, and how many chunks they came from."""
+        """The pattern's matches over the whole text, and how many chunks they came from. Chunks start at fixed places and are
+        pre-tokenised without regard to each other, on `workers` threads."""
         if len(text) <= self.chunk + self.overlap:
             return self.split(text), 1
+        windows = [(at, min(len(text), at + self.chunk + self.overlap)) for at in range(0, len(text), self.chunk)]
+        if self.workers > 1:
+            with ThreadPoolExecutor(self.workers) as pool:
+                parts = list(pool.map(lambda w: self._spans(text, *w), windows))
+        else:
+            parts = [self._spans(text, *w) for w in windows]
         found: list[str] = []
-        start, n = 0, 0
+        entry, i = 0, 0  # of chunk i what starts at entry or later is right, but for its end
         while True:
-            n += 1
-            end = min(len(text), start + self.chunk + self.overlap)
+            own, end = parts[i], windows[i][1]
             if end == len(text):
-                return found + self.split(text[start:]), n
-            cut, overlap = -1, self.overlap
-            while cut < 0:
-                end = min(len(text), start + self.chunk + overlap)
-                if end == len(text):
-                    return found + self.split(text[start:]), n
-                own = self._spans(text[start:end], start)
-                other = set(self._spans(text[start + self.chunk : end], start + self.chunk))
-                # what ends at the chunk's end, and the one before it, may depend on what follows
-                inner = [x for x in own[:-2] if x[0] >= start + self.chunk]
-                cut = next((a for a, b in inner if (a, b) in other), -1)
+                found += [text[a:b] for a, b in own if a >= entry]
+                return found, len(windows)
+            cut, overlap = self._meet(own, parts[i + 1], entry), self.overlap
+            while cut < 0 and end < len(text):
+                # no common pre-token: this chunk goes on further, over later chunks if need be
                 overlap *= 2
-            found += [text[a:b] for a, b in own if b <= cut]
-            start = cut
-
-    def _spans(self, text: str, shift: int) -> list[tuple[int, int]]:
-        return [(m.start() + shift, m.end() + shift) for m in self.finditer(text)]
+                end = min(len(text), windows[i][0] + self.chunk + overlap)
+                own = self._spans(text, entry, end)
+                while i + 2 < len(windows) and windows[i + 1][1] < end:
+                    i += 1
+                cut = self._meet(own, parts[i + 1], entry)
+            if cut < 0:
+                found += [text[a:b] for a, b in own if a >= entry]
+                return found, len(windows)
+            found += [text[a:b] for a, b in own if entry <= a and b <= cut]
+            entry, i = cut, i + 1
+
+    @staticmethod
+    def _meet(own: list[tuple[int, int]], other: list[tuple[int, int]], entry: int) -> int:
+        """Where the two chunks resynchronise: the first pre-token that both have, from `entry` on. The last two of `own` may depend on what follows its end;
+        they do not count, nor do the last two of the other."""
+        after, at = set(other[:-2]), bisect_left(own, (other[0][0], 0)) if other else len(own)
+        return next((a for a, b in own[at:-2] if a >= entry and (a, b) in after), -1)
+
+    def _spans(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
+        """Of the pattern's matches in text[start:end], which is cut out first: the pattern looks ahead."""
+        return [(m.start() + start, m.end() + start) for m in self.finditer(text[start:end])]
 
     def _fill(self, tokens: list[str]) -> dict[str, bytes]:
         """The cache, or a map of its own for these tokens if the cache is full; the values are little-endian 32-bit ids."""
@@ -123,7 +142,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
                     column.append(x)
             yield as_batch(_SCHEMA, *out)
 
-    return id_text(docs).mapInArrow(task, DIGESTS)
+    return arrow(id_text(docs), task, DIGESTS)
 
 
 def tokens_of(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -137,4 +156,4 @@ def tokens_of(docs: DataFrame, path: str | None = None, pattern: str | None = No
         for keys, texts in rows_of(batches):
             yield as_batch(schema, keys, [bpe.encode(x)[0].astype("i4") for x in texts])
 
-    return id_text(docs).mapInArrow(task, "doc_id long, ids array<int>")
+    return arrow(id_text(docs), task, "doc_id long, ids array<int>")

@@ -390,7 +390,8 @@ def test_chunked_encoding(coder, text):
 
 
 def test_long_runs(coder):
-    for text in (" " * 500 + "a", "a" * 500, "\n \n" * 200, "'s" * 200, "x" * 39 + "  " + "y" * 60):
+    coder.workers = 2
+    for text in (" " * 500 + "a", " a" * 300, "a b" + " " * 90 + "c d" * 50, "x" * 200 + " y z" * 40 + "\n" * 100 + "q", "a" * 500, "\n \n" * 200, "'s" * 200, "x" * 39 + "  " + "y" * 60):
         assert coder.encode(text)[0].tolist() == coder.bpe.encode_ordinary(text)
 
 
