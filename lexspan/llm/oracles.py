@@ -40,7 +40,7 @@ covered AS (SELECT doc_id, CAST(count(DISTINCT i + j) AS BIGINT) AS n_repeat_wor
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
 full_lines AS (SELECT doc_id, line, translate(line, {_AZ}) AS low, regexp_replace(line, '{_SPACE}+', '', 'g') AS dense, list_filter(string_split_regex(line, '{_SPACE}+'), lambda w: w <> '') AS ws FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 judged AS (SELECT doc_id, line, length(dense) AS chars, len(list_filter(ws, lambda w: list_contains({bars}, w))) >= {rules.min_bars} OR (len(ws) <= {rules.nav_words} AND {some(quality.NAVIGATION)}) OR {some(quality.BOILERPLATE)}
-  OR 100 * (length(dense) - length(regexp_replace(dense, '[[:punct:]]', '', 'g'))) > {rules.max_punct} * length(dense) AS bad FROM full_lines),
+  OR (length(dense) - length(regexp_replace(dense, '[[:punct:]]', '', 'g')) >= {rules.least_punct} AND 100 * (length(dense) - length(regexp_replace(dense, '[[:punct:]]', '', 'g'))) > {rules.max_punct} * length(dense)) AS bad FROM full_lines),
 by_line AS (SELECT doc_id, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS n_dup_lines, CAST(count(*) FILTER (bad) AS BIGINT) AS n_bad_lines, CAST(coalesce(sum(chars) FILTER (bad), 0) AS BIGINT) AS lost_chars FROM judged GROUP BY doc_id),
 every AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{_SPACE}+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_bad_lines, 0) AS n_bad_lines, coalesce(lost_chars, 0) AS lost_chars
   FROM split LEFT JOIN by_line USING (doc_id) LEFT JOIN covered USING (doc_id))

@@ -1,7 +1,7 @@
 """Quality rules, line first.
 
-Each line that has a word is judged by three rules: punctuation (over `max_punct` per cent of its visible characters are
-punctuation or symbols), navigation (`min_bars` or more separators standing alone, or at most `nav_words` words of which one
+Each line that has a word is judged by three rules: punctuation (`least_punct` of its visible characters or more, and over
+`max_punct` per cent of them, are punctuation or symbols), navigation (`min_bars` or more separators standing alone, or at most `nav_words` words of which one
 is a navigation word) and boilerplate (a phrase such as "all rights reserved"). Failing lines are removed; a document is
 rejected if it fails the base rules or if the removed lines held more than `max_lost` per cent of its word characters.
 
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexspan.llm.common import as_batch, id_text, rows_of
+from lexspan.llm.common import arrow, as_batch, id_text, rows_of
 
 # The symbols, separators and phrases of the rules, the phrases as one pattern that Python and RE2 read alike.
 SYMBOLS = "#*$%&|<>"
@@ -38,7 +38,8 @@ _TYPES = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
 
 @dataclass(frozen=True)
 class LineRules:
-    max_punct: int = 40
+    max_punct: int = 25
+    least_punct: int = 6
     min_bars: int = 3
     nav_words: int = 6
     max_lost: int = 50
@@ -55,15 +56,14 @@ def line_fails(line: str, rules: LineRules = LineRules()) -> bool:
     """For a line that has a word."""
     if not (words := line.encode().split()):
         return False
-    if not any(x in line for x in BARS):
-        pass
-    elif sum(1 for x in words if x.decode() in BARS) >= rules.min_bars:
+    if any(x in line for x in BARS) and sum(1 for x in words if x.decode() in BARS) >= rules.min_bars:
         return True
     low = _ascii_lower(line)
     if len(words) <= rules.nav_words and _NAV.search(low) or _BOILER.search(low):
         return True
-    visible = len(b"".join(words).decode())
-    return 100 * (visible - len(b"".join(words).decode().translate(_PUNCT_OUT))) > rules.max_punct * visible
+    dense = b"".join(words).decode()
+    punct = len(dense) - len(dense.translate(_PUNCT_OUT))
+    return punct >= rules.least_punct and 100 * punct > rules.max_punct * len(dense)
 
 
 def repeat_words(words: list) -> int:
@@ -111,7 +111,7 @@ def quality(docs: DataFrame, rules: LineRules = LineRules(), with_text: bool = F
             rows = [(key, *found, left) if with_text else (key, *found) for key, (found, left) in zip(keys, (judge(x, rules) for x in texts), strict=True)]
             yield as_batch(schema, *zip(*rows, strict=True))
 
-    return id_text(docs).mapInArrow(task, fields)
+    return arrow(id_text(docs), task, fields)
 
 
 def keep_good(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -135,4 +135,4 @@ def keep_good(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
                     columns[count] = pa.array(map(len, texts), type=batch.schema.field(count).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(task, schema)
+    return arrow(docs, task, schema)
