@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspan.llm import quality, secrets
+from lexspan.llm import pii, quality, secrets
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _DOCS = "docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
@@ -28,6 +28,62 @@ SELECT d.doc_id, {counts}, sha256(coalesce(string_agg({said}, ',' ORDER BY ends
 FROM docs d LEFT JOIN good g ON g.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
+def pii_pseudonyms(key: str = "lexspan") -> str:
+    full = lambda name: f"regexp_full_match(m, {_quoted(pii.FORMATS[name])})"
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = lambda d, parity: f"list_sum(list_transform(string_split({d}, ''), lambda x, i: CASE WHEN (i - 1) % 2 = {parity} THEN [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(x AS INTEGER) + 1] ELSE CAST(x AS INTEGER) END))"
+    date = "CASE WHEN regexp_matches(m, '^[0-9]{4}-') THEN try_strptime(m, '%Y-%m-%d') WHEN contains(m, '.') THEN try_strptime(m, '%d.%m.%Y') ELSE try_strptime(m, '%m/%d/%Y') END"
+    kind = f"""CASE WHEN {full("email")} THEN 'email'
+  WHEN {full("date")} THEN CASE WHEN {date} BETWEEN TIMESTAMP '1800-01-01' AND TIMESTAMP '2199-12-31' THEN 'date' END
+  WHEN {full("ip")} THEN CASE WHEN list_max(list_transform(string_split(m, '.'), lambda o: CAST(o AS INTEGER))) <= 255 THEN 'ip' END
+  WHEN {full("ssn")} THEN CASE WHEN NOT regexp_matches(m, '^(000|666|9..)|^...-00|-0000$') THEN 'ssn' END
+  WHEN {full("phone")} THEN 'phone'
+  WHEN {full("card")} THEN CASE WHEN {luhn(digits, f"length({digits}) % 2")} % 10 = 0 THEN 'card' END END"""
+    turns = []
+    for i in range(pii.ROUNDS):
+        hash_ = lambda x, i=i: f"CAST('0x' || substr(sha256(concat_ws('|', {_quoted(key)}, kind, n, {i}, {x})), 1, 15) AS BIGINT)"
+        move = f"(l + {hash_('r')}) % a AS l, r" if i % 2 == 0 else f"l, (r + {hash_('l')}) % b AS r"
+        turns.append(f"turn{i} AS (SELECT * EXCLUDE (l, r), {move} FROM {f'turn{i - 1}' if i else 'numbered'})")
+    mails = []
+    alphabet = "CASE WHEN c BETWEEN 'a' AND 'z' THEN chr(97 + (ascii(c) - 97 + s) % 26) WHEN c BETWEEN 'A' AND 'Z' THEN chr(65 + (ascii(c) - 65 + s) % 26) WHEN c BETWEEN '0' AND '9' THEN chr(48 + (ascii(c) - 48 + s) % 10) ELSE c END"
+    for i in range(pii.ROUNDS):
+        one, other = ("el", "er") if i % 2 == 0 else ("er", "el")
+        stream = f"sha256(concat_ws('|', {_quoted(key)}, 'email', length(body), {i}, {other}))"
+        letter = alphabet.replace("(ascii(c)", "(ascii(c)").replace(" s)", f" CAST('0x' || substr({stream}, (2 * j) % 64 + 1, 2) AS INTEGER))").replace("c ", f"substr({one}, j, 1) ").replace("ascii(c)", f"ascii(substr({one}, j, 1))").replace("ELSE c", f"ELSE substr({one}, j, 1)")
+        new = f"array_to_string(list_transform(range(1, length({one}) + 1), lambda j: {letter}), '') AS {one}"
+        mails.append(f"mail{i} AS (SELECT * EXCLUDE ({one}), {new} FROM {f'mail{i - 1}' if i else 'mails'})")
+    half = "CAST(floor((n - 2) / 2.0) AS INTEGER)"
+    payload = f"left({digits}, 1) || lpad(CAST(l AS VARCHAR), {half}, '0') || lpad(CAST(r AS VARCHAR), CAST(n - 2 - {half} AS INTEGER), '0')"
+    filled = "array_to_string(list_transform(range(1, length(m) + 1), lambda j: CASE WHEN regexp_matches(substr(m, j, 1), '[0-9]') THEN substr(filling, length(regexp_replace(left(m, j), '[^0-9]', '', 'g')), 1) ELSE substr(m, j, 1) END), '')"
+    day = "CAST(DATE '1800-01-01' + CAST(l * 773 + r AS INTEGER) AS TIMESTAMP)"
+    area = "CASE WHEN l // 99 + 1 >= 666 THEN l // 99 + 2 ELSE l // 99 + 1 END"
+    counts = ", ".join(f"CAST(count(*) FILTER (kind = '{k}') AS BIGINT) AS n_{k}" for k in pii.FORMATS)
+    ten = f"right({digits}, 10)"
+    part = lambda a, n, of=ten: f"CAST(substr({of}, {a}, {n}) AS BIGINT)"
+    octet = lambda i: f"CAST(string_split(m, '.')[{i}] AS BIGINT)"
+    days = f"date_diff('day', TIMESTAMP '1800-01-01', {date})"
+    first = part(1, 3, digits)
+    return rf"""WITH {_DOCS}, numbered_docs AS (SELECT row_number() OVER () AS rid, * FROM docs),
+found AS (SELECT rid, doc_id, regexp_extract_all(text, {_quoted(pii.PATTERN)}) AS ms, string_split_regex(text, {_quoted(pii.PATTERN)}) AS gaps FROM numbered_docs),
+hits AS (SELECT rid, unnest(ms) AS m, unnest(range(len(ms))) AS i FROM found),
+kinds AS (SELECT *, {kind} AS kind, length({digits}) AS n FROM hits),
+numbered AS (SELECT *, {half} AS half,
+  CASE kind WHEN 'card' THEN CAST(pow(10, {half}) AS BIGINT) WHEN 'phone' THEN 100000 WHEN 'ip' THEN 65536 WHEN 'ssn' THEN 88902 WHEN 'date' THEN 189 END AS a,
+  CASE kind WHEN 'card' THEN CAST(pow(10, n - 2 - {half}) AS BIGINT) WHEN 'phone' THEN 100000 WHEN 'ip' THEN 65536 WHEN 'ssn' THEN 9999 WHEN 'date' THEN 773 END AS b,
+  CASE kind WHEN 'card' THEN CAST(substr({digits}, 2, {half}) AS BIGINT) WHEN 'phone' THEN {part(1, 3)} * 100 + {part(7, 2)} WHEN 'ip' THEN {octet(1)} * 256 + {octet(2)} WHEN 'ssn' THEN ({first} - 1 - CASE WHEN {first} > 666 THEN 1 ELSE 0 END) * 99 + {part(4, 2, digits)} - 1 WHEN 'date' THEN {days} // 773 END AS l,
+  CASE kind WHEN 'card' THEN CAST(substr({digits}, 2 + {half}, n - 2 - {half}) AS BIGINT) WHEN 'phone' THEN {part(4, 3)} * 100 + {part(9, 2)} WHEN 'ip' THEN {octet(3)} * 256 + {octet(4)} WHEN 'ssn' THEN {part(6, 4, digits)} - 1 WHEN 'date' THEN {days} % 773 END AS r
+  FROM kinds WHERE kind <> 'email'), {", ".join(turns)},
+fillings AS (SELECT *, CASE kind WHEN 'card' THEN {payload} WHEN 'phone' THEN left({digits}, n - 10) || lpad(CAST(l // 100 AS VARCHAR), 3, '0') || lpad(CAST(r // 100 AS VARCHAR), 3, '0') || lpad(CAST(l % 100 AS VARCHAR), 2, '0') || lpad(CAST(r % 100 AS VARCHAR), 2, '0') END AS filling0 FROM turn{pii.ROUNDS - 1}),
+checked AS (SELECT *, CASE kind WHEN 'card' THEN filling0 || CAST((10 - {luhn("filling0", "(length(filling0) + 1) % 2")} % 10) % 10 AS VARCHAR) ELSE filling0 END AS filling FROM fillings),
+mails AS (SELECT rid, i, m, regexp_replace(m, '\.[A-Za-z]+$', '') AS body, regexp_extract(m, '\.[A-Za-z]+$') AS ending, left(regexp_replace(m, '\.[A-Za-z]+$', ''), length(regexp_replace(m, '\.[A-Za-z]+$', '')) // 2) AS el, substr(regexp_replace(m, '\.[A-Za-z]+$', ''), length(regexp_replace(m, '\.[A-Za-z]+$', '')) // 2 + 1) AS er FROM kinds WHERE kind = 'email'), {", ".join(mails)},
+written AS (SELECT rid, i, kind, CASE kind WHEN 'ip' THEN concat_ws('.', l // 256, l % 256, r // 256, r % 256) WHEN 'ssn' THEN lpad(CAST({area} AS VARCHAR), 3, '0') || '-' || lpad(CAST(l % 99 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(r + 1 AS VARCHAR), 4, '0')
+  WHEN 'date' THEN CASE WHEN regexp_matches(m, '^[0-9]{{4}}-') THEN strftime({day}, '%Y-%m-%d') WHEN contains(m, '.') THEN strftime({day}, '%d.%m.%Y') ELSE strftime({day}, '%m/%d/%Y') END ELSE {filled} END AS new FROM checked
+  UNION ALL SELECT rid, i, 'email', el || er || ending FROM mail{pii.ROUNDS - 1}
+  UNION ALL SELECT rid, i, NULL, m FROM kinds WHERE kind IS NULL),
+gaps AS (SELECT rid, doc_id, unnest(gaps) AS gap, unnest(range(len(gaps))) AS i FROM found)
+SELECT any_value(doc_id) AS doc_id, string_agg(gap || coalesce(new, ''), '' ORDER BY i) AS text, {counts} FROM gaps LEFT JOIN written USING (rid, i) GROUP BY rid"""
+
+
 def quality_rules(rules: quality.LineRules = quality.LineRules()) -> str:
     some = lambda names: "(" + " OR ".join(f"contains(low, {_quoted(x)})" for x in names) + ")"
     bars = "[" + ", ".join(_quoted(x) for x in quality.BARS) + "]"
@@ -56,4 +112,4 @@ sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTE
 FROM turns GROUP BY conv_id"""
 
 
-SQL = {"op3_secret_scan": secret_scan(), "op5_chat_format": chat_format(), "op9_quality_rules": quality_rules()}
+SQL = {"op2_pii_pseudonyms": pii_pseudonyms(), "op3_secret_scan": secret_scan(), "op5_chat_format": chat_format(), "op9_quality_rules": quality_rules()}

@@ -136,11 +136,11 @@ def _email(key: str, m: Column) -> Column:
     half = F.floor(F.length(body) / 2).cast("int")
 
     def shifted(text: Column, other: Column, turn: Column) -> Column:
-        stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.length(body).cast("string"), turn.cast("string"), other), 512)
+        stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.length(body).cast("string"), turn.cast("string"), other), 256)
 
         def one(i: Column) -> Column:
             c = F.substring(text, i, F.lit(1))
-            by = F.conv(F.substring(stream, F.pmod(i * 2, F.lit(128)).cast("int") + 1, F.lit(2)), 16, 10).cast("int")
+            by = F.conv(F.substring(stream, F.pmod(i * 2, F.lit(64)).cast("int") + 1, F.lit(2)), 16, 10).cast("int")
             out = c
             for letters in (_LOWER, _UPPER, _DIGIT):
                 place = F.instr(F.lit(letters), c)
