@@ -125,8 +125,13 @@ def format_chats(conversations: DataFrame, path: str | None = None) -> DataFrame
         file = path or public_tokenizers.path("byte_bpe_50k.json")
         for conv, role, text in whole_groups(batches):
             edges = [0, *(i for i in range(1, len(conv)) if conv[i] != conv[i - 1]), len(conv)]
+            rows, size = [], 0
             for a, b in zip(edges, edges[1:], strict=False):
-                yield as_batch(_SCHEMA, *([x] for x in (int(conv[a]), *format_conversation(list(zip(role[a:b], text[a:b], strict=True)), file))))
+                rows.append((int(conv[a]), *format_conversation(list(zip(role[a:b], text[a:b], strict=True)), file)))
+                size += rows[-1][-1]
+                if size >= 1 << 20 or b == len(conv):
+                    yield as_batch(_SCHEMA, *zip(*rows, strict=True))
+                    rows, size = [], 0
 
     rows = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt = rows.repartition(partitions(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
