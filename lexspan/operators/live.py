@@ -30,8 +30,9 @@ def windows(hits: DataFrame) -> DataFrame:
 
 def gate(blocks: DataFrame, hits: DataFrame) -> DataFrame:
     """blocks(key, id, now_us) with muted: whether a deadline set at or before the block's time is later than it. Both go through one
-    ordered window, so no pair of block and deadline is made."""
-    marks = deadlines(hits).select("key", "id", "now_us", F.lit(0).alias("kind"), "until_us")
+    ordered window, whose running maximum is the deadline, so no pair of block and hit is made."""
+    least = F.lit(int(LEAST_MUTE_S * 1_000_000)).cast("bigint")
+    marks = hits.select("key", "id", "now_us", F.lit(0).alias("kind"), (F.col("now_us") + F.greatest(least, F.col("dur_us"))).alias("until_us"))
     both = blocks.select("key", "id", "now_us", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("until_us")).unionByName(marks)
     order = W.partitionBy("key").orderBy("now_us", "kind", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
     seen = both.withColumn("until", F.max("until_us").over(order)).where("kind = 1")

@@ -62,18 +62,23 @@ def _segment(kind: str, start: Column, end: Column, when: Column) -> Column:
 
 def segments(hits: DataFrame, clips: DataFrame, lead_in: int | None = None) -> DataFrame:
     """clip, seq, kind (gap, silence, replacement, final), src_start_ms, src_end_ms, match_pos: gap, silence and replacement for
-    each match in order, then what remains."""
-    rows = padded(hits, lead_in)
+    each match in order, then what remains of clips(clip, total_ms). A clip's end is one more row behind its matches, so matches and
+    ends go through one shuffle and clips without matches need no outer join."""
+    rows = hits.select("clip", F.lit(0).alias("last"), "start", "pos", "word", "start_ms", "end_ms", F.lit(None).cast("bigint").alias("total_ms"))
+    ends = clips.select("clip", F.lit(1).alias("last"), F.col("total_ms").cast("bigint").alias("total_ms"))
+    order = W.partitionBy("clip").orderBy("last", "start", "pos")
+    both = rows.unionByName(ends, allowMissingColumns=True).withColumn("prev_end", F.coalesce(F.lag("end_ms").over(order), F.lit(0)).cast("bigint"))
+    both = both.withColumn("pad", F.greatest("prev_end", F.col("start_ms") - lead_in_ms(clean_word(F.col("word")), lead_in)))
+    is_match = F.col("last") == 0
     parts = F.array(
-        _segment("gap", F.col("prev_end"), F.col("pad"), F.col("pad") > F.col("prev_end")),
-        _segment("silence", F.col("pad"), F.col("start_ms"), F.col("lead_actual") > 0),
-        _segment("replacement", F.col("start_ms"), F.col("end_ms"), F.lit(True)),
+        _segment("gap", F.col("prev_end"), F.col("pad"), is_match & (F.col("pad") > F.col("prev_end"))),
+        _segment("silence", F.col("pad"), F.col("start_ms"), is_match & (F.col("start_ms") > F.col("pad"))),
+        _segment("replacement", F.col("start_ms"), F.col("end_ms"), is_match),
+        _segment("final", F.col("prev_end"), F.col("total_ms"), ~is_match & (F.col("total_ms") > F.col("prev_end"))),
     )
-    each = rows.select("clip", F.lit(0).alias("last"), "start", "pos", F.posexplode(F.array_compact(parts)).alias("part", "x"))
-    each = each.select("clip", "last", "start", "pos", "part", "x.*")
-    end = final_gaps(hits, clips).select("clip", F.lit(1).alias("last"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("bigint").alias("pos"), F.lit(0).alias("part"), F.lit("final").alias("kind"), F.col("final_start").alias("src_start_ms"), F.col("final_end").alias("src_end_ms"))
-    order = W.partitionBy("clip").orderBy("last", "start", "pos", "part")
-    return each.unionByName(end).select("clip", (F.row_number().over(order) - 1).cast("bigint").alias("seq"), "kind", "src_start_ms", "src_end_ms", F.col("pos").alias("match_pos"))
+    each = both.select("clip", "last", "start", "pos", F.posexplode(F.array_compact(parts)).alias("part", "x"))
+    seq = F.row_number().over(W.partitionBy("clip").orderBy("last", "start", "pos", "part")) - 1
+    return each.select("clip", seq.cast("bigint").alias("seq"), "x.kind", "x.src_start_ms", "x.src_end_ms", F.col("pos").alias("match_pos"))
 
 
 def gap_fades(timeline: DataFrame, fade_ms: int = FADE_MS) -> DataFrame:

@@ -52,9 +52,9 @@ def segments(spark: SparkSession, sf_dir: str, k: float = 0.25) -> DataFrame:
 
 
 def words_of(spark: SparkSession, sf_dir: str, k: float = 0.25) -> DataFrame:
-    token = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", r"\s+")).alias("p", "word"))
-    pos = (F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "p")) - 1).cast("bigint")
-    rows = token.select(F.col("conv_id").cast("string").alias("clip"), pos.alias("pos"), "word")
+    token = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("clip"), "turn", F.posexplode(F.split("text", r"\s+")).alias("p", "word"))
+    pos = (F.row_number().over(W.partitionBy("clip").orderBy("turn", "p")) - 1).cast("bigint")
+    rows = token.select("clip", pos.alias("pos"), "word")
     start = F.col("pos") * 0.37
     return rows.select("clip", "pos", "word", start.alias("start"), (start + 0.1 + k * (F.length("word") % 8)).alias("end"))
 
