@@ -106,3 +106,43 @@ def word_stub() -> Callable[[str], list[dict]]:
 def speech_stub() -> Callable[[str], bytes]:
     """A stand-in voice: bytes that depend on the text alone."""
     return lambda text: (text.encode() or b" ") * 200
+
+
+def decode(clips: DataFrame, make: Callable[[], Callable[[str], Iterator]], block: int = 1024) -> DataFrame:
+    """(clip, block_no, samples) of clips(clip, path): the function gives an iterator over arrays of mono samples, which are cut into
+    blocks as they come, so a clip is never held whole. The last block may be short."""
+
+    def task(batches: Batches) -> Batches:
+        import numpy as np
+
+        run = make()
+        shape = pa.schema([("clip", pa.string()), ("block_no", pa.int64()), ("samples", pa.list_(pa.float32()))])
+
+        def rows(clip: str, first: int, parts: list) -> pa.RecordBatch:
+            columns = ([clip] * len(parts), range(first, first + len(parts)), parts)
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
+
+        for batch in batches:
+            for clip, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n, rest = 0, np.zeros(0, dtype=np.float32)
+                for part in run(path):
+                    rest = np.concatenate([rest, np.asarray(part, dtype=np.float32)])
+                    full = len(rest) // block
+                    if full:
+                        yield rows(clip, n, list(rest[: full * block].reshape(full, block)))
+                        n, rest = n + full, rest[full * block :]
+                if len(rest):
+                    yield rows(clip, n, [rest])
+
+    return clips.select("clip", "path").mapInArrow(task, "clip string, block_no bigint, samples array<float>")
+
+
+def tone_stub() -> Callable[[str], Iterator]:
+    """A stand-in decoder: 3000 samples of a tone, in uneven parts."""
+    import numpy as np
+
+    def run(path: str) -> Iterator:
+        x = 0.5 * np.sin(np.arange(3000) / 5)
+        yield from np.split(x, [700, 701, 2500])
+
+    return run

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.functions.signal import BLOCK, LEAST_MUTE_S, RATE
@@ -114,3 +114,14 @@ def delayed_blocks(blocks: DataFrame, delay: int) -> DataFrame:
 def play(stream: DataFrame, device, checkpoint: str):
     """Hands each micro-batch to `device(frame, batch_id)`, the playback surface; batches that are tried again keep their number."""
     return stream.writeStream.foreachBatch(device).option("checkpointLocation", checkpoint)
+
+
+def capture(spark: SparkSession, folder: str, files_at_once: int = 100) -> DataFrame:
+    """Blocks that a recorder drops into a folder as Parquet: key, id, now_us, channels, samples."""
+    schema = "key bigint, id bigint, now_us bigint, channels int, samples array<float>"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(folder)
+
+
+def first_channel(samples: Column, channels: Column) -> Column:
+    """The first channel of interleaved samples."""
+    return F.filter(samples, lambda x, i: i % channels == 0)

@@ -158,3 +158,29 @@ def test_streams_equal_their_twins(spark, small):
     out = queries.stream_delay(spark, small).select("id", "out_id")
     twin = rows.select("id", F.lag("id", 5).over(W.partitionBy("key").orderBy("now_us", "id")).alias("out_id"))
     assert out.exceptAll(twin).isEmpty() and twin.exceptAll(out).isEmpty()
+
+
+def test_loudness(spark):
+    import numpy as np
+
+    from lexspan.operators import loudness
+
+    clips = spark.createDataFrame([("a", "a.wav")], "clip string, path string")
+    blocks = adapters.decode(clips, adapters.tone_stub).cache()
+    x = np.concatenate([np.asarray(p, dtype=np.float32) for p in adapters.tone_stub()("a")]).astype(float)
+    assert sorted((r["block_no"], len(r["samples"])) for r in blocks.collect()) == [(0, 1024), (1, 1024), (2, 952)]
+    ranges = spark.createDataFrame([("a", 0, 0.01, 0.15), ("a", 1, 0.1, 0.11), ("a", 2, 5.0, 6.0), ("a", 3, 0.05, 9.0)], "clip string, pos bigint, start double, end double")
+    found = {r["pos"]: r["db"] for r in loudness.range_volume(ranges, blocks).collect()}
+    assert found[0] == pytest.approx(10 * np.log10((x[160:2400] ** 2).mean()))
+    assert found[1] is None and found[2] is None
+    assert found[3] == pytest.approx(10 * np.log10((x[800:] ** 2).mean()))
+    assert loudness.block_power(blocks).first()["db"] == pytest.approx(10 * np.log10((x**2).mean()))
+    gained = loudness.gains(loudness.range_volume(ranges, blocks), ranges.withColumn("db", F.lit(-60.0)))
+    assert {r["pos"]: round(r["gain_db"], 3) for r in gained.collect()}[1] == 6.0
+
+
+def test_first_channel(spark):
+    from lexspan.streaming import live as streams
+
+    row = spark.range(1).select(streams.first_channel(F.array(*map(F.lit, (1.0, 2.0, 3.0, 4.0))), F.lit(2)).alias("x")).first()
+    assert row["x"] == [1.0, 3.0]
