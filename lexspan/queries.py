@@ -327,11 +327,10 @@ def log_parse(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", a["sample_rate"].alias("sample_rate"), a["channels"].alias("channels"), F.round(text.mean_volume(log), 2).alias("db"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size >= 36 THEN printf('%dm %02ds', p_size * 100 // 60, p_size * 100 % 60) ELSE '' END AS spoken, round(p_retailprice * 1000 / (1024 * 1024), 1) AS mb FROM part WHERE p_size < 36 OR p_size * 100 >= 3600 OR true")
+@query("WITH s AS (SELECT p_partkey, p_size * 100 - 90 AS s, p_retailprice FROM part) SELECT p_partkey, CASE WHEN s >= 3600 THEN printf('%dh %02dm %02ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%.1fs', s::DOUBLE) END AS spoken, round(p_retailprice * 1000 / (1024 * 1024), 1) AS mb FROM s")
 def report_units(spark, sf_dir):
-    seconds = (F.col("p_size") * 100).cast("double")
-    spoken = F.when(F.col("p_size") >= 36, F.format_string("%dm %02ds", F.floor(seconds / 60), (seconds % 60).cast("bigint"))).otherwise(F.lit(""))
-    return table(spark, sf_dir, "part").select("p_partkey", spoken.alias("spoken"), signal.megabytes(F.col("p_retailprice") * 1000).alias("mb"))
+    seconds = (F.col("p_size") * 100 - 90).cast("double")
+    return table(spark, sf_dir, "part").select("p_partkey", signal.spoken_duration(seconds).alias("spoken"), signal.megabytes(F.col("p_retailprice") * 1000).alias("mb"))
 
 
 # Manifest ------------------------------------------------------------------------------------------------------------------
