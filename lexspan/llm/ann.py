@@ -5,7 +5,8 @@ Codes are learned: on a bounded sample the vectors are centred and rotations are
 indexed: posting bitmaps by value. By the pigeonhole principle a code within Hamming radius r of the query has some substring within
 r // m bits of the query's (r // m - 1 for all but r % m + 1 of the m substrings); probing those buckets therefore retrieves every
 code within r. Candidates are checked by their whole distance and reranked by cosine of the original vectors in double
-precision. The radius is learned too: on the sample it holds `reach` per cent of the exact neighbours.
+precision. The radius is learned too: on the sample it holds `reach` per cent of the exact neighbours. Where a block has fewer than k codes
+within it, the radius is widened, so a query gets k neighbours if the table has them.
 
 Every vector is indexed, in blocks; queries go in blocks as well and meet each block of the index once. The best of a block are
 merged by query; nothing is collected but the sample.
@@ -104,6 +105,17 @@ class MultiIndex:
         return at[np.bitwise_count(self.codes[at] ^ query).sum(axis=1, dtype=np.int64) <= radius]
 
 
+    def nearest(self, query: np.ndarray, radius: int, k: int, allowed: np.ndarray) -> np.ndarray:
+        """Numbers of the allowed codes within the radius, which is widened until there are k of them, or all."""
+        least = min(k, int(allowed.sum()))
+        while True:
+            found = self.within(query, radius)
+            found = found[allowed[found]]
+            if len(found) >= least:
+                return found
+            radius += len(query)
+
+
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     v = F.col(vector).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
@@ -177,8 +189,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, sample: int = 20000,
                 ids, x = np.frombuffer(ids, dtype=np.int64), np.frombuffer(raw).reshape(-1, dim)
                 made = MultiIndex(np.frombuffer(codes, dtype=np.uint8).reshape(len(ids), -1))
                 for own, vector, code in zip(query_ids, q, query_codes, strict=True):
-                    near = made.within(code, coder.radius)
-                    near = near[ids[near] != own]
+                    near = made.nearest(code, coder.radius, k, ids != own)
                     found, score = ids[near], cosine(vector[None, :], x[near])
                     if own in best:
                         found, score = np.concatenate([best[own][0], found]), np.concatenate([best[own][1], score])

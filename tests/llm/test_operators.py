@@ -306,6 +306,10 @@ def test_neighbours_recall_and_cases(spark):
     assert [v for _, v, _ in sorted(found[100])[:2]] == [6000, 6001]
     assert [v for _, v, _ in sorted(found[6000])[:2]] == [100, 6001]
     assert ann.search(table.limit(0)).count() == 0
+    few = spark.createDataFrame([(i, x[i].tolist()) for i in (0, 1, 2, 50)], "vec_id bigint, embedding array<double>")
+    rows = ann.search(few).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in rows) == [(0, 1), (0, 2), (0, 3), (50, 1), (50, 2), (50, 3)]
+    assert ann.search(few.limit(1)).count() == 0
 
 
 def test_probing_is_exact():
