@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexspan.schema import STATUSES
+from lexspan.work import new_path
 
 
 def records(clips: DataFrame) -> DataFrame:
@@ -69,9 +70,18 @@ def first_n(rows: DataFrame, n: int | None, *order) -> DataFrame:
 
 
 def numbered(rows: DataFrame, *order) -> DataFrame:
-    """idx from 1 and the total, for progress lists, which are small."""
+    """idx from 1 in the order given (which should have no ties), and the total. Rows are dealt by range and written, so that a
+    number is the place within the range plus the rows of the ranges before; only the ranges' sizes, one row each, go to one task."""
+    spark = rows.sparkSession
+    path = new_path(spark, "numbered")
+    dealt = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt.write.parquet(path)
+    placed = spark.read.schema(dealt.schema).parquet(path)
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     every = W.partitionBy(F.lit(0))
-    return rows.withColumns({"idx": F.row_number().over(every.orderBy(*order)).cast("bigint"), "total": F.count(F.lit(1)).over(every)})
+    before = sizes.select("_range", (F.sum("_n").over(every.orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")).alias("_before"), F.sum("_n").over(every).alias("total"))
+    within = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return placed.join(F.broadcast(before), "_range").withColumn("idx", (within + F.col("_before")).cast("bigint")).drop("_range", "_before")
 
 
 def dry_run(hits: DataFrame, files: DataFrame) -> DataFrame:

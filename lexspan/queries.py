@@ -314,8 +314,8 @@ def path_algebra(spark, sf_dir):
 @query("WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS rel FROM pages) SELECT CAST(row_number() OVER (ORDER BY string_split(rel, '/'), page_id) AS BIGINT) AS place, page_id FROM p")
 def path_order(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("rel"))
-    order = W.orderBy(text.path_key(F.col("rel")), "page_id")
-    return rows.select(F.row_number().over(order).cast("bigint").alias("place"), "page_id")
+    placed = manifest.numbered(rows, text.path_key(F.col("rel")), "page_id")
+    return placed.select(F.col("idx").alias("place"), "page_id")
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_linenumber = 5 THEN 44100 ELSE 8000 * l_linenumber END AS INTEGER) AS sample_rate, CAST(CASE WHEN l_linenumber = 6 THEN 2 ELSE l_linenumber END AS INTEGER) AS channels, CASE WHEN l_linenumber <> 7 THEN round(-l_quantity, 2) END AS db FROM lineitem")

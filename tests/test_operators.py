@@ -184,3 +184,32 @@ def test_first_channel(spark):
 
     row = spark.range(1).select(streams.first_channel(F.array(*map(F.lit, (1.0, 2.0, 3.0, 4.0))), F.lit(2)).alias("x")).first()
     assert row["x"] == [1.0, 3.0]
+
+
+def test_timeline_properties(spark):
+    """Without overlaps the segments of a clip tile it; with them each match still has its replacement."""
+    import random
+
+    r = random.Random(11)
+    rows, clips = [], []
+    for c in range(60):
+        at, overlaps = 0.0, c % 3 == 0
+        for i in range(r.randrange(12)):
+            at += r.uniform(-0.4 if overlaps and i else 0.0, 1.0)
+            rows.append((str(c), i, r.choice(["damn", "shit", "ass", "fine", "Hell,"]), max(0.0, at), max(0.0, at) + r.uniform(0.05, 0.6)))
+            at = rows[-1][4]
+        clips.append((str(c), int(max([x[4] for x in rows if x[0] == str(c)], default=0) * 1000) + r.randrange(500)))
+    found = timeline.with_ms(match.matches(spark.createDataFrame(rows, WORDS), lexicon.packaged(spark)))
+    by: dict = {}
+    for s in timeline.segments(found, spark.createDataFrame(clips, "clip string, total_ms bigint")).orderBy("clip", "seq").collect():
+        by.setdefault(s["clip"], []).append(s)
+    n = {x["clip"]: x["n_hits"] for x in match.hit_counts(found).collect()}
+    for clip, total in clips:
+        parts = by.get(clip, [])
+        assert sum(s["kind"] == "replacement" for s in parts) == n.get(clip, 0)
+        assert [s["seq"] for s in parts] == list(range(len(parts)))
+        if int(clip) % 3:
+            edges = [0, *(s["src_end_ms"] for s in parts)]
+            assert [s["src_start_ms"] for s in parts] == edges[:-1]
+            assert edges[-1] == total or total == 0
+    assert {x["clip"] for x in match.clean_clips(spark.createDataFrame(clips, "clip string, total_ms bigint"), found).collect()} == {c for c, _ in clips} - set(n)
