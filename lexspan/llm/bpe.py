@@ -44,6 +44,7 @@ class ByteBpe:
         self.finditer = regex.compile(pattern).finditer
         self.chunk, self.overlap, self.limit, self.workers = chunk, overlap, cache, workers
         self.cache: dict[str, bytes] = {}
+        self.spilled = 0
         table = [b""] * (1 + max(ranks.values()))
         for raw, rank in ranks.items():
             table[rank] = raw
@@ -93,27 +94,32 @@ class ByteBpe:
         """Of the pattern's matches in text[start:end], which is cut out first: the pattern looks ahead."""
         return [(m.start() + start, m.end() + start) for m in self.finditer(text[start:end])]
 
-    def _fill(self, tokens: list[str]) -> dict[str, bytes]:
-        """The cache, or a map of its own for these tokens if the cache is full; the values are little-endian 32-bit ids."""
-        missing = {x for x in tokens if x not in self.cache}
-        if len(self.cache) + len(missing) > self.limit:
-            self.cache = {}
-            missing = set(tokens)
-        into = self.cache
-        one = self.bpe._core_bpe.encode_single_piece
-        for x in missing:
-            into[x] = np.array(one(x.encode()), dtype="<u4").tobytes()
-        return into
+    def _missing(self, tokens: list[str]) -> dict[str, bytes]:
+        """Encodes the tokens that the cache lacks, as little-endian 32-bit ids. They go to the cache while there is room, else to a
+        map for this text alone; if the cache has been full for long, it starts anew."""
+        cache, one = self.cache, self.bpe._core_bpe.encode_single_piece
+        found = {x: np.array(one(x.encode()), dtype="<u4").tobytes() for x in {x for x in tokens if x not in cache}}
+        if len(cache) + len(found) > self.limit:
+            self.spilled += len(found)
+            if self.spilled <= 8 * self.limit:
+                return found
+            cache.clear()
+            self.spilled = 0
+            return found
+        cache.update(found)
+        return {}
 
     def encode(self, text: str) -> tuple[np.ndarray, int, int]:
         """(ids, number of pre-tokens, number of chunks)."""
         tokens, chunks = self.pretokens(text)
+        cache = self.cache
         try:
-            cache = self.cache
             raw = b"".join([cache[x] for x in tokens])
         except KeyError:
-            cache = self._fill(tokens)
-            raw = b"".join([cache[x] for x in tokens])
+            own = self._missing(tokens)
+            if own and not cache:  # started anew: nothing of this text is in it
+                own |= {x: np.array(self.bpe._core_bpe.encode_single_piece(x.encode()), dtype="<u4").tobytes() for x in set(tokens) - own.keys()}
+            raw = b"".join([cache[x] if x in cache else own[x] for x in tokens]) if own else b"".join([cache[x] for x in tokens])
         return np.frombuffer(raw, dtype="<u4"), len(tokens), chunks
 
     def decode(self, ids: np.ndarray) -> bytes:

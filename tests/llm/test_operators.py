@@ -248,6 +248,10 @@ def test_word_hashes_do_not_depend_on_parts():
         assert len(h) == sum(len(t.encode().split()) for t in texts)
         assert owner.tolist() == [i for i, t in enumerate(texts) for _ in t.encode().split()]
         assert len(set(h.tolist())) == 5
+    huge = "z" * 3_000_000
+    h, owner = passages.hash_words([f"a {huge} b", f"{huge.upper()}", f"a {'y' * 65536} b"])
+    assert owner.tolist() == [0, 0, 0, 1, 2, 2, 2]
+    assert h[1] == h[3] and h[0] == h[4] and h[2] == h[6]
     assert passages.without("a  b c\nd", [(1, 3)]) == "a  d"
     assert passages.without("a b", [(0, 9)]) == ""
 
@@ -393,6 +397,16 @@ def test_chunked_encoding(coder, text):
     assert chunks == 1 or len(text) > 48
 
 
+def test_a_full_cache_changes_nothing():
+    import public_tokenizers
+
+    made = bpe.ByteBpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, cache=5)
+    for i in range(60):
+        text = " ".join(words(7, i, 30))
+        assert made.encode(text)[0].tolist() == made.bpe.encode_ordinary(text)
+        assert len(made.cache) <= 5
+
+
 def test_long_runs(coder):
     coder.workers = 2
     for text in (" " * 500 + "a", " a" * 300, "a b" + " " * 90 + "c d" * 50, "x" * 200 + " y z" * 40 + "\n" * 100 + "q", "a" * 500, "\n \n" * 200, "'s" * 200, "x" * 39 + "  " + "y" * 60):
