@@ -212,6 +212,19 @@ def test_passages_split_between_sources(spark):
     assert (rows[0]["start_word"], rows[0]["end_word"]) == (50, 118)
 
 
+def test_passages_of_lines_from_many_documents(spark):
+    texts, wanted = [], set()
+    for i in range(15):
+        size = (19, 13, 11)[i % 3]
+        lines = [words(size, 1000 * i + j, 10**6) for j in range(-(-55 // size))]
+        texts += [" ".join(words(30, f"{i} {j} a", 10**6) + x + words(30, f"{i} {j} b", 10**6)) for j, x in enumerate(lines)]
+        shared = [x for line in lines for x in line]
+        texts += [" ".join(words(60, f"{i} {j} c", 10**6) + shared + words(60, f"{i} {j} d", 10**6)) for j in range(2)]
+        wanted.add((len(texts) - 1, 60, 60 + len(shared)))
+    rows = passages.passages(docs(spark, *texts)).collect()
+    assert wanted <= {(r["doc_id"], r["start_word"], r["end_word"]) for r in rows}
+
+
 def test_chain_against_all_orders():
     r = random.Random(4)
     for _ in range(60):
