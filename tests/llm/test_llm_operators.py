@@ -225,6 +225,17 @@ def test_passages_of_lines_from_many_documents(spark):
     assert wanted <= {(r["doc_id"], r["start_word"], r["end_word"]) for r in rows}
 
 
+def test_passages_with_every_seventh_word_changed(spark):
+    texts = []
+    for i in range(40):
+        shared = words(60, f"{i} shared", 10**6)
+        texts.append(" ".join(words(60, f"{i} a", 10**6) + shared + words(60, f"{i} b", 10**6)))
+        texts.append(" ".join(words(60, f"{i} c", 10**6) + [f"new{j}" if j % 7 == 6 else x for j, x in enumerate(shared)] + words(60, f"{i} d", 10**6)))
+    rows = passages.passages(docs(spark, *texts)).collect()
+    assert all(abs(r["start_word"] - 60) <= 8 and abs(r["end_word"] - 120) <= 8 for r in rows)
+    assert len({r["doc_id"] for r in rows}) >= 39
+
+
 def test_chain_against_all_orders():
     r = random.Random(4)
     for _ in range(60):
