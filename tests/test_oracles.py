@@ -35,3 +35,8 @@ def test_same_as_sql(spark, duck, small, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_roundtrip_has_every_clip(spark, duck, small):
+    clips = entry.queries()["json_roundtrip"](spark, small).where("kind = 'word'").select("clip").distinct().count()
+    assert clips == duck.sql("SELECT count(DISTINCT conv_id) FROM conversations").fetchall()[0][0]
