@@ -7,11 +7,13 @@ Each task packs what it reads, in pools of `pool` remainders, so no shuffle is n
 the task's partition in their upper bits. At most the last windows of a pool stay part empty.
 
 Cases: a null text is the empty one (its only id is the end id); a null doc_id is kept as null; repeated rows are packed each;
-an empty table gives no rows; ties in length go by the order of reading; other columns are ignored.
+an empty table gives no rows; ties in length go by the order of reading; other columns are ignored; a text of any length is encoded
+whole, runs of white space or of letters included.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -82,8 +84,13 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[tuple[int, int]
     return found
 
 
+# The white space of the pre-token pattern's \s, where it runs on for long.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1024,}")
+
+
 @lru_cache(2)
-def _ranks(path: str, special: str, special_id: int):
+def _ranks(path: str):
+    """(encoder by the pre-token pattern, encoder of a text as one pre-token)."""
     import base64
 
     import public_tokenizers
@@ -91,19 +98,38 @@ def _ranks(path: str, special: str, special_id: int):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={special: special_id})
+    return tuple(tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (public_tokenizers.PATTERN, r"[\s\S]+"))
 
 
 def rank_encoder(path: str | None = None, special: str = "<|endoftext|>", special_id: int = 50256) -> Callable[[str], np.ndarray]:
     """Encodes by the rank file of the byte_bpe_50k vocabulary. Its ids are those of byte_bpe_50k.json, whose special string is
-    one id wherever it occurs; the rank file is several times as fast. `path`: a file that every worker has."""
+    one id wherever it occurs; the rank file is several times as fast. `path`: a file that every worker has.
+
+    The pattern's `\\s+(?!\\S)` backtracks over a run of white space, which overflows the matcher's stack on a long one. So long runs
+    are cut out first. A maximal run begins with a pre-token, as no other alternative of the pattern ends in white space; the alternative takes
+    it whole at the end of a text and but for its last character before anything else, which then begins a pre-token too. Nothing in the pattern looks
+    back, so what stands before, within and after is encoded apart with the same result."""
     import public_tokenizers
 
-    enc = _ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), special, special_id)
-    allowed = {special}
+    plain, single = _ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    mark = np.array([special_id], dtype=np.uint32)
+
+    def parts(text: str) -> Iterator[np.ndarray]:
+        at = 0
+        for m in _RUN.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            yield plain.encode_to_numpy(text[at : m.start()], disallowed_special=())
+            yield single.encode_to_numpy(text[m.start() : end], disallowed_special=())
+            at = end
+        yield plain.encode_to_numpy(text[at:], disallowed_special=())
 
     def encode(text: str) -> np.ndarray:
-        return enc.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
+        found: list[np.ndarray] = []
+        for i, piece in enumerate(text.split(special)):
+            if i:
+                found.append(mark)
+            found += parts(piece)
+        return found[0] if len(found) == 1 else np.concatenate(found)
 
     return encode
 

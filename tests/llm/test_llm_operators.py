@@ -402,6 +402,19 @@ def test_packing_against_tokenizers(spark, small):
         assert at <= 2048
 
 
+def test_packing_of_long_runs():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encode, t, r = packing.rank_encoder(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(1)
+    bits = [" ", "\n", "a", "1", ".", "'s", "é", "\u2003", "<|endoftext|>", "\x1c", "\x85"]
+    for _ in range(150):
+        text = "".join(r.choice(bits) * r.choice([1, 1, 2, 1100]) for _ in range(r.randrange(9)))
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    for run in (" ", "\n", "a", "7"):
+        assert len(encode(run * 5_000_000 + "x")) > 10**5
+
+
 # Byte BPE
 
 
