@@ -28,7 +28,11 @@ SELECT d.doc_id, {counts}, sha256(coalesce(string_agg({said}, ',' ORDER BY ends
 FROM docs d LEFT JOIN good g ON g.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
-def pii_pseudonyms(key: str = "lexspan") -> str:
+#: The key of the registered query, which SQL has to know as well. An example: real data need a secret one.
+EXAMPLE_KEY = "example key, not secret"
+
+
+def pii_pseudonyms(key: str = EXAMPLE_KEY) -> str:
     full = lambda name: f"regexp_full_match(m, {_quoted(pii.FORMATS[name])})"
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     luhn = lambda d, parity: f"list_sum(list_transform(string_split({d}, ''), lambda x, i: CASE WHEN (i - 1) % 2 = {parity} THEN [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(x AS INTEGER) + 1] ELSE CAST(x AS INTEGER) END))"
@@ -41,7 +45,7 @@ def pii_pseudonyms(key: str = "lexspan") -> str:
   WHEN {full("card")} THEN CASE WHEN {luhn(digits, f"length({digits}) % 2")} % 10 = 0 THEN 'card' END END"""
     turns = []
     for i in range(pii.ROUNDS):
-        hash_ = lambda x, i=i: f"CAST('0x' || substr(sha256(concat_ws('|', {_quoted(key)}, kind, n, {i}, {x})), 1, 15) AS BIGINT)"
+        hash_ = lambda x, i=i: f"CAST('0x' || substr(sha256(concat_ws('|', {_quoted(key)}, kind, own, {i}, {x})), 1, 15) AS BIGINT)"
         move = f"(l + {hash_('r')}) % a AS l, r" if i % 2 == 0 else f"l, (r + {hash_('l')}) % b AS r"
         turns.append(f"turn{i} AS (SELECT * EXCLUDE (l, r), {move} FROM {f'turn{i - 1}' if i else 'numbered'})")
     mails = []
@@ -60,6 +64,9 @@ def pii_pseudonyms(key: str = "lexspan") -> str:
     counts = ", ".join(f"CAST(count(*) FILTER (kind = '{k}') AS BIGINT) AS n_{k}" for k in pii.FORMATS)
     ten = f"right({digits}, 10)"
     part = lambda a, n, of=ten: f"CAST(substr({of}, {a}, {n}) AS BIGINT)"
+    size = lambda at: f"CASE WHEN {part(at, 3)} >= 200 THEN 80000 ELSE 20000 END"
+    code = lambda at: f"({part(at, 3)} - CASE WHEN {part(at, 3)} >= 200 THEN 200 ELSE 0 END)"
+    whole = lambda x, of: f"lpad(CAST({x} // 100 + CASE WHEN {of} = 80000 THEN 200 ELSE 0 END AS VARCHAR), 3, '0')"
     octet = lambda i: f"CAST(string_split(m, '.')[{i}] AS BIGINT)"
     days = f"date_diff('day', TIMESTAMP '1800-01-01', {date})"
     first = part(1, 3, digits)
@@ -67,13 +74,14 @@ def pii_pseudonyms(key: str = "lexspan") -> str:
 found AS (SELECT rid, doc_id, regexp_extract_all(text, {_quoted(pii.PATTERN)}) AS ms, string_split_regex(text, {_quoted(pii.PATTERN)}) AS gaps FROM numbered_docs),
 hits AS (SELECT rid, unnest(ms) AS m, unnest(range(len(ms))) AS i FROM found),
 kinds AS (SELECT *, {kind} AS kind, length({digits}) AS n FROM hits),
-numbered AS (SELECT *, {half} AS half,
-  CASE kind WHEN 'card' THEN CAST(pow(10, {half}) AS BIGINT) WHEN 'phone' THEN 100000 WHEN 'ip' THEN 65536 WHEN 'ssn' THEN 88902 WHEN 'date' THEN 189 END AS a,
-  CASE kind WHEN 'card' THEN CAST(pow(10, n - 2 - {half}) AS BIGINT) WHEN 'phone' THEN 100000 WHEN 'ip' THEN 65536 WHEN 'ssn' THEN 9999 WHEN 'date' THEN 773 END AS b,
-  CASE kind WHEN 'card' THEN CAST(substr({digits}, 2, {half}) AS BIGINT) WHEN 'phone' THEN {part(1, 3)} * 100 + {part(7, 2)} WHEN 'ip' THEN {octet(1)} * 256 + {octet(2)} WHEN 'ssn' THEN ({first} - 1 - CASE WHEN {first} > 666 THEN 1 ELSE 0 END) * 99 + {part(4, 2, digits)} - 1 WHEN 'date' THEN {days} // 773 END AS l,
-  CASE kind WHEN 'card' THEN CAST(substr({digits}, 2 + {half}, n - 2 - {half}) AS BIGINT) WHEN 'phone' THEN {part(4, 3)} * 100 + {part(9, 2)} WHEN 'ip' THEN {octet(3)} * 256 + {octet(4)} WHEN 'ssn' THEN {part(6, 4, digits)} - 1 WHEN 'date' THEN {days} % 773 END AS r
-  FROM kinds WHERE kind <> 'email'), {", ".join(turns)},
-fillings AS (SELECT *, CASE kind WHEN 'card' THEN {payload} WHEN 'phone' THEN left({digits}, n - 10) || lpad(CAST(l // 100 AS VARCHAR), 3, '0') || lpad(CAST(r // 100 AS VARCHAR), 3, '0') || lpad(CAST(l % 100 AS VARCHAR), 2, '0') || lpad(CAST(r % 100 AS VARCHAR), 2, '0') END AS filling0 FROM turn{pii.ROUNDS - 1}),
+sized AS (SELECT *, {half} AS half,
+  CASE kind WHEN 'card' THEN CAST(pow(10, {half}) AS BIGINT) WHEN 'phone' THEN {size(1)} WHEN 'ip' THEN 65536 WHEN 'ssn' THEN 88902 WHEN 'date' THEN 189 END AS a,
+  CASE kind WHEN 'card' THEN CAST(pow(10, n - 2 - {half}) AS BIGINT) WHEN 'phone' THEN {size(4)} WHEN 'ip' THEN 65536 WHEN 'ssn' THEN 9999 WHEN 'date' THEN 773 END AS b,
+  CASE kind WHEN 'card' THEN CAST(substr({digits}, 2, {half}) AS BIGINT) WHEN 'phone' THEN {code(1)} * 100 + {part(7, 2)} WHEN 'ip' THEN {octet(1)} * 256 + {octet(2)} WHEN 'ssn' THEN ({first} - 1 - CASE WHEN {first} > 666 THEN 1 ELSE 0 END) * 99 + {part(4, 2, digits)} - 1 WHEN 'date' THEN {days} // 773 END AS l,
+  CASE kind WHEN 'card' THEN CAST(substr({digits}, 2 + {half}, n - 2 - {half}) AS BIGINT) WHEN 'phone' THEN {code(4)} * 100 + {part(9, 2)} WHEN 'ip' THEN {octet(3)} * 256 + {octet(4)} WHEN 'ssn' THEN {part(6, 4, digits)} - 1 WHEN 'date' THEN {days} % 773 END AS r
+  FROM kinds WHERE kind <> 'email'),
+numbered AS (SELECT *, CASE kind WHEN 'card' THEN n WHEN 'phone' THEN 2 * a + b ELSE 0 END AS own FROM sized), {", ".join(turns)},
+fillings AS (SELECT *, CASE kind WHEN 'card' THEN {payload} WHEN 'phone' THEN left({digits}, n - 10) || {whole('l', 'a')} || {whole('r', 'b')} || lpad(CAST(l % 100 AS VARCHAR), 2, '0') || lpad(CAST(r % 100 AS VARCHAR), 2, '0') END AS filling0 FROM turn{pii.ROUNDS - 1}),
 checked AS (SELECT *, CASE kind WHEN 'card' THEN filling0 || CAST((10 - {luhn("filling0", "(length(filling0) + 1) % 2")} % 10) % 10 AS VARCHAR) ELSE filling0 END AS filling FROM fillings),
 mails AS (SELECT rid, i, m, regexp_replace(m, '\.[A-Za-z]+$', '') AS body, regexp_extract(m, '\.[A-Za-z]+$') AS ending, left(regexp_replace(m, '\.[A-Za-z]+$', ''), length(regexp_replace(m, '\.[A-Za-z]+$', '')) // 2) AS el, substr(regexp_replace(m, '\.[A-Za-z]+$', ''), length(regexp_replace(m, '\.[A-Za-z]+$', '')) // 2 + 1) AS er FROM kinds WHERE kind = 'email'), {", ".join(mails)},
 written AS (SELECT rid, i, kind, CASE kind WHEN 'ip' THEN concat_ws('.', l // 256, l % 256, r // 256, r % 256) WHEN 'ssn' THEN lpad(CAST({area} AS VARCHAR), 3, '0') || '-' || lpad(CAST(l % 99 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(r + 1 AS VARCHAR), 4, '0')

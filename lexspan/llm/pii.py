@@ -6,12 +6,16 @@ their areas), mapped to a pair of numbers (left, right) with left < a and right
 SHA-256, so the map is a permutation of the format's values: equal values stay equal in all documents, different ones different.
 
   card   its first digit stays, the middle digits are permuted, the Luhn digit is computed anew; separators stay
-  phone  all ten digits are permuted, brackets and separators stay, as does +1
+  phone  all ten digits are permuted, brackets and separators stay, as does +1; an area code or exchange that can be assigned (first digit
+         2 to 9) becomes such a one, another stays another: a number that cannot be dialled is still hidden, and no valid one becomes invalid
   ip     the four octets
   ssn    the valid areas, groups and serials
   date   the 146,097 days from 1800-01-01 to 2199-12-31; y-m-d, d.m.y and m/d/y stay as they are
-  email  letters and digits permuted within their kind, but for the last part of the domain
+  email  letters and digits permuted within their kind, but for the last part of the domain; parts have the lengths that addresses
+         allow (64 before the sign, 63 a label, eight labels), which also bounds the matching: a text of any length takes linear time
 
+Card numbers of each length are permuted for themselves; all other formats have one permutation, however their values are written. The key
+is the caller's: whoever has it can undo the pseudonyms.
 Dates outside those years and values that fail their check stay as they are. Everything is DataFrame functions.
 
 Cases: a null text is the empty one; a null doc_id is kept; repeated rows are treated alike; an empty table gives no rows; other
@@ -27,7 +31,7 @@ from lexspan.llm.common import id_text
 
 # The formats, as Java and RE2 read them; tried in this order.
 FORMATS = {
-    "email": r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "date": r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\b[0-9]{2}\.[0-9]{2}\.[0-9]{4}\b|\b[0-9]{2}/[0-9]{2}/[0-9]{4}\b",
     "ip": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
@@ -79,8 +83,8 @@ def kind_of(x: Column) -> Column:
     return out
 
 
-def _prf(key: str, kind: Column, n: Column, turn: Column, value: Column) -> Column:
-    said = F.concat_ws("|", F.lit(key), kind, n.cast("string"), turn.cast("string"), value.cast("string"))
+def _prf(key: str, kind: Column, own: Column, turn: Column, value: Column) -> Column:
+    said = F.concat_ws("|", F.lit(key), kind, own.cast("string"), turn.cast("string"), value.cast("string"))
     return F.conv(F.substring(F.sha2(said, 256), 1, 15), 16, 10).cast("bigint")
 
 
@@ -89,16 +93,27 @@ def _power(n: Column) -> Column:
 
 
 def feistel(key: str, x: Column) -> Column:
-    """x: struct<kind, n, a, b, left, right>; the permuted struct<l, r>."""
+    """x: struct<kind, n, a, b, left, right>; the permuted struct<l, r>. What tells the permutations of a kind apart is hashed with the
+    value: the length of a card number, the size of a phone number's halves."""
+    own = F.when(x["kind"] == "card", x["n"].cast("bigint")).when(x["kind"] == "phone", 2 * x["a"] + x["b"]).otherwise(F.lit(0).cast("bigint"))
 
     def turn(acc: Column, i: Column) -> Column:
         even = i % 2 == 0
-        f = _prf(key, x["kind"], x["n"], i, F.when(even, acc["r"]).otherwise(acc["l"]))
+        f = _prf(key, x["kind"], own, i, F.when(even, acc["r"]).otherwise(acc["l"]))
         return F.struct(F.when(even, F.pmod(acc["l"] + f, x["a"])).otherwise(acc["l"]).alias("l"), F.when(even, acc["r"]).otherwise(F.pmod(acc["r"] + f, x["b"])).alias("r"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(x["left"].alias("l"), x["right"].alias("r")), turn)
 
 
+def _half(code: Column) -> Column:
+    """How many values half a phone number has: an area code or exchange of the same kind, and two digits of the line."""
+    return F.when(code >= 200, F.lit(80000)).otherwise(F.lit(20000))
+
+
+def _code(code: Column) -> Column:
+    return code - F.when(code >= 200, 200).otherwise(0)
+
+
 def numbered(m: Column, kind: Column) -> Column:
     """struct<m, kind, n, a, b, left, right> of a validated match."""
     d = _digits(m)
@@ -114,7 +129,7 @@ def numbered(m: Column, kind: Column) -> Column:
     part = lambda s, a, b: F.substring(s, F.lit(a), F.lit(b))
     by = {
         "card": (_power(half), _power(n - 2 - half), _long(F.substring(middle, F.lit(1), half)), _long(F.substring(middle, half + 1, n))),
-        "phone": (F.lit(100000), F.lit(100000), _long(part(ten, 1, 3)) * 100 + _long(part(ten, 7, 2)), _long(part(ten, 4, 3)) * 100 + _long(part(ten, 9, 2))),
+        "phone": (_half(_long(part(ten, 1, 3))), _half(_long(part(ten, 4, 3))), _code(_long(part(ten, 1, 3))) * 100 + _long(part(ten, 7, 2)), _code(_long(part(ten, 4, 3))) * 100 + _long(part(ten, 9, 2))),
         "ip": (F.lit(65536), F.lit(65536), octet(0) * 256 + octet(1), octet(2) * 256 + octet(3)),
         "ssn": (F.lit(898 * 99), F.lit(9999), area * 99 + _long(part(d, 4, 2)) - 1, _long(part(d, 6, 4)) - 1),
         "date": (F.lit(189), F.lit(773), F.floor(days / 773), days % 773),
@@ -165,8 +180,8 @@ def _written(key: str, x: Column, f: Column) -> Column:
     payload = F.concat(F.left(_digits(m), F.lit(1)), F.lpad(f["l"].cast("string"), half, F.lit("0")), F.lpad(f["r"].cast("string"), n - 2 - half, F.lit("0")))
     # in the whole number the digits doubled are every second one before the last
     check = F.pmod(-_luhn(payload, F.pmod(F.length(payload) + 1, F.lit(2))), F.lit(10))
-    l5, r5 = F.lpad(f["l"].cast("string"), 5, "0"), F.lpad(f["r"].cast("string"), 5, "0")
-    phone = F.concat(F.left(l5, F.lit(3)), F.left(r5, F.lit(3)), F.right(l5, F.lit(2)), F.right(r5, F.lit(2)))
+    code = lambda v, size: two((F.floor(v / 100) + F.when(size == 80000, 200).otherwise(0)), 3)
+    phone = F.concat(code(f["l"], x["a"]), code(f["r"], x["b"]), two(f["l"] % 100, 2), two(f["r"] % 100, 2))
     area = F.floor(f["l"] / 99) + 1
     area = area + F.when(area >= 666, 1).otherwise(0)
     date = F.date_add(F.lit("1800-01-01").cast("date"), (f["l"] * 773 + f["r"]).cast("int"))
@@ -190,7 +205,7 @@ def _is(kind: str):
     return lambda x: x["kind"] == kind
 
 
-def pseudonymise(docs: DataFrame, key: str = "lexspan") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text with its personal data replaced, and the number of values replaced by kind (n_email ...)."""
     shape = "array<struct<m:string,kind:string,n:int,a:bigint,b:bigint,left:bigint,right:bigint>>"
     hits = F.transform(F.transform(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))), lambda x: numbered(x["m"], x["kind"]))

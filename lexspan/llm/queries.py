@@ -14,7 +14,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), oracles.EXAMPLE_KEY)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def edge_cases(spark):
 
 FRAMES = {
     "toxicity": lambda d: toxicity.score(d, toxicity.OrdinalModel({"bad": 1.0}, [1.0, 2.0])),
-    "pii": pii.pseudonymise,
+    "pii": lambda d: pii.pseudonymise(d, "k"),
     "secrets": lambda d: secrets.digests(secrets.scan(d)),
     "redact": secrets.redact,
     "packing": packing.pack,
@@ -108,7 +108,7 @@ def luhn(d):
 
 def test_pii_formats(spark):
     text = "m bob.Ab-42@mail8.example.com 10.1.2.255 +1 (988) 555-2485 4041894974608795 4041-8949-7460-8795 123-45-6789 2001-02-29 2000-02-29 31.12.1999 12/31/1999 999.1.1.1 4041894974608796"
-    rows = pii.pseudonymise(docs(spark, text, "bob.Ab-42@mail8.example.com 1999-12-31 4041 8949 7460 8795", "none 12")).orderBy("doc_id").collect()
+    rows = pii.pseudonymise(docs(spark, text, "bob.Ab-42@mail8.example.com 1999-12-31 4041 8949 7460 8795", "none 12"), "k0").orderBy("doc_id").collect()
     new = rows[0]["text"].split()
     old = text.split()
     assert rows[2]["text"] == "none 12"
@@ -128,12 +128,29 @@ def test_pii_is_a_permutation(spark):
     out = pii.pseudonymise(days.withColumnRenamed("id", "doc_id"), "k1")
     assert out.select("text").distinct().count() == out.count()
     ips = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat_ws(".", F.lit("10"), (F.col("id") / 65536).cast("int") % 256, (F.col("id") / 256).cast("int") % 256, F.col("id") % 256).alias("text"))
-    out = pii.pseudonymise(ips)
+    out = pii.pseudonymise(ips, "k1")
     assert out.select("text").distinct().count() == 20000
     assert out.where("n_ip <> 1").isEmpty()
     assert pii.pseudonymise(ips, "other").join(out.select("doc_id", F.col("text").alias("t2")), "doc_id").where("text = t2").count() < 5
 
 
+def test_pii_links_however_it_is_written(spark):
+    texts = ["+1 (988) 555-2485", "(988) 555-2485", "988-555-2485", "017-555-7713", "+1 (017) 155-7713"]
+    new = [r["text"] for r in pii.pseudonymise(docs(spark, *texts), "k").orderBy("doc_id").collect()]
+    digits = [re.sub("[^0-9]", "", x)[-10:] for x in new]
+    assert digits[0] == digits[1] == digits[2] and [re.sub("[0-9]", "9", x) for x in new[1:]] == [re.sub("[0-9]", "9", x) for x in texts[1:]]
+    assert [(d[0] > "1", d[3] > "1") for d in digits] == [(True, True)] * 3 + [(False, True), (False, False)]
+    ips = spark.range(400_000).select(F.col("id").alias("doc_id"), F.concat_ws(".", *(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(256)).cast("string") for i in range(4))).alias("text")).dropDuplicates(["text"])
+    assert pii.pseudonymise(ips, "k").select("text").distinct().count() == ips.count()
+
+
+def test_pii_of_long_runs(spark):
+    runs = ["a" * 2_000_000 + " 7", "7" * 2_000_000, "a." * 500_000 + "@", "a@" * 500_000, "a@" + "b." * 500_000, "x" * 500_000 + "@b.com", "7" * 100 + "-" * 500_000]
+    rows = pii.pseudonymise(docs(spark, *runs), "k").orderBy("doc_id").collect()
+    assert [len(r["text"]) for r in rows] == [len(x) for x in runs]
+    assert rows[5]["n_email"] == 1
+
+
 # Secrets
 
 
