@@ -3,13 +3,14 @@
 A conversation is rendered whole, encoded once with character offsets, and the sorted spans of its turns are intersected with the
 sorted token spans by binary search: the tokens that touch an assistant's text are under the loss mask.
 
-Template: `<|im_start|>role\\ntext<|im_end|>\\n` for each turn. Inside roles and texts `<`, any number of backslashes and `|` get one
-backslash more, so no control string remains and the escape can be undone; in roles, backslash and line break are written `\\\\`
-and `\\n` besides.
+Template: `<|im_start|>role<|im_sep|>text<|im_end|>\\n` for each turn. The three marks are added to the tokenizer as special tokens (with the next free
+ids), so a token ends where a text begins and where it ends: the masked tokens hold the assistant's texts and nothing else, which is
+checked. Inside roles and texts `<`, any number of backslashes and `|` get one backslash more, so no control string remains and
+the escape can be undone.
 
 Turns are ordered by turn, then role and text, nulls first. Cases: a null text or role is the empty one; rows without conv_id
 take no part; repeated rows are repeated turns; an empty table gives no rows; other columns are ignored. A conversation is held whole by the
-task that renders it, one at a time.
+task that renders it, one at a time, as its one encoding needs.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from lexspan.llm.common import arrow, as_batch, partitions, whole_groups
 
 # The template's marks.
-START, END, SPEAKER = "<|im_start|>", "<|im_end|>", "assistant"
-_TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + "\n", re.S)
+START, HEAD, END, SPEAKER = "<|im_start|>", "<|im_sep|>", "<|im_end|>", "assistant"
+_TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(HEAD) + "(.*?)" + re.escape(END) + "\n", re.S)
 
 
 def escape(text: str) -> str:
@@ -39,19 +40,11 @@ def unescape(text: str) -> str:
     return re.sub(r"<(\\*)\\\|", r"<\1|", text) if "<" in text else text
 
 
-def _role(role: str) -> str:
-    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
-
-
-def _unrole(text: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(text))
-
-
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """The formatted conversation, and where each turn's text stands in it."""
     parts, spans, at = [], [], 0
     for role, text in turns:
-        head, body = f"{START}{_role(role)}\n", escape(text)
+        head, body = f"{START}{escape(role)}{HEAD}", escape(text)
         spans.append((at + len(head), at + len(head) + len(body)))
         parts += [head, body, END, "\n"]
         at += len(head) + len(body) + len(END) + 1
@@ -60,7 +53,7 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
 
 def parse(formatted: str) -> list[tuple[str, str]]:
     """The turns, read back."""
-    return [(_unrole(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
+    return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
 def mask(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -73,15 +66,14 @@ def mask(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[t
     return out
 
 
-def under_mask(formatted: str, offsets: list[tuple[int, int]], spans: list[tuple[int, int]], ranges: list[tuple[int, int]]) -> list[str]:
-    """The text that the masked tokens cover within each span. Tokens of one character's bytes share its offsets; it counts once."""
+def under_mask(formatted: str, offsets: list[tuple[int, int]], ranges: list[tuple[int, int]]) -> list[str]:
+    """The text of each range of masked tokens, whole. Tokens of one character's bytes share its offsets; it counts once."""
     out = []
-    for (a, b), (low, high) in zip(spans, ranges, strict=True):
-        parts, done = [], a
+    for low, high in ranges:
+        parts, done = [], 0
         for x, y in offsets[low:high]:
-            x, y = max(x, done), min(y, b)
-            if y > x:
-                parts.append(formatted[x:y])
+            if y > done:
+                parts.append(formatted[max(x, done) : y])
                 done = y
         out.append("".join(parts))
     return out
@@ -89,9 +81,11 @@ def under_mask(formatted: str, offsets: list[tuple[int, int]], spans: list[tuple
 
 @lru_cache(2)
 def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+    from tokenizers import AddedToken, Tokenizer
 
-    return Tokenizer.from_file(path)
+    made = Tokenizer.from_file(path)
+    made.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (START, HEAD, END)])
+    return made
 
 
 FIELDS = "conv_id long, formatted string, ids array<int>, loss array<boolean>, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -110,7 +104,10 @@ def format_conversation(turns: list[tuple[str, str]], path: str) -> tuple:
     for low, high in ranges:
         loss[low:high] = [True] * (high - low)
     back = parse(formatted)
-    covered = [unescape(x) for x in under_mask(formatted, offsets, own, ranges)]
+    covered = under_mask(formatted, offsets, ranges)
+    if covered != [formatted[a:b] for a, b in own]:
+        raise ValueError("the tokenizer's tokens do not end where the turns do")
+    covered = [unescape(x) for x in covered]
     said = "".join(f"{role}\n{text}\n" for role, text in back)
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     return formatted, coded.ids, loss, len(back), sha(said), sum(map(len, covered)), sha("".join(covered)), len(formatted)

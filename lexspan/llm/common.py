@@ -79,24 +79,30 @@ def as_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[list[np.ndarray]]:
     """Columns of sorted, partitioned rows as arrays, cut only where one of the first `keys` columns changes. What is held is a
-    batch and the group that it breaks off in."""
-    kept: list[np.ndarray] | None = None
+    batch and the group that it breaks off in, which is joined once, when it is whole."""
+    held: list[list[np.ndarray]] = []
+
+    def whole(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        return parts[0] if len(parts) == 1 else [np.concatenate(x) for x in zip(*parts, strict=True)]
+
     for batch in batches:
         if not batch.num_rows:
             continue
         now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if kept is not None:
-            now = [np.concatenate(x) for x in zip(kept, now, strict=True)]
+        if held and any(a[-1] != b[0] for a, b in zip(held[-1][:keys], now[:keys], strict=True)):
+            yield whole(held)
+            held = []
         differs = np.zeros(len(now[0]) - 1, dtype=bool)
         for column in now[:keys]:
             differs |= column[1:] != column[:-1]
         edges = np.flatnonzero(differs)
-        cut = int(edges[-1]) + 1 if len(edges) else 0
-        kept = [x[cut:].copy() for x in now]
-        if cut:
-            yield [x[:cut] for x in now]
-    if kept is not None and len(kept[0]):
-        yield kept
+        if len(edges):
+            cut = int(edges[-1]) + 1
+            yield whole([*held, [x[:cut] for x in now]])
+            held, now = [], [x[cut:].copy() for x in now]
+        held.append(now)
+    if held:
+        yield whole(held)
 
 
 def partitions(spark: SparkSession) -> int:

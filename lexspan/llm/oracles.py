@@ -116,7 +116,7 @@ def chat_format() -> str:
     escape = lambda x: rf"regexp_replace({x}, '<(\\*)\|', '<\1\\|', 'g')"
     return rf"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL UNION ALL VALUES (-1, 0, 'user', {said}), (-1, 1, 'assistant', {said}))
 SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(length('<|im_start|>') + length({escape("role")}) + 1 + length({escape("text")}) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(length('<|im_start|>') + length({escape("role")}) + length('<|im_sep|>') + length({escape("text")}) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id"""
 
 

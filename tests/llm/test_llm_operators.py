@@ -321,9 +321,34 @@ def test_chats(spark):
         assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert (r["loss_chars"], r["loss_sha256"]) == (len(own), hashlib.sha256(own.encode()).hexdigest())
         assert len(r["ids"]) == len(r["loss"])
+        import public_tokenizers
+
+        plain = chat._tokenizer(public_tokenizers.path("byte_bpe_50k.json")).decode([i for i, under in zip(r["ids"], r["loss"]) if under], skip_special_tokens=False)
+        assert chat.unescape(plain) == own
     assert chat.format_chats(table.limit(0)).count() == 0
 
 
+def test_long_conversations(spark):
+    turns = [(5, i, ("user", "assistant")[i % 2], f"turn {i}. ") for i in range(30_000)] + [(6, 0, "assistant", " " * 1_000_000 + "x"), (6, 1, "assistant", "a" * 1_000_000)]
+    found = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    own = "".join(x[3] for x in turns[:30_000] if x[2] == "assistant")
+    assert (found[5]["n_turns"], found[5]["loss_sha256"]) == (30_000, hashlib.sha256(own.encode()).hexdigest())
+    assert found[6]["loss_chars"] == 2_000_001
+
+
+def test_whole_groups():
+    import pyarrow as pa
+
+    from lexspan.llm.common import whole_groups
+
+    keys = [0] * 3 + [1] * 50 + [2] * 2 + [3] * 20 + [4]
+    for size in (1, 2, 7, 100):
+        batches = [pa.record_batch({"k": keys[i : i + size], "n": list(range(len(keys)))[i : i + size]}) for i in range(0, len(keys), size)]
+        found = list(whole_groups(iter(batches)))
+        assert [x for k, n in found for x in zip(k.tolist(), n.tolist())] == list(zip(keys, range(len(keys))))
+        assert sum(len(set(k.tolist())) for k, _ in found) == 5
+
+
 # Vectors
 
 
