@@ -467,29 +467,60 @@ def coder():
     return bpe.ByteBpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, chunk=40, overlap=8)
 
 
+@pytest.fixture(scope="module")
+def plain():
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 @settings(max_examples=300, deadline=None)
 @given(text=st.text(st.one_of(st.sampled_from(" \t\n'sl12éß漢😀. "), st.characters(max_codepoint=0x2FF, exclude_categories=("Cs",))), max_size=300))
-def test_chunked_encoding(coder, text):
+def test_chunked_encoding(coder, plain, text):
     ids, n, chunks = coder.encode(text)
-    assert ids.tolist() == coder.bpe.encode_ordinary(text)
+    assert ids.tolist() == plain(text)
     assert coder.decode(ids) == text.encode()
-    assert chunks == 1 or len(text) > 48
+    assert n == len(coder.findall(text))
+    assert chunks == max(1, -(-len(text) // 40))
 
 
-def test_a_full_cache_changes_nothing():
+def test_a_full_cache_changes_nothing(plain):
     import public_tokenizers
 
     made = bpe.ByteBpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, cache=5)
-    for i in range(60):
+    for i in range(120):
         text = " ".join(words(7, i, 30))
-        assert made.encode(text)[0].tolist() == made.bpe.encode_ordinary(text)
+        assert made.encode(text)[0].tolist() == plain(text)
         assert len(made.cache) <= 5
 
 
-def test_long_runs(coder):
-    coder.workers = 2
+def test_long_runs(coder, plain):
     for text in (" " * 500 + "a", " a" * 300, "a b" + " " * 90 + "c d" * 50, "x" * 200 + " y z" * 40 + "\n" * 100 + "q", "a" * 500, "\n \n" * 200, "'s" * 200, "x" * 39 + "  " + "y" * 60):
-        assert coder.encode(text)[0].tolist() == coder.bpe.encode_ordinary(text)
+        assert coder.encode(text)[0].tolist() == plain(text)
+    r = random.Random(2)
+    for _ in range(1500):
+        text = "".join(r.choice(" \t\n'sl1é漢😀.") * r.choice([1, 1, 1, 2, 3, 20, 60]) for _ in range(r.randrange(120)))
+        assert coder.encode(text)[0].tolist() == plain(text)
+
+
+@tables
+def test_chunks_dealt_to_tasks(spark, small, plain):
+    d = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, "a " * 900), (2**60 + 1, " " * 3_000_000 + "x"), (2**60 + 2, "ab" * 1_500_000)], DOCS))
+    rows = {r["doc_id"]: r for r in bpe.encode_documents(d, chunk=256, overlap=32, share=2).collect()}
+    assert len(rows) == d.count()
+    for doc, text in d.collect():
+        assert rows[doc]["n_chunks"] == max(1, -(-len(text) // 256))
+        assert rows[doc]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        if doc is None or doc < 2**60:  # the reference overflows on the long runs
+            ids = plain(text)
+            assert (rows[doc]["n_tokens"], rows[doc]["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    some = d.where("doc_id < 20")
+    assert {r["doc_id"]: r["ids"] for r in bpe.tokens_of(some, chunk=64, share=1).collect()} == {r["doc_id"]: plain(r["text"]) for r in some.collect()}
 
 
 # Quality rules
