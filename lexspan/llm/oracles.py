@@ -93,7 +93,8 @@ SELECT any_value(doc_id) AS doc_id, string_agg(gap || coalesce(new, ''), '' ORDE
 
 
 def quality_rules(rules: quality.LineRules = quality.LineRules()) -> str:
-    some = lambda names: "(" + " OR ".join(f"contains(low, {_quoted(x)})" for x in names) + ")"
+    # the terms' words in a line whose words stand in blanks: what goes when a term is taken out, by the term's length
+    within = lambda names: "(" + " + ".join(f"(length(bare) - length(replace(bare, {_quoted(quality.spaced(x))}, ''))) // {len(quality.spaced(x))} * {len(x.split(' '))}" for x in names) + ")"
     bars = "[" + ", ".join(_quoted(x) for x in quality.BARS) + "]"
     return rf"""WITH {_DOCS},
 split AS (SELECT doc_id, text, list_filter(string_split_regex(text, '{_SPACE}+'), lambda w: w <> '') AS ws FROM docs),
@@ -102,9 +103,10 @@ threes AS (SELECT doc_id, i, a || ' ' || lead(a) OVER w || ' ' || lead(a, 2) OVE
 often AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS n FROM threes WHERE t IS NOT NULL) WHERE n > 1),
 covered AS (SELECT doc_id, CAST(count(DISTINCT i + j) AS BIGINT) AS n_repeat_words FROM often, range(3) r(j) GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
-full_lines AS (SELECT doc_id, line, translate(line, {_AZ}) AS low, regexp_replace(line, '{_SPACE}+', '', 'g') AS dense, list_filter(string_split_regex(line, '{_SPACE}+'), lambda w: w <> '') AS ws FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-judged AS (SELECT doc_id, line, length(dense) AS chars, len(list_filter(ws, lambda w: list_contains({bars}, w))) >= {rules.min_bars} OR (len(ws) <= {rules.nav_words} AND {some(quality.NAVIGATION)}) OR {some(quality.BOILERPLATE)}
-  OR (length(dense) - length(regexp_replace(dense, '[[:punct:]]', '', 'g')) >= {rules.least_punct} AND 100 * (length(dense) - length(regexp_replace(dense, '[[:punct:]]', '', 'g'))) > {rules.max_punct} * length(dense)) AS bad FROM full_lines),
+full_lines AS (SELECT doc_id, line, regexp_replace(line, '{_SPACE}+', '', 'g') AS dense, list_filter(string_split_regex(line, '{_SPACE}+'), lambda w: w <> '') AS ws FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+bared AS (SELECT *, array_to_string(list_transform(ws, lambda w: ' ' || regexp_replace(translate(w, {_AZ}), '^[[:punct:]]+|[[:punct:]]+$', '', 'g') || ' '), '') AS bare, len(list_filter(ws, lambda w: list_contains({bars}, w))) AS bars FROM full_lines),
+judged AS (SELECT doc_id, line, length(dense) AS chars, (bars >= {rules.min_bars} AND 100 * bars >= {rules.bar_share} * len(ws)) OR (len(ws) <= {rules.nav_words} AND 100 * {within(quality.NAVIGATION)} >= {rules.nav_share} * len(ws)) OR 100 * {within(quality.BOILERPLATE)} >= {rules.boiler_share} * len(ws)
+  OR (length(dense) - length(regexp_replace(dense, '[[:punct:]]', '', 'g')) >= {rules.least_punct} AND 100 * (length(dense) - length(regexp_replace(dense, '[[:punct:]]', '', 'g'))) > {rules.max_punct} * length(dense)) AS bad FROM bared),
 by_line AS (SELECT doc_id, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS n_dup_lines, CAST(count(*) FILTER (bad) AS BIGINT) AS n_bad_lines, CAST(coalesce(sum(chars) FILTER (bad), 0) AS BIGINT) AS lost_chars FROM judged GROUP BY doc_id),
 every AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{_SPACE}+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_bad_lines, 0) AS n_bad_lines, coalesce(lost_chars, 0) AS lost_chars
   FROM split LEFT JOIN by_line USING (doc_id) LEFT JOIN covered USING (doc_id))

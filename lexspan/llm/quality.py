@@ -1,9 +1,11 @@
 """Quality rules, line first.
 
-Each line that has a word is judged by three rules: punctuation (`least_punct` of its visible characters or more, and over
-`max_punct` per cent of them, are punctuation or symbols), navigation (`min_bars` or more separators standing alone, or at most `nav_words` words of which one
-is a navigation word) and boilerplate (a phrase such as "all rights reserved"). Failing lines are removed; a document is
-rejected if it fails the base rules or if the removed lines held more than `max_lost` per cent of its word characters.
+Each line that has a word is judged by three rules. Punctuation: `least_punct` of its visible characters or more, and over
+`max_punct` per cent of them, are punctuation or symbols. Navigation: `min_bars` or more separators stand alone and are `bar_share` per cent of its
+words or more; or it has at most `nav_words` words, of which navigation terms ("log in", "next") are `nav_share` per cent or more. Boilerplate: phrases such
+as "all rights reserved" are `boiler_share` per cent of its words or more. So a rule removes a line for what it mostly is, whatever its
+length, and prose that mentions a term stays. Terms are whole words, compared in ASCII lower case without outer ASCII punctuation. Failing lines are
+removed; a document is rejected if it fails the base rules or if the removed lines held more than `max_lost` per cent of its word characters.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Cases: a null text is the empty one, which has no words, fails the base rules and is not
 kept; a null doc_id is kept as null; repeated rows are judged each; an empty table gives no rows; other columns are ignored;
@@ -26,7 +28,7 @@ from lexspan.llm.common import arrow, as_batch, id_text, rows_of
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BARS = ("|", "»", "›", ">", "/", "·", "•")
-NAVIGATION = ("home", "menu", "login", "logout", "sign in", "sign up", "register", "next", "previous", "share", "search", "sitemap", "subscribe", "contact us", "about us", "skip to content", "back to top", "read more")
+NAVIGATION = ("home", "menu", "login", "log in", "logout", "log out", "sign in", "sign up", "register", "next", "previous", "share", "search", "sitemap", "subscribe", "contact us", "about us", "skip to content", "back to top", "read more")
 BOILERPLATE = ("all rights reserved", "copyright ©", "privacy policy", "terms of use", "terms of service", "cookie policy", "we use cookies", "enable javascript", "lorem ipsum", "unsubscribe")
 _NAV = re.compile("|".join(map(re.escape, NAVIGATION)))
 _BOILER = re.compile("|".join(map(re.escape, BOILERPLATE)))
@@ -41,7 +43,10 @@ class LineRules:
     max_punct: int = 25
     least_punct: int = 6
     min_bars: int = 3
+    bar_share: int = 15
     nav_words: int = 6
+    nav_share: int = 50
+    boiler_share: int = 30
     max_lost: int = 50
 
 
@@ -52,15 +57,31 @@ def _ascii_lower(text: str) -> str:
 _PUNCT_OUT = str.maketrans("", "", PUNCTUATION)
 
 
+def spaced(term: str) -> str:
+    """A term or line with a blank before and after each word, so that whole words are found and neighbours share no blank."""
+    return "".join(f" {x} " for x in term.split(" "))
+
+
+def _words_in(terms: tuple[str, ...], line: str) -> int:
+    """How many words of the line, spaced, belong to the terms; no two terms of a list overlap in a line."""
+    return sum(line.count(spaced(t)) * len(t.split(" ")) for t in terms)
+
+
 def line_fails(line: str, rules: LineRules = LineRules()) -> bool:
     """For a line that has a word."""
     if not (words := line.encode().split()):
         return False
-    if any(x in line for x in BARS) and sum(1 for x in words if x.decode() in BARS) >= rules.min_bars:
-        return True
+    n = len(words)
+    if any(x in line for x in BARS):
+        bars = sum(1 for x in words if x.decode() in BARS)
+        if bars >= rules.min_bars and 100 * bars >= rules.bar_share * n:
+            return True
     low = _ascii_lower(line)
-    if len(words) <= rules.nav_words and _NAV.search(low) or _BOILER.search(low):
-        return True
+    nav, boiler = n <= rules.nav_words and _NAV.search(low), _BOILER.search(low)
+    if nav or boiler:
+        bare = "".join(f" {x.strip(PUNCTUATION)} " for x in b" ".join(words).lower().decode().split(" "))
+        if nav and 100 * _words_in(NAVIGATION, bare) >= rules.nav_share * n or boiler and 100 * _words_in(BOILERPLATE, bare) >= rules.boiler_share * n:
+            return True
     dense = b"".join(words).decode()
     punct = len(dense) - len(dense.translate(_PUNCT_OUT))
     return punct >= rules.least_punct and 100 * punct > rules.max_punct * len(dense)

@@ -552,6 +552,47 @@ def test_line_rules():
     assert quality.judge(junk)[0][5:7] == (False, False)
 
 
+def test_good_lines_stay():
+    good = ["New research was published today.", "Shareholders met on Monday.", "She went home.", "He read the privacy policy before lunch.", "We shared a search for home.", "Next week the register opens in town.", "Use a / b / c or d / e in the long formula of the third chapter, as was said before it."]
+    assert not any(quality.line_fails(x) for x in good)
+    bad = ["Home", "Home | News | About us | Next", "Sign in / Register", "» Home » News » Next", "All rights reserved.", "Copyright © 2020 A. Person. All rights reserved.", "We use cookies.", "Skip to content", "(Read more)", "Lorem ipsum dolor", "home home"]
+    assert all(quality.line_fails(x) for x in bad)
+    prose = words(800, 7)
+    for more in ("privacy policy", "unsubscribe", "a / b / c / d", "All rights reserved.", "home", "> > >"):
+        found, left = quality.judge(" ".join(prose[:400] + [more] + prose[400:]))
+        assert found[6] and found[7] == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"|/>", "home", "Home.", "sign", "in", "up", "(sign", "privacy", "policy", "policy.", "copyright", "©", "unsubscribe", "shareholders", "a", "b", "...", "!?"]), min_size=1, max_size=12))
+def test_line_rules_brute_force(line):
+    rules = quality.LineRules()
+    bare = [x.lower().strip(quality.PUNCTUATION) for x in line]
+
+    def inside(terms):
+        total = 0
+        for t in (t.split(" ") for t in terms):
+            i = 0
+            while i + len(t) <= len(bare):
+                hit = bare[i : i + len(t)] == t
+                total, i = total + hit * len(t), i + (len(t) if hit else 1)
+        return total
+
+    bars = sum(x in quality.BARS for x in line)
+    punct = sum(c in quality.PUNCTUATION for x in line for c in x)
+    want = bars >= 3 and 100 * bars >= 15 * len(line) or len(line) <= 6 and inside(quality.NAVIGATION) >= 0.5 * len(line) or 10 * inside(quality.BOILERPLATE) >= 3 * len(line) or punct >= 6 and 4 * punct > sum(map(len, line))
+    assert quality.line_fails(" ".join(line), rules) == want
+
+
+@tables
+def test_clean_lines_stay(spark):
+    """Of the lines of letters, commas and stops (no shouting, no symbols, no words of the lists), under one in a hundred fails."""
+    lines = {x for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() for x in r[0].split("\n")}
+    plain = [x for x in lines if re.fullmatch(r"[^\W\d_]+([ ,.]+[^\W\d_]+)*\.?", x) and not x.isupper()]
+    assert len(plain) > 1000
+    assert sum(map(quality.line_fails, plain)) < 0.01 * len(plain)
+
+
 def test_keep_good(spark):
     prose = " ".join(words(80, 3)) + "."
     d = spark.createDataFrame([(1, prose, 5), (2, "short", 5), (3, prose + "\nAll rights reserved.", 5)], "doc_id bigint, text string, n_chars int")
