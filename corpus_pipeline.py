@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lexspan.llm import packing, passages, quality, secrets, simhash
-from lexspan.llm.common import shared_dir, table
+from lexspan.llm.common import Tables, bounded, swept, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,17 +33,18 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return packing.pack(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", simhash_near_dedup), ("substring dedup", substring_dedup), ("secret scan", secret_scan), ("packing", pack_windows)]
+STAGES = [(name, bounded(stage)) for name, stage in (("quality rules", quality_rules), ("SimHash near-dedup", simhash_near_dedup), ("substring dedup", substring_dedup), ("secret scan", secret_scan), ("packing", pack_windows))]
 #: SQL has no tokenizer for the last stage; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what lies between them is in the shared folder."""
-    docs, root = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n + 1 < len(STAGES):
-            docs.write.parquet(f"{root}/{n}")
-            docs = spark.read.parquet(f"{root}/{n}")
-    return docs
+    """All stages over the documents; what lies between them is in the shared folder, the last of it for the rows returned. A stage's own tables and its
+    predecessor's documents go once its documents are written."""
+    docs, made = table(spark, sf_dir, "documents"), Tables(spark, "pipeline")
+    for n, (_, stage) in enumerate(STAGES[:-1]):
+        with swept():
+            docs = made.put(str(n), stage(spark, docs, sf_dir))
+        if n:
+            made.drop(str(n - 1))
+    return STAGES[-1][1](spark, docs, sf_dir)
