@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,35 +16,89 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. It is set here only where it is unset and all tasks run in this
+    process (tests); on a cluster a folder of one machine would lose data, so there it has to be named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         ctx = spark.sparkContext
         if ctx._jsc.sc().getCheckpointDir().isEmpty():
+            if not (ctx.master == "local" or ctx.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             ctx.setCheckpointDir(tempfile.mkdtemp(prefix="lexspan-"))
         found = ctx._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while, unless it has been set to something else."""
+    before = spark.conf.get(key, None)
+    if before not in (None, "false"):
+        yield
+        return
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+_made: ContextVar[list | None] = ContextVar("made", default=None)
+
+
 class Tables:
     """Written tables of one run. They cut lineage and survive lost executors; drop() removes those no longer needed."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        if (made := _made.get()) is not None:
+            made.append(self)
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
+        """Writes and rereads a frame, which is run this once: its shuffle files go as soon as the table is there."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        """The tables named; without names, all."""
         jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        for name in [f"/{x}" for x in names] or [""]:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def swept() -> Iterator[None]:
+    """Drops the tables that operators make inside, at the end: what they return must have been written by then."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        made = _made.get()
+        _made.reset(token)
+        for one in made:
+            one.drop()
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(query: Callable) -> Callable:
+    """A query that first bounds its session's Arrow batches to 8 MB, unless they are bounded already: a batch is held by the JVM and by the
+    worker, for each core. Operators leave the session as it is; who calls them sets this."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *args):
+        if spark.conf.get(BATCH_BYTES, None) is None:
+            spark.conf.set(BATCH_BYTES, "8m")
+        return query(spark, *args)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,11 +109,7 @@ def id_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def arrow(df: DataFrame, task, schema) -> DataFrame:
-    """mapInArrow with batches bounded in bytes: the session's spark.sql.execution.arrow.maxBytesPerBatch, which is set to 8 MB here
-    unless it has been set. A batch is held by the JVM and by the worker, for each core."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(key, None) is None:
-        conf.set(key, "8m")
+    """mapInArrow; batches are bounded in bytes by the session (see bounded)."""
     return df.mapInArrow(task, schema)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexspan.llm import ann, bpe, chat, oracles, packing, passages, pii, quality, secrets, simhash, toxicity
-from lexspan.llm.common import table
+from lexspan.llm.common import bounded, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,5 +52,5 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii_pseudonyms, op3_secret_scan, op4_substring_dedup, op5_chat_format, op6_nearest_vectors, op7_packing, op8_byte_bpe, op9_quality_rules, op10_simhash_groups)}
+QUERIES = {f.__name__: bounded(f) for f in (op1_toxicity, op2_pii_pseudonyms, op3_secret_scan, op4_substring_dedup, op5_chat_format, op6_nearest_vectors, op7_packing, op8_byte_bpe, op9_quality_rules, op10_simhash_groups)}
 ORACLE_SQL = dict(oracles.SQL)

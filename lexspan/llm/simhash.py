@@ -50,14 +50,17 @@ def fingerprint(text: str, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp): fp as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, h, fp): h is the text's XXH64 as Spark computes it, fp the fingerprint as a signed long."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in rows_of(batches):
-            yield as_batch(schema, keys, np.array([fingerprint(x, words) for x in texts], dtype=np.uint64).astype(np.int64))
+        for batch in batches:
+            at = 0
+            for keys, texts in rows_of([batch]):
+                yield as_batch(schema, keys, batch.column(2).slice(at, len(keys)), np.array([fingerprint(x, words) for x in texts], dtype=np.uint64).astype(np.int64))
+                at += len(keys)
 
-    return arrow(id_text(docs), task, "doc_id long, fp long")
+    return arrow(id_text(docs).withColumn("h", F.xxhash64("text")), task, "doc_id long, h long, fp long")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -281,19 +284,36 @@ def components(edges: DataFrame, work: Tables) -> DataFrame:
             return labels
 
 
-def groups(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of docs."""
-    work = Tables(docs.sparkSession, "simhash")
+def grouped(docs: DataFrame, work: Tables, radius: int, words: int) -> DataFrame:
+    """(doc_id, h, fp, component_id) for each row of docs."""
     prints = work.put("prints", fingerprints(docs, words))
     classes = work.put("classes", prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
     edges = work.put("edges", near_links(classes.where("node is not null"), work, radius))
     labels = components(edges, work)
     named = work.put("named", classes.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id")))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(named, "fp")
+
+
+def groups(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row of docs."""
+    return grouped(docs, Tables(docs.sparkSession, "simhash"), radius, words).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """Of each group the document of smallest id; documents without an id stay."""
+    """Of each group one row stays: that of smallest id, of rows that repeat it that of least text hash, of equal ones any. Documents without an
+    id stay."""
     work = Tables(docs.sparkSession, "simhash-drop")
-    gone = work.put("gone", groups(docs, radius, words).where("doc_id > component_id").select("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = work.put("rows", grouped(docs, work, radius, words).where("doc_id is not null").groupBy("doc_id", "h", "component_id").agg(F.count(F.lit(1)).alias("n")))
+    first = rows.where("doc_id = component_id").groupBy("doc_id").agg(F.min("h").alias("least"), F.sum("n").alias("n")).where("n > 1")
+    repeated = work.put("repeated", first.select("doc_id", "least"))
+    taken = {c.lower() for c in docs.columns}
+    key, h = (next(x for x in (n, *(f"{n}_{i}" for i in range(len(taken) + 1))) if x not in taken) for n in ("key", "h"))
+    same = (F.col("doc_id").cast("long") == F.col(key)) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(h))
+    gone = work.put("gone", rows.where("doc_id > component_id").select(F.col("doc_id").alias(key), F.col("h").alias(h)))
+    left = docs.join(gone, same, "left_anti")
+    if not repeated.isEmpty():
+        of = repeated.select(F.col("doc_id").alias(key), F.col("least").alias(h))
+        one = docs.join(of, same).dropDuplicates([key]).select(*docs.columns)
+        # an id may be kept here and have gone as another text's namesake
+        left = left.join(of.select(key), F.col("doc_id").cast("long") == F.col(key), "left_anti").unionByName(one)
+    return left.select(*docs.columns)

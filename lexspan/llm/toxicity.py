@@ -10,7 +10,7 @@ else reads all rows. The labels of this corpus are 0/1, so training grades come
 1 to `grades` - 1 by quantiles of the weight of its marked features, those that chi-square ties to label 1.
 
 Cases: a null text is the empty one and scores as the model's floor; null labels are not used; several labels for one document
-count as their greatest; with no labels of both kinds, every score is 0.0; repeated rows are scored each; an empty table gives
+count as their greatest; of texts that share an id the least is learned from; with no labels of both kinds, every score is 0.0; repeated rows are scored each; an empty table gives
 no rows; other columns are ignored.
 """
 
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, grades: int =
     by = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     half = [by.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for t in (0, 1)]
     picked = half[0].unionByName(half[1])
-    rows = id_text(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).collect()
+    rows = id_text(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return learn([r["text"] for r in rows], [r["toxic"] for r in rows], grades)
 
