@@ -356,9 +356,9 @@ def test_neighbours_recall_and_cases(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 32))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5050, [0.0] * 32), (5100, [float("nan")] * 32), (5150, [None] * 32), (5200, [1.0]), (None, x[0].tolist()), (7, x[7].tolist()), (6000, x[100].tolist()), (6001, x[100].tolist())]
-    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("label", F.lit(1))
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumns({c: F.lit(1) for c in ("label", "v", "q", "part", "lead", "slice", "side", "code", "query_id", "rank", "score")})
     found: dict = {}
-    for r in ann.search(table, block=512, queries=32).collect():
+    for r in ann.search(table, most=100).collect():
         found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     ids = np.array([*range(3000), 6000, 6001])
     all_x = np.vstack([x, x[100], x[100]])
@@ -384,12 +384,24 @@ def test_neighbours_recall_and_cases(spark):
 
 def test_probing_is_exact():
     rng = np.random.default_rng(1)
-    codes = rng.integers(0, 256, size=(700, 16), dtype=np.uint8)
-    made = ann.MultiIndex(codes)
-    for radius in (0, 15, 40, 52, 63):
-        for q in codes[:20]:
-            d = np.bitwise_count(codes ^ q).sum(axis=1)
-            assert made.within(q, radius).tolist() == np.flatnonzero(d <= radius).tolist()
+    coder = ann.Coder(np.zeros(64), np.zeros((8, 64, 64)))
+    codes = rng.integers(0, 256, size=(700, 64), dtype=np.uint8)
+    near = np.bitwise_count(codes[:20, None, :16] ^ codes[None, :, :16]).sum(axis=2)
+    whole = np.bitwise_count(codes[:20, None, :] ^ codes[None, :, :]).sum(axis=2)
+    for radius in (0, 15, 40, 52, 63, 128):
+        met = [(int(a), int(b)) for part in range(16) for a, b in zip(*ann.meet(codes[:20], codes, coder, part, radius, 250))]
+        assert len(met) == len(set(met))
+        assert set(met) == {(int(a), int(b)) for a, b in zip(*np.nonzero((near <= radius) & (whole <= 250)))}
+
+
+def test_like_vectors_in_slices(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 16)), 400, axis=0), rng.normal(size=(800, 16))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    rows = ann.search(table, every=100, most=50).collect()
+    for q in (0, 100, 200, 300):
+        assert [r["vec_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for i in range(6) if i != q][:5]
+    assert len(rows) == 12 * 5
 
 
 # Packing
