@@ -4,6 +4,8 @@
   match WORDS OUT          transcripts (JSON lists) to matches; --limit, --lexicon
   plan WORDS OUT           transcripts to the edit timeline; --lead-in-ms, --total-ms, --files (a folder of generated clips)
   simulate WORDS           muted words, seconds and share of each clip
+  batch WORDS OUT          the manifest of a folder of transcripts, as JSON lines, up to the first that fails; --continue-on-error, --skip-existing (by
+                           the manifest in OUT), --copy-clean (OUT-copied lists the originals to copy), --dry-run (each match as OK or MISSING, nothing written)
   status MANIFEST          records by status
 
 Exit codes: 0 done, 1 failed, 2 input missing.
@@ -19,9 +21,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspan.functions.signal import FADE_MS
 from lexspan.functions.text import name, parent, to_ms
 from lexspan.operators import live, manifest, match, timeline
+from lexspan.plans import flows
 from lexspan.sources import catalog, lexicon, transcripts
+from lexspan.work import new_path
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -29,7 +34,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     steps = top.add_subparsers(dest="step", required=True)
     one = steps.add_parser("discover")
     one.add_argument("path")
-    for step in ("match", "plan", "simulate"):
+    for step in ("match", "plan", "simulate", "batch"):
         one = steps.add_parser(step)
         one.add_argument("words", help="a transcript or a folder of transcripts")
         if step != "simulate":
@@ -37,10 +42,16 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
             one.add_argument("--skip-existing", action="store_true", help="leave clips that OUT already has")
         one.add_argument("--lexicon", help="tab-separated key, replacement; default: the packaged one")
         one.add_argument("--limit", type=int, help="at most so many clips; 0: all")
+        if step in ("plan", "batch"):
+            one.add_argument("--files", help="folder clip/filename of generated audio; matches without a file are skipped")
+        if step == "batch":
+            one.add_argument("--continue-on-error", action="store_true")
+            one.add_argument("--copy-clean", action="store_true")
+            one.add_argument("--dry-run", action="store_true")
         if step == "plan":
+            one.add_argument("--crossfade-ms", type=int, default=FADE_MS, help="length of the fades of gaps; 0: none")
             one.add_argument("--lead-in-ms", type=int, help="the same for all words; default: by first letter")
             one.add_argument("--total-ms", type=int, help="length of every clip; default: the last word's end")
-            one.add_argument("--files", help="folder clip/filename of generated audio; matches without a file are skipped")
     one = steps.add_parser("status")
     one.add_argument("manifest")
     return top.parse_args(argv)
@@ -59,24 +70,54 @@ def _words(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return words
 
 
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    return found.select(name(parent(F.col("path"))).alias("clip"), name(F.col("path")).alias("filename"))
+
+
+def _batch(spark: SparkSession, args: argparse.Namespace, lex: DataFrame) -> DataFrame:
+    segments = transcripts.read_segments(spark, args.words)
+    if args.limit:
+        segments = segments.join(manifest.first_n(segments.select("clip"), args.limit, "clip"), "clip", "left_semi")
+    hits = timeline.with_ms(match.matches(match.timed(match.flatten(segments.where("error is null"))), lex))
+    files = _files(spark, args.files) if args.files else hits.select("clip", "filename")
+    if args.dry_run:
+        return manifest.dry_run(hits, files)
+    try:
+        done = transcripts.read_manifest(spark, args.out).where("relative is not null and status <> 'error'")
+    except AnalysisException:
+        done = spark.createDataFrame([], "relative string")
+    rows = flows.batch(segments, lex, files, done, args.skip_existing, args.continue_on_error)
+    new = new_path(spark, "manifest")
+    transcripts.write_manifest(rows.drop("idx"), new)  # what was there is read until the new one is whole
+    rows = transcripts.read_manifest(spark, new)
+    rows.write.mode("append" if args.skip_existing else "overwrite").json(args.out)
+    if args.copy_clean:
+        manifest.copied(rows, True).write.mode("overwrite").json(f"{args.out.rstrip('/')}-copied")
+    return rows.select("clip", "status", "error", "spliced", "skipped_splice", "relative")
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """The step's rows; match and plan also write them, as Parquet."""
     if args.step == "discover":
         return catalog.in_path_order(catalog.media(spark, args.path))
     if args.step == "status":
         return manifest.counts(transcripts.read_manifest(spark, args.manifest))
+    lex = lexicon.from_tsv(spark, args.lexicon) if args.lexicon else lexicon.packaged(spark)
+    if args.step == "batch":
+        return _batch(spark, args, lex)
     words = match.timed(_words(spark, args))
-    hits = timeline.with_ms(match.matches(words, lexicon.from_tsv(spark, args.lexicon) if args.lexicon else lexicon.packaged(spark)))
+    hits = timeline.with_ms(match.matches(words, lex))
     ends = words.groupBy("clip").agg(F.max("end").alias("duration_s"))
     if args.step == "simulate":
         return live.simulate(hits, ends)
     out = hits
     if args.step == "plan":
         if args.files:
-            found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(args.files).select("path")
-            hits = timeline.available(hits, found.select(name(parent(F.col("path"))).alias("clip"), name(F.col("path")).alias("filename")))
+            hits = timeline.available(hits, _files(spark, args.files))
         total = F.lit(args.total_ms).cast("bigint") if args.total_ms is not None else to_ms(F.col("duration_s"))
         out = timeline.segments(hits, ends.select("clip", total.alias("total_ms")), args.lead_in_ms)
+        out = out.join(timeline.gap_fades(out, args.crossfade_ms).select("clip", "seq", "fade_at"), ["clip", "seq"], "left")
     out.write.mode("append" if args.skip_existing else "overwrite").parquet(args.out)
     return spark.read.schema(out.schema).parquet(args.out)
 

@@ -79,22 +79,31 @@ def layout(channels: Column) -> Column:
     return F.when(channels == 2, "stereo").otherwise("mono")
 
 
+def _fixed(form: str, places: int, *values: Column) -> Column:
+    """Numbers with so many places, ties to even as the filters' own reader prints them (the formatter alone rounds ties up)."""
+    return F.format_string(form, *(F.bround(v, places) for v in values))
+
+
 def filter_chain(rate: Column, channels: Column, gain: Column, duration_s: Column, target_s: Column, fade_ms: int = FADE_MS) -> Column:
     """The replacement's filters in order, comma-joined."""
     t, f = tempo(duration_s, target_s), fade(duration_s, target_s, fade_ms)
-    whole = F.when(F.coalesce(target_s, F.lit(0.0)) > 0, F.format_string("apad=whole_dur=%.6f", target_s))
+    whole = F.when(F.coalesce(target_s, F.lit(0.0)) > 0, _fixed("apad=whole_dur=%.6f", 6, target_s))
     parts = F.concat(
-        F.array(F.format_string("aformat=sample_rates=%d:channel_layouts=%s", rate, layout(channels)), F.lit(TRIM), F.lit("areverse"), F.lit(TRIM), F.lit("areverse"), F.when(volume_written(gain), F.format_string("volume=%+.2fdB", gain))),
+        F.array(F.format_string("aformat=sample_rates=%d:channel_layouts=%s", rate, layout(channels)), F.lit(TRIM), F.lit("areverse"), F.lit(TRIM), F.lit("areverse"), F.when(volume_written(gain), _fixed("volume=%+.2fdB", 2, gain))),
         F.array_repeat(F.lit("atempo=2.0"), t["n"]),
-        F.array(F.when(t["rest"].isNotNull(), F.format_string("atempo=%.4f", t["rest"])), F.when(f["length"] > 0, F.format_string("afade=t=in:st=0:d=%.6f", f["length"])), F.when(f["length"] > 0, F.format_string("afade=t=out:st=%.6f:d=%.6f", f["out_at"], f["length"])), whole),
+        F.array(F.when(t["rest"].isNotNull(), _fixed("atempo=%.4f", 4, t["rest"])), F.when(f["length"] > 0, _fixed("afade=t=in:st=0:d=%.6f", 6, f["length"])), F.when(f["length"] > 0, _fixed("afade=t=out:st=%.6f:d=%.6f", 6, f["out_at"], f["length"])), whole),
     )
     return F.array_join(F.array_compact(parts), ",")
 
 
-def mean_volume_of(samples: Column) -> Column:
-    """dBFS of normalised samples; null for none and for silence."""
-    power = F.aggregate(samples, F.lit(0.0), lambda acc, x: acc + x * x) / F.size(samples)
-    return F.when((F.size(samples) > 0) & (power > 0), 10 * F.log10(power))
+def power_of(samples: Column) -> Column:
+    """Sum of squares of a block of normalised samples."""
+    return F.aggregate(samples, F.lit(0.0), lambda acc, x: acc + x * x)
+
+
+def mean_volume_of(power: Column, n: Column) -> Column:
+    """dBFS of n samples whose squares add up to power; null for none and for silence."""
+    return F.when((n > 0) & (power > 0), 10 * F.log10(power / n))
 
 
 def beep(n: int = BLOCK) -> Column:

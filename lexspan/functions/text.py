@@ -110,10 +110,6 @@ def error_text(kind: Column, message: Column, most: int = 200) -> Column:
     return F.left(F.concat(kind, F.lit(": "), message), F.lit(most))
 
 
-def tail(text: Column, most: int) -> Column:
-    return F.right(text, F.lit(most))
-
-
 def match_summary(matches: Column) -> Column:
     """word->replacement, comma-joined, of an array of structs."""
     return F.array_join(F.transform(matches, lambda m: F.concat(m["word"], F.lit("->"), m["replacement"])), ", ")

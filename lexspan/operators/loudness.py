@@ -6,14 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.functions.signal import BLOCK, LEAST_MEASURED_S, RATE, gain_db
+from lexspan.functions.signal import BLOCK, LEAST_MEASURED_S, RATE, gain_db, mean_volume_of, power_of
 
 
 def block_power(blocks: DataFrame) -> DataFrame:
     """Of blocks(clip, block_no, samples) each clip's mean volume in dB; null for silence."""
-    power = F.aggregate("samples", F.lit(0.0), lambda acc, x: acc + x * x)
-    by = blocks.groupBy("clip").agg(F.sum(power).alias("p"), F.sum(F.size("samples")).alias("n"))
-    return by.select("clip", F.when((F.col("n") > 0) & (F.col("p") > 0), 10 * F.log10(F.col("p") / F.col("n"))).alias("db"))
+    by = blocks.groupBy("clip").agg(F.sum(power_of(F.col("samples"))).alias("p"), F.sum(F.size("samples")).alias("n"))
+    return by.select("clip", mean_volume_of(F.col("p"), F.col("n")).alias("db"))
 
 
 def range_volume(ranges: DataFrame, blocks: DataFrame, rate: int = RATE, block: int = BLOCK) -> DataFrame:
@@ -27,9 +26,9 @@ def range_volume(ranges: DataFrame, blocks: DataFrame, rate: int = RATE, block:
     begin = F.greatest(F.lit(0), F.col("_first") - F.col("block_no") * block)
     size = F.least(F.lit(block), F.col("_last") - F.col("block_no") * block) - begin
     part = F.slice("samples", (begin + 1).cast("int"), size.cast("int"))
-    sums = each.select("clip", "pos", F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x * x).alias("p"), F.size(part).alias("n"))
+    sums = each.select("clip", "pos", power_of(part).alias("p"), F.size(part).alias("n"))
     by = sums.groupBy("clip", "pos").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    db = by.select("clip", "pos", F.when((F.col("n") > 0) & (F.col("p") > 0), 10 * F.log10(F.col("p") / F.col("n"))).alias("db"))
+    db = by.select("clip", "pos", mean_volume_of(F.col("p"), F.col("n")).alias("db"))
     return ranges.join(db, ["clip", "pos"], "left")
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from lexspan.schema import STATUSES
 from lexspan.work import new_path
 
+# Fixed value: characters of an error in a record.
+MOST_ERROR = 1500
+
 
 def records(clips: DataFrame) -> DataFrame:
     """Manifest rows of clips(clip, relative, skipped, error, words_found, replacements, spliced, skipped_splice): skipped rows hold
@@ -22,7 +25,7 @@ def records(clips: DataFrame) -> DataFrame:
         "status",
         F.when(done, F.coalesce("words_found", F.array().cast("array<string>"))).alias("words_found"),
         F.when(done, F.coalesce("replacements", F.array().cast("array<struct<word:string,replacement:string,start:double,end:double>>"))).alias("replacements"),
-        F.when(F.col("status") == "error", F.left("error", F.lit(1500))).alias("error"),
+        F.when(F.col("status") == "error", F.left("error", F.lit(MOST_ERROR))).alias("error"),
         F.when(F.col("status") == "censored", F.col("spliced")).cast("int").alias("spliced"),
         F.when(F.col("status") == "censored", F.col("skipped_splice")).cast("int").alias("skipped_splice"),
         F.when(F.col("status") != "skipped", F.col("relative")).alias("relative"),

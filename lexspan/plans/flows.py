@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.operators import live, manifest, match, timeline
+from lexspan.functions.signal import FADE_MS
+from lexspan.functions.text import path_key
+from lexspan.operators import live, loudness, manifest, match, timeline
 
 
-def edit_plan(words: DataFrame, lexicon: DataFrame, clips: DataFrame, files: DataFrame | None = None, lead_in: int | None = None) -> dict[str, DataFrame]:
-    """From words and clips(clip, total_ms): hits, the distinct speech to make, the timeline, and clips to copy as they are."""
+def edit_plan(words: DataFrame, lexicon: DataFrame, clips: DataFrame, files: DataFrame | None = None, lead_in: int | None = None, blocks: DataFrame | None = None, spoken: DataFrame | None = None, fade_ms: int = FADE_MS) -> dict[str, DataFrame]:
+    """From words and clips(clip, total_ms): hits, the distinct speech to make, the timeline, its fades, clips to copy as they are, and with the decoded
+    blocks(clip, block_no, samples) and the loudness of the speech, spoken(clip, pos, db), each match's gain."""
     hits = timeline.with_ms(match.matches(match.timed(words), lexicon))
     used = timeline.available(hits, files) if files is not None else hits
-    return {
+    line = timeline.segments(used, clips, lead_in)
+    plan = {} if blocks is None else {"gains": loudness.gains(loudness.range_volume(used.select("clip", "pos", "start", "end"), blocks), spoken if spoken is not None else used.select("clip", "pos", F.lit(None).cast("double").alias("db")))}
+    return plan | {
         "hits": hits,
         "speech": match.speech_requests(hits),
-        "timeline": timeline.segments(used, clips, lead_in),
+        "timeline": line,
+        "gap_fades": timeline.gap_fades(line, fade_ms),
+        "replacement_fades": timeline.replacement_fades(line, fade_ms),
         "clean": match.clean_clips(clips.select("clip"), hits),
     }
 
@@ -33,6 +40,14 @@ def batch_manifest(inputs: DataFrame, done: DataFrame, segments: DataFrame, lexi
     return manifest.records(rows.join(segments.select("clip", "error"), "clip", "left").join(found, "clip", "left").join(spliced, "clip", "left"))
 
 
+def batch(segments: DataFrame, lexicon: DataFrame, files: DataFrame, done: DataFrame, skip_existing: bool = False, continue_on_error: bool = False) -> DataFrame:
+    """The manifest of segments(clip, segments, error), in path order: up to the first error, which is included, or on to the end."""
+    inputs = manifest.numbered(segments.select("clip", F.concat("clip", F.lit(".json")).alias("relative")), path_key(F.col("relative")), "clip")
+    rows = batch_manifest(inputs.select("clip", "relative"), done, segments, lexicon, files, skip_existing)
+    placed = rows.join(inputs.select("clip", "idx"), "clip").withColumn("failed", F.col("status") == "error")
+    return manifest.until_failure(placed, keep_going=continue_on_error).drop("failed")
+
+
 def simulate(segments: DataFrame, lexicon: DataFrame, clips: DataFrame) -> DataFrame:
     """The live filter over whole clips."""
     return live.simulate(match.live_hits(segments, lexicon), clips)

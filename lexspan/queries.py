@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexspan.functions import signal, text
-from lexspan.operators import live, manifest, match, timeline
+from lexspan.operators import live, loudness, manifest, match, timeline
 from lexspan.schema import MATCH_LIST
 from lexspan.sources import adapters, catalog, lexicon, transcripts
 from lexspan.streaming import live as streams
@@ -244,10 +244,10 @@ def splice_counts(spark, sf_dir):
     return timeline.splice_counts(hits, hits.where(_HAS_FILE))
 
 
-@query(f"WITH {_hits()} SELECT CASE WHEN {_HAS_FILE} THEN 'OK' ELSE 'MISSING' END AS state, CAST(count(*) AS BIGINT) AS n FROM hits GROUP BY 1")
+@query(f"WITH {_hits()} SELECT clip, pos, CASE WHEN {_HAS_FILE} THEN 'OK' ELSE 'MISSING' END AS state FROM hits")
 def dry_run(spark, sf_dir):
     hits = hits_of(spark, sf_dir)
-    return manifest.dry_run(hits, hits.where(_HAS_FILE)).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    return manifest.dry_run(hits, hits.where(_HAS_FILE)).select("clip", "pos", "state")
 
 
 @query(f"WITH {_timeline()} SELECT clip, seq, 'file ''' || printf('it\\''s/%s/%06d_%s.wav', clip, seq, kind) || '''' AS line FROM timeline")
@@ -281,11 +281,21 @@ def tempo_chain(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", t["n"].alias("n"), F.round(t["rest"], 6).alias("rest"))
 
 
-@query("SELECT CAST(l_linenumber AS INTEGER) AS l_linenumber, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (0.9::DOUBLE + l_quantity / 10 - 0.9::DOUBLE > 1.05::DOUBLE * (0.2::DOUBLE + l_discount)) > 0 AS BOOLEAN) AS some_faster FROM lineitem GROUP BY 1")
+_CHAIN_SQL = f"""WITH v AS (SELECT l_orderkey, l_linenumber, 0.2::DOUBLE + l_discount AS t, 0.9::DOUBLE + l_quantity / 10 AS d, CASE WHEN l_linenumber = 2 THEN 1 ELSE 2 END AS ch, CASE WHEN l_linenumber = 3 THEN 0.0 ELSE l_quantity / 4 - 6 END AS g FROM lineitem),
+s AS (SELECT *, greatest(0.1::DOUBLE, d - 0.9::DOUBLE) / t AS v FROM v),
+n AS (SELECT *, CASE WHEN v > 1.05::DOUBLE THEN len(list_filter(range(1, 41), lambda k: v > pow(2.0::DOUBLE, k))) ELSE 0 END AS n, least(0.02::DOUBLE, t / 4) AS f FROM s)
+SELECT l_orderkey, l_linenumber, 'aformat=sample_rates=44100:channel_layouts=' || CASE ch WHEN 2 THEN 'stereo' ELSE 'mono' END || ',{signal.TRIM},areverse,{signal.TRIM},areverse'
+|| CASE WHEN abs(g) > 0.01 THEN ',volume=' || CASE WHEN g < 0 THEN '' ELSE '+' END || printf('%.2f', g) || 'dB' ELSE '' END || repeat(',atempo=2.0', n)
+|| CASE WHEN v > 1.05::DOUBLE THEN printf(',atempo=%.4f', v / pow(2.0::DOUBLE, n)) WHEN v < 0.95::DOUBLE THEN printf(',atempo=%.4f', greatest(0.5::DOUBLE, v)) ELSE '' END
+|| printf(',afade=t=in:st=0:d=%.6f', f) || printf(',afade=t=out:st=%.6f:d=%.6f', greatest(0.0::DOUBLE, t - f), f) || printf(',apad=whole_dur=%.6f', t) AS chain FROM n"""
+
+
+@query(_CHAIN_SQL)
 def filter_chains(spark, sf_dir):
-    chain = signal.filter_chain(F.lit(44100), F.lit(2), F.lit(6.0), 0.9 + F.col("l_quantity") / 10, 0.2 + F.col("l_discount"))
-    rows = table(spark, sf_dir, "lineitem").select("l_linenumber", chain.alias("chain"))
-    return rows.groupBy("l_linenumber").agg(F.count_if(F.startswith("chain", F.lit("aformat=sample_rates=44100:channel_layouts=stereo,"))).alias("n"), (F.count_if(F.contains("chain", F.lit("atempo="))) > 0).alias("some_faster"))
+    n = F.col("l_linenumber")
+    gain = F.when(n == 3, 0.0).otherwise(F.col("l_quantity") / 4 - 6)
+    chain = signal.filter_chain(F.lit(44100), F.when(n == 2, 1).otherwise(2), gain, 0.9 + F.col("l_quantity") / 10, 0.2 + F.col("l_discount"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", chain.alias("chain"))
 
 
 _EXTENSIONS = "['.MP3', '.m4b', '.aac', '.flac', '.tar.ogg', '', '.wav']"
@@ -361,9 +371,9 @@ def manifest_records(spark, sf_dir):
     return _statuses(spark, sf_dir).select("clip", "status", F.array_join("words_found", "|").alias("words"), text.match_summary(F.col("replacements")).alias("summary"), "error", "spliced", "skipped_splice", "relative")
 
 
-@query("WITH s(status, k) AS (VALUES ('censored', 0), ('clean', 1), ('skipped', 2), ('error', 3)) SELECT status, CAST(count(o_orderkey) AS BIGINT) AS n FROM s LEFT JOIN orders ON o_orderkey % 4 = k AND o_orderkey % 4 <> 3 GROUP BY status")
+@query("WITH s(status, k) AS (VALUES ('censored', 0), ('clean', 1), ('skipped', 2), ('error', 3)) SELECT status, CAST(count(o_orderkey) AS BIGINT) AS n FROM s LEFT JOIN orders ON o_orderkey % 4 = k GROUP BY status")
 def manifest_counts(spark, sf_dir):
-    return manifest.counts(_statuses(spark, sf_dir).where("status <> 'error'"))
+    return manifest.counts(_statuses(spark, sf_dir))
 
 
 _ORDERED = "idx AS (SELECT o_orderkey AS idx, o_totalprice > 400000 AS failed FROM orders)"
@@ -487,8 +497,8 @@ def beep_block(spark, sf_dir):
 
 @query("SELECT user_id AS key, round(10 * log10(avg(value * value)), 4) AS db FROM events GROUP BY user_id HAVING avg(value * value) > 0")
 def mean_volume(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg(F.collect_list("value").alias("samples"))
-    return rows.select("key", F.round(signal.mean_volume_of(F.col("samples")), 4).alias("db")).where("db is not null")
+    blocks = table(spark, sf_dir, "events").select(F.col("user_id").alias("clip"), F.array("value").alias("samples"))
+    return loudness.block_power(blocks).select(F.col("clip").alias("key"), F.round("db", 4).alias("db")).where("db is not null")
 
 
 _VECTORS = (("Dang,", None), (" hell", "heck"), ("WELL?", None), ("(damn)!", "dang"), ("half-ass.", "lazy"), ("_hell_", "heck"), ("HELL\n", "heck"), ("hell　", "heck"), (" hell ", "heck"), ("' hell'", None), ("“damn”", None), ("don't", None), ("--x--", None), ("", None))
@@ -531,23 +541,46 @@ def recognised_clips(spark, sf_dir):
     return match.flatten(adapters.recognise(clips, adapters.word_stub).where("error is null"))
 
 
-def _streamed(spark, sf_dir, make) -> DataFrame:
-    """Runs a query over the events as a stream to its end and reads what it wrote."""
+def _run(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there and reads what it wrote; in update mode each micro-batch is a folder."""
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    if mode == "update":
+        out = out.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/out/batch={n}"))
+    else:
+        out = out.format("parquet").option("path", f"{path}/out")
+    out.start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{path}/out")
+
+
+def _dropped(rows: DataFrame, path: str, cuts: list, by: str = "key") -> DataFrame:
+    """The rows as a stream that comes in time order: a few files for each stretch of at_us between the cuts, and a micro-batch for each."""
+    spark, files = rows.sparkSession, 2
+    edges = [None, *sorted(set(cuts)), None]
+    for low, high in zip(edges, edges[1:], strict=False):
+        part = rows if low is None else rows.where(F.col("at_us") >= low)
+        part = part if high is None else part.where(F.col("at_us") < high)
+        part.drop("at_us").repartition(files, by).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(rows.drop("at_us").schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
+
+
+def _streamed(spark, sf_dir, make, mode: str = "append") -> DataFrame:
+    """Runs a query over the events as a stream of at least three micro-batches, so that state is carried from one to the next."""
     path = new_path(spark, "stream")
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    now = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = source.select((F.col("user_id") % 50).alias("key"), F.col("event_id").alias("id"), now.alias("now_us"), (F.col("value") * 60000000).cast("bigint").alias("dur_us"), F.lit(signal.BLOCK).cast("bigint").alias("samples"), F.col("ts").cast("timestamp").alias("at"))
-    run = make(rows).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    rows = mute_events(spark, sf_dir).select((F.col("key") % 50).alias("key"), "id", "now_us", "dur_us", F.lit(signal.BLOCK).cast("bigint").alias("samples"), F.timestamp_micros("now_us").alias("at"), F.col("now_us").alias("at_us"))
+    cuts = [int(x) for x in rows.approxQuantile("now_us", [0.25, 0.5, 0.75], 0.01)] if not rows.isEmpty() else []
+    return _run(make(_dropped(rows, path, cuts)), path, mode)
 
 
-@query()
+_KEYED = "keyed AS (SELECT * REPLACE (key % 50 AS key) FROM mutes)"
+
+
+@query(f"WITH {_MUTES}, {_KEYED}, {_deadlines('keyed')} SELECT key, id, now_us, until_us, island FROM islands")
 def stream_mute(spark, sf_dir):
     return _streamed(spark, sf_dir, streams.mute_deadlines)
 
 
-@query()
+@query(f"""WITH {_MUTES}, {_KEYED}, b AS (SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY now_us, id) - 1 AS n FROM keyed)
+SELECT key, CAST(n // 16 AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS n_blocks, CAST(count(*) * 1024 AS BIGINT) AS n_samples, arg_max(id, n) AS last_id FROM b GROUP BY key, n // 16 HAVING count(*) = 16""")
 def stream_chunks(spark, sf_dir):
     return _streamed(spark, sf_dir, streams.asr_chunks)
 
@@ -557,11 +590,25 @@ def stream_sessions(spark, sf_dir):
     return _streamed(spark, sf_dir, streams.mute_sessions)
 
 
-@query()
+@query(f"""WITH {_MUTES}, {_KEYED}, third AS (SELECT * FROM keyed WHERE id % 3 = 0), {_deadlines('third')}, b AS (SELECT * FROM keyed WHERE id % 3 <> 0)
+SELECT b.key, b.id, b.now_us, coalesce(b.now_us < max(i.until_us), false) AS muted FROM b LEFT JOIN islands i ON i.key = b.key AND i.now_us <= b.now_us GROUP BY b.key, b.id, b.now_us""")
 def stream_gate(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda rows: streams.gated_blocks(rows.withColumn("dur_us", F.when(F.col("id") % 3 == 0, F.col("dur_us")))))
 
 
-@query()
+@query(f"WITH {_MUTES}, {_KEYED} SELECT key, id, lag(id, 5) OVER (PARTITION BY key ORDER BY now_us, id) AS out_id FROM keyed")
 def stream_delay(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda rows: streams.delayed_blocks(rows, 5))
+
+
+@query("SELECT user_id % 50 AS key, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def stream_ticker(spark, sf_dir):
+    """The last running count of each key."""
+    return _streamed(spark, sf_dir, streams.ticker, "update").groupBy("key").agg(F.max("n").alias("n"))
+
+
+@query(f"WITH {_hits()} SELECT clip, pos, word, replacement FROM hits")
+def stream_hits(spark, sf_dir):
+    path = new_path(spark, "stream")
+    rows = words_of(spark, sf_dir).withColumn("at_us", F.col("pos"))
+    return _run(streams.hits_of(_dropped(rows, path, [50, 200], "clip"), lexicon.fixture(spark)), path).select("clip", "pos", "word", "replacement")

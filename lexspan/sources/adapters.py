@@ -53,6 +53,31 @@ def speak(texts: DataFrame, make: Callable[[], Callable[[str], bytes]], least_by
     return texts.select("replacement").mapInArrow(task, "replacement string, audio binary, error string")
 
 
+def save_clips(hits: DataFrame, speech: DataFrame, folder: str) -> DataFrame:
+    """Writes the audio of speech(replacement, audio) for each of hits(clip, filename, replacement) as folder/clip/filename; gives (clip, filename,
+    length) of what was written, the files that a timeline may use. A file is whole once it has its name, and writing it again changes nothing."""
+
+    def task(batches: Batches) -> Batches:
+        import uuid
+
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            lengths = []
+            for clip, filename, audio in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                files.create_dir(f"{root}/{clip}")
+                part = f"{root}/{clip}/.{filename}-{uuid.uuid4().hex}"
+                with files.open_output_stream(part) as out:
+                    out.write(audio)
+                files.move(part, f"{root}/{clip}/{filename}")
+                lengths.append(len(audio))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, type=pa.int64())], names=["clip", "filename", "length"])
+
+    made = speech.where("audio is not null").select("replacement", "audio")
+    return hits.join(made, "replacement").select("clip", "filename", "audio").mapInArrow(task, "clip string, filename string, length bigint")
+
+
 def probe(clips: DataFrame, make: Callable[[], Callable[[str], tuple[float, int, int, bool]]]) -> DataFrame:
     """(clip, duration_s, sample_rate, channels, has_video) of clips(clip, path); a clip that fails has no duration, 44100 Hz, two
     channels and no video."""

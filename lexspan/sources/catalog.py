@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.functions.text import MEDIA, is_media, key_values, parent, path_key, relative, stem, suffix
+from lexspan.functions.text import MEDIA, is_media, parent, path_key, relative, stem, suffix
 
 
 def media(spark: SparkSession, root: str, extensions: tuple[str, ...] = MEDIA) -> DataFrame:
@@ -47,8 +47,3 @@ def device(devices: DataFrame, wanted: str, to_record: bool) -> DataFrame:
     able = F.col("inputs" if to_record else "outputs") > 0
     holds = F.contains(F.lower("name"), F.lit(wanted.lower()))
     return devices.where(holds).orderBy(F.when(able, 0).otherwise(1), "index").limit(1)
-
-
-def probed(text: Column) -> Column:
-    """The key-value map of a probe's output."""
-    return key_values(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.functions.text import stem
+from lexspan.functions.text import error_text, stem
 from lexspan.schema import MANIFEST, MATCH_LIST, WORD_LIST
 
 
@@ -30,6 +30,15 @@ def read_matches(spark: SparkSession, path: str, strict: bool = True) -> DataFra
     return _lists(spark, path, MATCH_LIST, strict).where("x is not null").select("clip", "pos", "x.word", "x.start", "x.end", "x.replacement")
 
 
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    """(clip, segments, error) of transcript files, as a recogniser gives them: a file that is no list, or cannot be read as one, is an error of its clip."""
+    files = spark.read.option("wholetext", "true").text(path).select(stem(F.col("_metadata.file_path")).alias("clip"), F.col("value"))
+    rows = files.select("clip", F.startswith(F.ltrim("value"), F.lit("[")).alias("is_list"), F.from_json("value", WORD_LIST, {"mode": "PERMISSIVE"}).alias("words"))
+    fine = F.col("is_list") & F.col("words").isNotNull()
+    words = F.filter("words", lambda w: w.isNotNull())
+    return rows.select("clip", F.when(fine, F.array(F.struct(words.alias("words")))).alias("segments"), F.when(~fine, error_text(F.lit("NotAList"), F.concat(F.col("clip"), F.lit(" is not a list")))).alias("error"))
+
+
 def as_json(rows: DataFrame, *fields: str) -> DataFrame:
     """One row a clip: its list in order as JSON text. A clip's words are one task's, as a file's are."""
     item = F.struct("pos", F.struct(*fields).alias("x"))

@@ -5,30 +5,34 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.functions.signal import BLOCK, LEAST_MUTE_S, RATE
-from lexspan.functions.text import clean_word
+from lexspan.operators import match
 
+_LEAST_US = int(LEAST_MUTE_S * 1_000_000)
+_NEVER = -(1 << 62)
 
-def mute_deadlines(hits: DataFrame, delay: str = "0 seconds") -> DataFrame:
+
+def _in_order(frames: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
+    """A key's rows of one micro-batch, whose size the source's files a trigger bound."""
+    return pd.concat(list(frames)).sort_values(list(by), kind="stable")
+
+
+def mute_deadlines(hits: DataFrame) -> DataFrame:
     """hits(key, id, now_us, dur_us) → key, id, now_us, until_us, island. Rows of a micro-batch are taken in time order."""
-    least = int(LEAST_MUTE_S * 1_000_000)
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        until, island = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(frames)).sort_values(["now_us", "id"], kind="stable")
-        out = []
-        for now, dur in zip(rows["now_us"].tolist(), rows["dur_us"].tolist(), strict=True):
-            if until is None or now >= until:
-                island += 1
-            end = now + max(least, dur)
-            until = end if until is None else max(until, end)
-            out.append((until, island))
-        state.update((until, island))
-        yield pd.DataFrame({"key": key[0], "id": rows["id"].to_numpy(), "now_us": rows["now_us"].to_numpy(), "until_us": [u for u, _ in out], "island": [i for _, i in out]})
+        until, island = state.get if state.exists else (_NEVER, 0)
+        rows = _in_order(frames, "now_us", "id")
+        now = rows["now_us"].to_numpy()
+        latest = np.maximum.accumulate(np.append(until, now + np.maximum(_LEAST_US, rows["dur_us"].to_numpy())))
+        islands = island + np.cumsum(now >= latest[:-1])
+        state.update((int(latest[-1]), int(islands[-1])))
+        yield pd.DataFrame({"key": key[0], "id": rows["id"].to_numpy(), "now_us": now, "until_us": latest[1:], "island": islands})
 
     rows = hits.select("key", "id", "now_us", "dur_us")
     return rows.groupBy("key").applyInPandasWithState(step, "key bigint, id bigint, now_us bigint, until_us bigint, island bigint", "until_us bigint, island bigint", "append", "NoTimeout")
@@ -41,14 +45,13 @@ def asr_chunks(blocks: DataFrame, seconds: float = 1.0) -> DataFrame:
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, samples, chunk = state.get if state.exists else (0, 0, 0)
-        rows = pd.concat(list(frames)).sort_values(["now_us", "id"], kind="stable")
-        out = []
-        for id_, size in zip(rows["id"].tolist(), rows["samples"].tolist(), strict=True):
-            n, samples = n + 1, samples + size
-            if samples >= enough:
-                out.append((key[0], chunk, n, samples, id_))
-                n, samples, chunk = 0, 0, chunk + 1
-        state.update((n, samples, chunk))
+        rows = _in_order(frames, "now_us", "id")
+        ids, sums = rows["id"].to_numpy(), np.cumsum(rows["samples"].to_numpy())
+        out, done, taken = [], 0, 0  # rows and samples that are in a chunk; a step a chunk
+        while (last := int(np.searchsorted(sums, taken + enough - samples))) < len(ids):
+            out.append((key[0], chunk, n + last + 1 - done, samples + int(sums[last]) - taken, int(ids[last])))
+            n, samples, chunk, done, taken = 0, 0, chunk + 1, last + 1, int(sums[last])
+        state.update((n + len(ids) - done, samples + int(sums[-1]) - taken, chunk))
         yield pd.DataFrame(out, columns=["key", "chunk", "n_blocks", "n_samples", "last_id"])
 
     rows = blocks.select("key", "id", "now_us", F.coalesce("samples", F.lit(BLOCK)).cast("bigint").alias("samples"))
@@ -56,8 +59,8 @@ def asr_chunks(blocks: DataFrame, seconds: float = 1.0) -> DataFrame:
 
 
 def hits_of(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Recognised words of a stream against a static lexicon: a stream-static join, broadcast as Catalyst finds fit."""
-    return words.withColumn("cleaned", clean_word(F.col("word"))).join(lexicon.select(F.col("key").alias("cleaned"), "replacement"), "cleaned").drop("cleaned")
+    """Recognised words of a stream that have both times, against a static lexicon: the batch operator as a stream-static join."""
+    return match.matches(match.timed(words), lexicon)
 
 
 def mute_sessions(hits: DataFrame, late: str = "10 seconds") -> DataFrame:
@@ -75,20 +78,15 @@ def ticker(stream: DataFrame, by: str = "key") -> DataFrame:
 def gated_blocks(marks: DataFrame) -> DataFrame:
     """marks(key, id, now_us, dur_us): a row with dur_us is a hit that sets a deadline, one without is a block. Gives each block's id,
     now_us and muted. A micro-batch is taken in time order, hits before blocks of the same time."""
-    least = int(LEAST_MUTE_S * 1_000_000)
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        (until,) = state.get if state.exists else (-(1 << 62),)
-        rows = pd.concat(list(frames))
-        rows = rows.assign(block=rows["dur_us"].isna()).sort_values(["now_us", "block", "id"], kind="stable")
-        out = []
-        for id_, now, dur, block in zip(rows["id"].tolist(), rows["now_us"].tolist(), rows["dur_us"].tolist(), rows["block"].tolist(), strict=True):
-            if block:
-                out.append((key[0], id_, now, now < until))
-            else:
-                until = max(until, now + max(least, int(dur)))
-        state.update((until,))
-        yield pd.DataFrame(out, columns=["key", "id", "now_us", "muted"])
+        (until,) = state.get if state.exists else (_NEVER,)
+        rows = _in_order((x.assign(block=x["dur_us"].isna()) for x in frames), "now_us", "block", "id")
+        now, block = rows["now_us"].to_numpy(), rows["block"].to_numpy()
+        ends = np.where(block, _NEVER, now + np.maximum(_LEAST_US, rows["dur_us"].fillna(0).to_numpy().astype(np.int64)))
+        latest = np.maximum.accumulate(np.append(until, ends))
+        state.update((int(latest[-1]),))
+        yield pd.DataFrame({"key": key[0], "id": rows["id"].to_numpy()[block], "now_us": now[block], "muted": (now < latest[1:])[block]})
 
     rows = marks.select("key", "id", "now_us", "dur_us")
     return rows.groupBy("key").applyInPandasWithState(step, "key bigint, id bigint, now_us bigint, muted boolean", "until_us bigint", "append", "NoTimeout")
@@ -100,10 +98,9 @@ def delayed_blocks(blocks: DataFrame, delay: int) -> DataFrame:
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["now_us", "id"], kind="stable")
-        ids = rows["id"].tolist()
+        ids = _in_order(frames, "now_us", "id")["id"].tolist()
         line = held + ids
-        out = [line[i - delay] if i >= delay else None for i in range(len(held), len(line))]
+        out = [None] * (delay - len(held)) + line[: len(line) - delay] if len(line) > delay else [None] * len(ids)
         state.update((line[-delay:],))
         yield pd.DataFrame({"key": key[0], "id": ids, "out_id": pd.array(out, dtype="Int64")})
 

@@ -23,3 +23,20 @@ def test_steps(spark, tmp_path):
     assert main(["simulate", f"{tmp_path}/none"]) == 2
     (tmp_path / "bad.json").write_text("{}")
     assert main(["simulate", f"{tmp_path}/bad.json"]) == 1
+
+
+def test_batch(spark, tmp_path):
+    (tmp_path / "w").mkdir()
+    for clip, body in (("a", '[{"word": "Damn,", "start": 1.0, "end": 1.4}]'), ("b", '{"word": "x"}'), ("c", '[{"word": "fine", "start": 2.0, "end": 2.5}]'), ("d", "[]")):
+        (tmp_path / "w" / f"{clip}.json").write_text(body)
+    w, out = f"{tmp_path}/w", f"{tmp_path}/out"
+    status = lambda *more: {r["clip"]: r["status"] for r in run(spark, arguments(["batch", w, *more])).collect()}
+    assert status(out) == {"a": "censored", "b": "error"}
+    assert status(f"{out}1", "--continue-on-error", "--copy-clean") == {"a": "censored", "b": "error", "c": "clean", "d": "clean"}
+    assert {r["clip"] for r in spark.read.json(f"{out}1-copied").collect()} == {"c", "d"}
+    assert status(f"{out}1", "--continue-on-error", "--skip-existing") == {"a": "skipped", "b": "error", "c": "skipped", "d": "skipped"}
+    assert [r["state"] for r in run(spark, arguments(["batch", w, f"{out}2", "--dry-run"])).collect()] == ["OK"]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "none.wav").write_bytes(b"1")
+    assert [r["state"] for r in run(spark, arguments(["batch", w, f"{out}2", "--dry-run", "--files", f"{tmp_path}/f"])).collect()] == ["MISSING"]
+    assert not (tmp_path / "out2").exists()

@@ -160,6 +160,40 @@ def test_streams_equal_their_twins(spark, small):
     assert out.exceptAll(twin).isEmpty() and twin.exceptAll(out).isEmpty()
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_sessions_are_islands_that_the_watermark_closed(spark, small):
+    from lexspan import queries
+
+    found = {(r["key"], r["until_at"]): r["n_hits"] for r in queries.stream_sessions(spark, small).collect()}
+    rows = queries.mute_events(spark, small).select((F.col("key") % 50).alias("key"), "id", "now_us", (F.floor(F.col("dur_us") / 1000) * 1000).alias("dur_us"))
+    latest = rows.agg(F.max("now_us")).first()[0]
+    twin = {(r["key"], r["until_at"]): r["n_hits"] for r in live.windows(rows).where(F.col("until_us") < latest - 10_000_000).select("key", "n_hits", F.timestamp_micros("until_us").alias("until_at")).collect()}
+    assert found == twin
+
+
+def test_uneven_blocks_fill_chunks_across_batches(spark, tmp_path):
+    import random
+
+    from lexspan import queries
+    from lexspan.streaming import live as streams
+
+    r = random.Random(1)
+    rows = [(k, i, i, r.choice([100, 1024, 7000, 16000, 40000])) for k in (1, 2) for i in range(120)]
+    frame = spark.createDataFrame(rows, "key bigint, id bigint, now_us bigint, samples bigint").withColumn("at_us", F.col("id"))
+    found = queries._run(streams.asr_chunks(queries._dropped(frame, str(tmp_path), [30, 31, 77])), str(tmp_path)).collect()
+    want = []
+    for key in (1, 2):
+        n = total = chunk = 0
+        for k, i, _, size in rows:
+            if k == key:
+                n, total = n + 1, total + size
+                if total >= 16000:
+                    want.append((key, chunk, n, total, i))
+                    n, total, chunk = 0, 0, chunk + 1
+    assert sorted(tuple(x) for x in found) == want
+    assert len(list((tmp_path / "state" / "commits").glob("[0-9]*"))) >= 4
+
+
 def test_loudness(spark):
     import numpy as np
 
@@ -213,3 +247,16 @@ def test_timeline_properties(spark):
             assert [s["src_start_ms"] for s in parts] == edges[:-1]
             assert edges[-1] == total or total == 0
     assert {x["clip"] for x in match.clean_clips(spark.createDataFrame(clips, "clip string, total_ms bigint"), found).collect()} == {c for c, _ in clips} - set(n)
+
+
+def test_clips_are_written_and_found(spark, tmp_path):
+    found = timeline.with_ms(match.matches(words(spark, ("damn", 1.0, 1.4), ("Damn", 2.0, 2.4), ("hell", 3.0, 3.4)), lexicon.packaged(spark)))
+    speech = adapters.speak(match.speech_requests(found), lambda: lambda text: b"" if text == "heck" else b"x" * 300)
+    files = adapters.save_clips(found, speech, str(tmp_path)).cache()
+    assert {(r["filename"], r["length"]) for r in files.collect()} == {("00001000_00001400_dang.wav", 300), ("00002000_00002400_dang.wav", 300)}
+    assert sorted(x.name for x in tmp_path.rglob("*.wav")) == sorted(r["filename"] for r in files.collect())
+    clips = found.select("clip").distinct().withColumn("total_ms", F.lit(5000).cast("bigint"))
+    plan = flows.edit_plan(words(spark, ("damn", 1.0, 1.4), ("hell", 3.0, 3.4)), lexicon.packaged(spark), clips, files, blocks=spark.createDataFrame([], "clip string, block_no bigint, samples array<float>"))
+    assert [r["gain_db"] for r in plan["gains"].collect()] == [6.0]
+    assert {r["kind"] for r in plan["timeline"].collect()} == {"gap", "replacement", "final"}
+    assert plan["gap_fades"].where("fade_at is not null").count() == 1
