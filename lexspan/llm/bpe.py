@@ -206,7 +206,7 @@ def _encoded(docs: DataFrame, how: tuple, share: int, fields: str, schema: pa.Sc
     return few.unionByName(many)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk: int = 2048, overlap: int = 64, share: int = 64) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk: int = 2048, overlap: int = 64, share: int = 16) -> DataFrame:
     """Ids of every whole text, as DIGESTS says. `path`: a rank file that every worker has; `pattern`: the pre-token pattern, whose matches
     leave nothing out; a text of over `share` chunks is dealt to many tasks."""
 
@@ -217,7 +217,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     return _encoded(docs, (path, pattern, chunk, overlap), share, DIGESTS, _SCHEMA, row)
 
 
-def tokens_of(docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk: int = 2048, overlap: int = 64, share: int = 64) -> DataFrame:
+def tokens_of(docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk: int = 2048, overlap: int = 64, share: int = 16) -> DataFrame:
     """doc_id and ids as array<int>: the operator's own output."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
     return _encoded(docs, (path, pattern, chunk, overlap), share, "doc_id long, ids array<int>", schema, lambda bpe, key, ids, n, chunks: (key, ids.astype("i4")))

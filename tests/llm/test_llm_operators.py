@@ -67,6 +67,12 @@ def test_edges_and_empty_tables(spark, name):
     assert nothing.columns == made.columns
 
 
+@pytest.mark.parametrize("name", FRAMES)
+def test_very_long_runs(spark, name):
+    runs = [" " * 1_000_000 + "x", "a" * 1_000_000 + " 7", "\n" * 500_000, "7" * 500_000, "a b " * 200_000]
+    assert FRAMES[name](docs(spark, *runs)).count() >= 0
+
+
 # Toxicity
 
 
@@ -99,6 +105,27 @@ def test_ordinal_order():
     assert score[0] < 0.5 < 2.5 < score[6]
 
 
+def test_ordinal_fit_is_the_likeliest():
+    """Against plain ascent of the penalised likelihood, its gradient by differences."""
+    r = random.Random(8)
+    rows = [(r.randrange(4), r.randrange(3)) for _ in range(300)]
+    grades = [min(3, max(0, round(0.8 * a - 0.3 * b + r.gauss(0, 0.7)))) for a, b in rows]
+    model = toxicity.fit([{"a": float(a), "b": float(b)} for a, b in rows], grades, ["a", "b"], rounds=2000)
+    x, y = np.array(rows, dtype=float), np.array(grades)
+
+    def value(p):
+        ends = np.concatenate([[-np.inf], np.cumsum([p[2], np.exp(p[3]), np.exp(p[4])]), [np.inf]])
+        below = 1 / (1 + np.exp(-(ends[None, :] - (x @ p[:2])[:, None])))
+        n = np.arange(len(y))
+        return np.log(below[n, y + 1] - below[n, y]).mean() - 0.5e-3 * (p[:2] @ p[:2])
+
+    p = np.zeros(5)
+    for _ in range(4000):
+        p = p + 0.5 * np.array([(value(p + h) - value(p - h)) / 2e-5 for h in 1e-5 * np.eye(5)])
+    assert [model.weights["a"], model.weights["b"]] == pytest.approx(p[:2].tolist(), abs=0.02)
+    assert model.thresholds == pytest.approx(np.cumsum([p[2], np.exp(p[3]), np.exp(p[4])]).tolist(), abs=0.03)
+
+
 # PII
 
 
@@ -253,6 +280,42 @@ def test_passages_with_every_seventh_word_changed(spark):
     assert len({r["doc_id"] for r in rows}) >= 39
 
 
+def test_passages_against_all_pairs(spark):
+    """The whole query against a comparison of all pairs of 200 documents on all diagonals."""
+    r = random.Random(12)
+    texts: list[list[str]] = []
+    for i in range(200):
+        text = words(r.randrange(30, 160), f"doc {i}", 300)
+        for _ in range(r.randrange(3) if i else 0):
+            of = r.choice(texts)
+            at, size = r.randrange(len(of)), r.randrange(40, 90)
+            copy = [x if r.random() > 0.03 else f"w{r.randrange(300)}" for x in of[at : at + size]]
+            place = r.randrange(len(text))
+            text[place:place] = copy
+        texts.append(text)
+    spans: dict = {}
+    for row in passages.passages(docs(spark, *map(" ".join, texts))).collect():
+        spans.setdefault(row["doc_id"], []).append((row["start_word"], row["end_word"]))
+        assert row["source_doc_id"] < row["doc_id"] and row["n_words"] >= 50
+        if row["n_sources"] == 1:
+            a, b = texts[row["doc_id"]][row["start_word"] : row["end_word"]], texts[row["source_doc_id"]][row["source_start"] : row["source_end"]]
+            assert passages.common_words(a, b) >= 0.8 * max(len(a), len(b)) - 5
+    code = {w: n for n, w in enumerate(sorted({w for t in texts for w in t}))}
+    coded = [np.array([code[w] for w in t]) for t in texts]
+    found = total = 0
+    for j, b in enumerate(coded):
+        for a in coded[:j]:
+            for d in range(60 - len(a), len(b) - 59):
+                x, y = max(0, d), max(0, -d)
+                n = min(len(b) - x, len(a) - y)
+                sums = np.concatenate([[0], np.cumsum(b[x : x + n] == a[y : y + n])])
+                for k in np.flatnonzero(sums[60:] - sums[:-60] >= 54).tolist():  # nine words in ten of sixty
+                    total += 1
+                    found += any(s <= x + k + 6 and x + k + 54 <= e for s, e in spans.get(j, []))
+    assert total > 500
+    assert found >= 0.99 * total
+
+
 def test_chain_against_all_orders():
     r = random.Random(4)
     for _ in range(60):

@@ -56,6 +56,18 @@ def test_run(spark):
     assert total == lengths
 
 
+def test_edge_cases(spark, tmp_path):
+    """Null ids and texts, empty, repeated and very long ones, and no rows at all."""
+    prose = " ".join(f"w{i * i % 997} and" for i in range(120)) + "."
+    rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (None, prose, None, None, None), (None, None, None, None, None), (3, prose, "en", "s", 5), (3, prose, "en", "s", 5), (4, prose + " more", "en", "s", 5), (5, " ".join(f"x{i}" for i in range(40_000)), "en", "s", 5), (6, "a" * 1_000_000, "en", "s", 5), (7, " " * 1_000_000 + prose.upper() + " password=abcdefgh12", "en", "s", 5)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    table.write.parquet(f"{tmp_path}/some/documents.parquet")
+    found = {r["doc_id"] for r in pipeline.run(spark, f"{tmp_path}/some").collect()}
+    assert found == {None, 3, 5}
+    table.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_stages():
     assert len(pipeline.STAGES) == 5
     assert pipeline.ORACLE_SQL is None
