@@ -501,6 +501,21 @@ def mean_volume(spark, sf_dir):
     return loudness.block_power(blocks).select(F.col("clip").alias("key"), F.round("db", 4).alias("db")).where("db is not null")
 
 
+@query(f"""WITH {_hits()}, each AS (SELECT clip, pos, unnest(range(CAST(floor(s * 100) AS BIGINT), CAST(floor(e * 100) AS BIGINT))) AS i FROM hits),
+measured AS (SELECT clip, pos, 10 * log10(avg(power)) AS db FROM (SELECT clip, pos, pow(((i * 7) % 11 - 5) / 8.0::DOUBLE, 2) AS power FROM each) GROUP BY clip, pos)
+SELECT clip, pos, round(db, 4) AS db, round(greatest(-12.0::DOUBLE, least(24.0::DOUBLE, coalesce(db - CASE WHEN pos % 5 <> 0 THEN -20.0::DOUBLE - pos % 7 END, 6.0::DOUBLE))), 4) AS gain_db FROM hits LEFT JOIN measured USING (clip, pos)""")
+def measured_gains(spark, sf_dir):
+    """The gain of each match from the volume of its range of a clip's samples, 100 a second in blocks of 16, and that of its speech."""
+    words, rate, block = words_of(spark, sf_dir), 100, 16
+    hits = match.matches(words, lexicon.fixture(spark))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("total_ms") * rate / 1000 / block))
+    samples = F.transform(F.sequence(F.col("block_no") * block, F.col("block_no") * block + block - 1), lambda i: ((i * 7) % 11 - 5) / 8)
+    blocks = totals(words).select("clip", F.explode(numbers).alias("block_no")).select("clip", "block_no", samples.alias("samples"))
+    spoken = hits.select("clip", "pos", F.when(F.col("pos") % 5 != 0, -20.0 - F.col("pos") % 7).alias("db"))
+    gains = loudness.gains(loudness.range_volume(hits.select("clip", "pos", "start", "end"), blocks, rate, block), spoken)
+    return gains.select("clip", "pos", F.round("db", 4).alias("db"), F.round("gain_db", 4).alias("gain_db"))
+
+
 _VECTORS = (("Dang,", None), (" hell", "heck"), ("WELL?", None), ("(damn)!", "dang"), ("half-ass.", "lazy"), ("_hell_", "heck"), ("HELL\n", "heck"), ("hell　", "heck"), (" hell ", "heck"), ("' hell'", None), ("“damn”", None), ("don't", None), ("--x--", None), ("", None))
 
 
@@ -612,3 +627,40 @@ def stream_hits(spark, sf_dir):
     path = new_path(spark, "stream")
     rows = words_of(spark, sf_dir).withColumn("at_us", F.col("pos"))
     return _run(streams.hits_of(_dropped(rows, path, [50, 200], "clip"), lexicon.fixture(spark)), path).select("clip", "pos", "word", "replacement")
+
+
+@query(f"""WITH {_hits()}, timed AS (SELECT *, CAST(round(s * 1000000) AS BIGINT) AS now_us, CAST(round((e - s) * 1000000) AS BIGINT) AS dur_us FROM words)
+SELECT CAST(w.clip AS BIGINT) AS key, w.pos AS id, w.now_us, coalesce(w.now_us < max(CASE WHEN h.pos IS NOT NULL THEN w.now_us + greatest(150000, w.dur_us) END) OVER (PARTITION BY w.clip ORDER BY w.pos), false) AS muted
+FROM timed w LEFT JOIN hits h ON h.clip = w.clip AND h.pos = w.pos""")
+def stream_live(spark, sf_dir):
+    """Recognised words, their matches, the deadlines that these set and the gate of the blocks, as one stream; a block comes with each word."""
+    path = new_path(spark, "stream")
+    micros = lambda x: F.round(x * 1000000).cast("bigint")
+    words = words_of(spark, sf_dir).select(F.col("clip").cast("bigint").alias("key"), F.col("pos").alias("id"), "word", "start", "end", micros(F.col("start")).alias("now_us"))
+    arriving = _dropped(words.withColumn("at_us", F.col("now_us")), path, [10_000_000, 40_000_000])
+    return _run(streams.muted_live(arriving, arriving.select("key", "id", "now_us"), lexicon.fixture(spark)), path)
+
+
+# Guards --------------------------------------------------------------------------------------------------------------------
+
+
+def _spoken():
+    """Twenty bytes a character."""
+    return lambda said: b"-" * (20 * len(said))
+
+
+@query("""SELECT replacement, CASE WHEN n >= 200 THEN n END AS n_bytes, CASE WHEN n < 200 THEN 'ValueError: ' || n || ' bytes of audio' END AS error
+FROM (SELECT DISTINCT p_name AS replacement, CAST(20 * length(p_name) AS BIGINT) AS n FROM part WHERE p_name <> '')""")
+def speech_guard(spark, sf_dir):
+    """Speech that is too small to be any is an error of its text, and the others are made."""
+    texts = match.speech_requests(table(spark, sf_dir, "part").select(F.col("p_name").alias("replacement")))
+    return adapters.speak(texts, _spoken).select("replacement", F.length("audio").cast("bigint").alias("n_bytes"), "error")
+
+
+_CODES = ("auto", "", "de", None)
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 'en' WHEN 2 THEN 'de' WHEN 3 THEN 'en' END AS language FROM orders")
+def language_codes(spark, sf_dir):
+    code = F.array(*map(F.lit, _CODES))[(F.col("o_orderkey") % 4).cast("int")]
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.language(code).alias("language"))

@@ -92,6 +92,14 @@ def gated_blocks(marks: DataFrame) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(step, "key bigint, id bigint, now_us bigint, muted boolean", "until_us bigint", "append", "NoTimeout")
 
 
+def muted_live(words: DataFrame, blocks: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The live chain in one stream: words(key, id, word, start, end, now_us), as recognised from now_us on, are matched, each match sets a deadline,
+    and blocks(key, id, now_us) come out as gated_blocks gives them."""
+    # a match's own key is the lexicon's
+    hits = hits_of(words.withColumnRenamed("key", "clip"), lexicon).select(F.col("clip").alias("key"), "id", "now_us", F.round((F.col("end") - F.col("start")) * 1_000_000).cast("bigint").alias("dur_us"))
+    return gated_blocks(hits.unionByName(blocks.select("key", "id", "now_us", F.lit(None).cast("bigint").alias("dur_us"))))
+
+
 def delayed_blocks(blocks: DataFrame, delay: int) -> DataFrame:
     """blocks(key, id, now_us) → key, id, out_id: the block that plays when this one comes in, `delay` blocks before; null at first. The
     state is the ids of so many blocks."""
