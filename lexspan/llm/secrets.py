@@ -19,8 +19,11 @@ import re
 import re._constants as rc
 import re._parser as rp
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexspan.llm.common import Tables, id_text
@@ -61,6 +64,7 @@ RULES = BASE + MORE
 # A query is True (no condition), a trigram, or ("and" | "or", queries).
 Query = bool | str | tuple
 _FEW = 16  # strings kept as an exact set
+_RUN = 512  # characters of a run of text
 
 
 def _both(a: Query, b: Query) -> Query:
@@ -214,52 +218,52 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return blocks.select(F.explode(F.flatten(F.array(*hits))).alias("hit")).groupBy(F.col("hit.doc_id").alias("doc_id")).agg(F.collect_set("hit.kind").alias("kinds"))
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start, ends_at, kind, rank>> of the rule's matches that count, in order."""
-    rank = [r.kind for r in RULES].index(rule.kind) if rule in RULES else len(RULES)
+_HITS = "array<struct<rank:int,n:int,gap:bigint,size:bigint,counts:boolean>>"
+
+
+def hits(text: Column, rule: Rule, rank: int) -> Column:
+    """The rule's matches in order, as _HITS: how far each is from the one before, its length, and whether it counts."""
     found = F.regexp_extract_all(text, F.lit(rule.java), F.lit(0))
-    between = F.split(text, rule.java, -1)
     counted = F.regexp_extract_all(text, F.lit(rule.java), F.lit(rule.group)) if rule.group else found
-    shape = "array<struct<start:bigint,ends_at:bigint,rank:int,kind:string>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(shape).alias("out"))
+    zipped = F.arrays_zip(found.alias("hit"), F.slice(F.split(text, rule.java, -1), 1, F.size(found)).alias("gap"), counted.alias("counted"))
+    return F.transform(zipped, lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("n"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("size"), (F.length(x["counted"]) >= rule.least).alias("counts"))).cast(_HITS)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        one = F.struct(begin.alias("start"), end.alias("ends_at"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"))
-        more = F.when(F.length(x["counted"]) >= rule.least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
-        return F.struct(end.cast("bigint").alias("at"), more.cast(shape).alias("out"))
 
-    zipped = F.arrays_zip(found.alias("hit"), F.slice(between, 1, F.size(found)).alias("gap"), counted.alias("counted"))
-    return F.when(F.size(found) > 0, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(shape))
+def _spans(docs: DataFrame, rules: tuple[Rule, ...], block: int, work: Tables) -> DataFrame:
+    """(doc_id, h, start, ends_at, rank), a row a span, h being the text's hash: rows may repeat an id with another text. Equal rows count
+    once. Rows of one text are together, so what follows by text needs no shuffle; places are running sums, so time is linear in the matches."""
+    texts = id_text(docs).select("doc_id", "text", F.xxhash64("text").alias("h"))
+    queries = {r.kind: trigram_query(r.pattern) for r in rules}
+    keyed = {r.kind: (i, r) for i, r in enumerate(rules) if queries[r.kind] is not True}
+    none = F.array().cast(_HITS)
 
+    def listed(rows: DataFrame, when: dict[int, Column]) -> DataFrame:
+        return rows.select("doc_id", "h", F.concat(none, *(F.when(c, hits(F.col("text"), rules[i], i)).otherwise(none) for i, c in when.items())).alias("hits"))
 
-def _scan(docs: DataFrame, rules: tuple[Rule, ...], block: int) -> DataFrame:
-    """(doc_id, h, found), h being the text's hash: rows may repeat an id with another text."""
-    texts = id_text(docs)
-    queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    keyed = [r for r in rules if queries[r.kind] is not True]
-    full = [r for r in rules if queries[r.kind] is True]
-    none = F.array().cast("array<struct<start:bigint,ends_at:bigint,rank:int,kind:string>>")
-    every = lambda of: F.array_sort(F.concat(none, *of))
-    h = F.xxhash64("text").alias("h")
-    scanned = every([F.when(F.rlike("text", F.lit(r.java)), spans(F.col("text"), r)).otherwise(none) for r in full])
-    if not keyed:
-        return texts.select("doc_id", h, scanned.alias("found"))
-    work = Tables(docs.sparkSession, "secrets")
-    wanted = set().union(*(trigrams(queries[r.kind]) for r in keyed))
-    index = work.put("index", build_index(texts, wanted, block))
-    picked = work.put("candidates", candidates(index, {r.kind: queries[r.kind] for r in keyed}))
-    verify = every([F.when(F.array_contains("kinds", r.kind), spans(F.col("text"), r)).otherwise(none) for r in keyed])
-    checked = work.put("checked", texts.where("doc_id is not null").join(picked, "doc_id").select("doc_id", h, verify.alias("b")).where(F.size("b") > 0).distinct())
-    no_id = every([spans(F.col("text"), r) for r in keyed])
-    with_hash = texts.select("doc_id", h, scanned.alias("a"), F.when(F.col("doc_id").isNull(), no_id).alias("c"))
-    return with_hash.join(checked, ["doc_id", "h"], "left").select("doc_id", "h", F.array_sort(F.concat("a", F.coalesce("b", "c", none))).alias("found"))
+    # without an id there is no posting, so all rules scan
+    asked = {i: F.rlike("text", F.lit(r.java)) if r.kind not in keyed else F.col("doc_id").isNull() for i, r in enumerate(rules)}
+    found = listed(texts.where(reduce(or_, asked.values(), F.lit(False))), asked)
+    if keyed:
+        wanted = set().union(*(trigrams(queries[kind]) for kind in keyed))
+        index = work.put("index", build_index(texts, wanted, block))
+        picked = work.put("candidates", candidates(index, {kind: queries[kind] for kind in keyed}))
+        found = found.unionByName(listed(texts.join(picked, "doc_id"), {i: F.array_contains("kinds", kind) for kind, (i, _) in keyed.items()}))
+    one = found.where(F.size("hits") > 0).repartition("doc_id", "h").distinct().select("doc_id", "h", F.explode("hits").alias("hit")).select("doc_id", "h", "hit.*")
+    ends = F.sum(F.col("gap") + F.col("size")).over(W.partitionBy("doc_id", "h", "rank").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return one.withColumn("ends_at", ends).where("counts").select("doc_id", "h", (F.col("ends_at") - F.col("size")).alias("start"), "ends_at", "rank")
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block: int = 1024) -> DataFrame:
     """(doc_id, found): for each row of docs all spans of all rules, by start and then by rule."""
-    return _scan(docs, rules, block).select("doc_id", "found")
+    work = Tables(docs.sparkSession, "secrets")
+    kind = F.array(*(F.lit(r.kind) for r in rules))[F.col("rank")].alias("kind")
+    one = F.struct("start", "rank", "ends_at", kind)
+    found = work.put("found", _spans(docs, rules, block, work).groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(one)).alias("found")))
+    work.drop("index", "candidates")
+    rows = id_text(docs).select("doc_id", F.xxhash64("text").alias("h"))
+    # null-safe, as documents without an id are scanned too
+    same = rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["h"] == found["h"])
+    return rows.join(found, same, "left").select(rows["doc_id"], F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
 
 
 def said(found: Column) -> Column:
@@ -277,22 +281,28 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     """The documents with each secret (overlapping ones as one) replaced by `mark`; n_chars, if there, is counted anew."""
     names = docs.columns
     taken = {n.lower() for n in names}
-    h, found, key = (next(x for x in (n, *(f"{n}_{i}" for i in range(len(taken) + 1))) if x not in taken) for n in ("h", "found", "key"))
+    h, kept, last, key = (next(x for x in (n, *(f"{n}_{i}" for i in range(len(taken) + 1))) if x not in taken) for n in ("h", "kept", "last", "key"))
     work = Tables(docs.sparkSession, "redact")
-    hits = _scan(docs, rules, block).where("size(found) > 0").distinct()
-    some = work.put("found", hits.select(F.col("doc_id").alias(key), F.col("h").alias(h), F.col("found").alias(found)))
-    where = F.aggregate(
-        found,
-        F.struct(F.lit(1).cast("bigint").alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["ends_at"] + 1).alias("at"),
-            F.when(x["start"] + 1 >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"], x["start"] + 1 - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"], F.length("text"))),
-    )
+    # what is kept before each span, from where the spans before it end
+    order = W.partitionBy("doc_id", "h").orderBy("start", "rank").rowsBetween(W.unboundedPreceding, -1)
+    spans = _spans(docs, rules, block, work).withColumn("reached", F.coalesce(F.max("ends_at").over(order), F.lit(0)))
+    before = F.when(F.col("start") >= F.col("reached"), F.struct("reached", "start"))
+    some = work.put("kept", spans.groupBy(F.col("doc_id").alias(key), F.col("h").alias(h)).agg(F.array_sort(F.collect_list(before)).alias(kept), F.max("ends_at").alias(last)))
+    work.drop("index", "candidates")
+
+    def rest(runs: Column, start: Column, end: Column) -> Column:
+        near = F.array_join(F.slice(runs, (start / _RUN).cast("int") + 1, ((end - start) / _RUN).cast("int") + 2), "")
+        return F.substring(near, (start % _RUN + 1).cast("int"), (end - start).cast("int"))
+
+    def marked(runs: Column) -> Column:
+        parts = F.transform(kept, lambda x: F.concat(rest(runs, x["reached"], x["start"]), F.lit(mark)))
+        return F.concat(F.array_join(parts, ""), rest(runs, F.col(last), F.length("text")))
+
+    # the text is cut into runs once, so that a piece is found without counting from its start
+    where = F.transform(F.array(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_RUN}}}"), F.lit(0))), marked)[0]
     # null-safe, as documents without an id are scanned too
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col(h))
-    hit = F.col(found).isNotNull()
+    hit = F.col(last).isNotNull()
     out = docs.join(some, same, "left").withColumn("text", F.when(hit, where).otherwise(F.col("text")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

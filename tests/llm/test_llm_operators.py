@@ -230,6 +230,35 @@ def test_redaction(spark):
     assert [r["n_chars"] for r in rows] == [24, 5]
 
 
+def brute_redact(text):
+    out, at = [], 0
+    for r in sorted((int(a), int(b)) for a, b in (x.split(":")[1:] for x in brute_spans(text))):
+        if r[0] >= at:
+            out.append(text[at : r[0]] + "[SECRET]")
+        at = max(at, r[1])
+    return "".join(out) + text[at:]
+
+
+def test_redaction_brute_force(spark):
+    r = random.Random(6)
+    bits = ["password=", "token:", "0123456789abcdef" * 2, "AKIA" + "Z9" * 8, "é😀", " ", "\n", "q" * 511, "xoxb-1234567890"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(40))) for _ in range(200)]
+    rows = secrets.redact(docs(spark, *texts)).collect()
+    assert len(rows) == len(texts)
+    assert all(row["text"] == brute_redact(texts[row["doc_id"]]) for row in rows)
+
+
+def test_secrets_of_a_long_listing(spark):
+    """Time is linear in the matches of one text."""
+    text = "\n".join(f"{i:064x}  file{i}.bin password=é{i}abcdefgh" for i in range(60_000))
+    d = docs(spark, text, text[:1000])
+    found = {row["doc_id"]: row for row in secrets.digests(secrets.scan(d)).collect()}
+    assert found[0]["n_hex"] == 60_000
+    assert found[0]["spans"] == ",".join(brute_spans(text))
+    made = {row["doc_id"]: row["text"] for row in secrets.redact(d).collect()}
+    assert made == {0: brute_redact(text), 1: brute_redact(text[:1000])}
+
+
 # Passages
 
 
