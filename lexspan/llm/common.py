@@ -108,6 +108,17 @@ def id_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever stands in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def spare(names: list[str], wanted: str) -> str:
+    """`wanted`, or a name made of it that none of the names is."""
+    taken = {n.lower() for n in names}
+    return next(x for x in (wanted, *(f"{wanted}_{i}" for i in range(len(taken) + 1))) if x.lower() not in taken)
+
+
 def arrow(df: DataFrame, task, schema) -> DataFrame:
     """mapInArrow; batches are bounded in bytes by the session (see bounded)."""
     return df.mapInArrow(task, schema)

@@ -122,4 +122,16 @@ sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTE
 FROM turns GROUP BY conv_id"""
 
 
-SQL = {"op2_pii_pseudonyms": pii_pseudonyms(), "op3_secret_scan": secret_scan(), "op5_chat_format": chat_format(), "op9_quality_rules": quality_rules()}
+def fill_in_middle() -> str:
+    number = lambda i: f"CAST('0x' || substr(digest, {8 * i - 7}, 8) AS BIGINT)"
+    part = lambda a, b: f"coalesce(array_to_string(list_slice(units, CAST({a} + 1 AS BIGINT), CAST({b} AS BIGINT)), ''), '')"
+    return rf"""WITH {_DOCS},
+cut AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM docs),
+placed AS (SELECT *, len(units) AS n, least({number(1)} % (len(units) + 1), {number(2)} % (len(units) + 1)) AS low, greatest({number(1)} % (len(units) + 1), {number(2)} % (len(units) + 1)) AS high,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {number(3)} % 100 >= 90 THEN 'plain' WHEN {number(4)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parted AS (SELECT *, {part("0", "low")} AS p, {part("low", "high")} AS m, {part("high", "n")} AS s FROM placed)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM parted"""
+
+
+SQL = {"op2_pii_pseudonyms": pii_pseudonyms(), "op3_secret_scan": secret_scan(), "op5_chat_format": chat_format(), "op9_quality_rules": quality_rules(), "op13_fill_in_middle": fill_in_middle()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspan.llm import ann, bpe, chat, oracles, packing, passages, pii, quality, secrets, simhash, toxicity
+from lexspan.llm import ann, bpe, chat, middle, oracles, packing, passages, pii, quality, secrets, simhash, toxicity
 from lexspan.llm.common import bounded, table
 
 
@@ -52,5 +52,9 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: bounded(f) for f in (op1_toxicity, op2_pii_pseudonyms, op3_secret_scan, op4_substring_dedup, op5_chat_format, op6_nearest_vectors, op7_packing, op8_byte_bpe, op9_quality_rules, op10_simhash_groups)}
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: bounded(f) for f in (op1_toxicity, op2_pii_pseudonyms, op3_secret_scan, op4_substring_dedup, op5_chat_format, op6_nearest_vectors, op7_packing, op8_byte_bpe, op9_quality_rules, op10_simhash_groups, op13_fill_in_middle)}
 ORACLE_SQL = dict(oracles.SQL)
