@@ -122,6 +122,22 @@ sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTE
 FROM turns GROUP BY conv_id"""
 
 
+def decontamination(window: int = 10) -> str:
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    words = lambda of: f"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{word}') AS ws FROM {of}"
+    at = lambda n: f"list_transform(range(0, greatest(0, len(ws) - {n} + 1)), lambda i: array_to_string(list_slice(ws, i + 1, i + {n}), ' '))"
+    return rf"""WITH items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {words("benchmark")}),
+windows AS (SELECT DISTINCT item_id, unnest({at(f"least({window}, len(ws))")}) AS win, CAST(least({window}, len(ws)) AS INTEGER) AS n FROM items WHERE len(ws) > 0),
+numbered AS (SELECT row_number() OVER () AS rid, doc_id, {words("documents")}),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT rid, l.n, unnest({at("l.n")}) AS win, unnest(range(0, greatest(0, len(ws) - l.n + 1))) AS start FROM numbered, lengths l),
+hits AS (SELECT rid, start, p.n, item_id FROM places p JOIN windows w ON w.win = p.win AND w.n = p.n),
+hit_words AS (SELECT rid, count(DISTINCT start + j) AS n_hit FROM (SELECT DISTINCT rid, start, n FROM hits), range({window}) r(j) WHERE j < n GROUP BY rid),
+hit_items AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id FROM hits) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM numbered LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)"""
+
+
 def fill_in_middle() -> str:
     number = lambda i: f"CAST('0x' || substr(digest, {8 * i - 7}, 8) AS BIGINT)"
     part = lambda a, b: f"coalesce(array_to_string(list_slice(units, CAST({a} + 1 AS BIGINT), CAST({b} AS BIGINT)), ''), '')"
@@ -134,4 +150,4 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
 sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM parted"""
 
 
-SQL = {"op2_pii_pseudonyms": pii_pseudonyms(), "op3_secret_scan": secret_scan(), "op5_chat_format": chat_format(), "op9_quality_rules": quality_rules(), "op13_fill_in_middle": fill_in_middle()}
+SQL = {"op2_pii_pseudonyms": pii_pseudonyms(), "op3_secret_scan": secret_scan(), "op5_chat_format": chat_format(), "op9_quality_rules": quality_rules(), "op11_decontamination": decontamination(), "op13_fill_in_middle": fill_in_middle()}

@@ -34,14 +34,21 @@ from lexspan.llm.common import Tables, arrow, as_batch, id_text, partitions, row
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 _GRID, _EXTRA = 64, 32  # word slices start and end on this grid, with so many words beside the chain at least
 
 
-_GAP, _WORD = re.compile(rb"[ \t-\r]"), re.compile(rb"[^ \t-\r]+")
+class Cut:
+    """Which bytes stand between words: the inside of a character class of ASCII bytes."""
+
+    def __init__(self, between: bytes):
+        self.gap, self.word = re.compile(b"[" + between + b"]"), re.compile(b"[^" + between + b"]+")
+        self.space = np.array([bool(self.gap.match(bytes([b]))) for b in range(256)])
+
+
+BLANKS = Cut(rb"\x20\x09-\x0D")
+_WORD = BLANKS.word
 _LONG = 1 << 16  # longer words, in bytes, are hashed on their own
 
 
@@ -53,58 +60,58 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def _hash_part(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of raw, which ends with white space, and where they start."""
+def _hash_part(raw: bytes, cut: Cut = BLANKS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of raw, which ends between words, and where they start."""
     codes = np.frombuffer(raw, dtype=np.uint8)
-    space = _SPACE[codes]
+    space = cut.space[codes]
     before = np.concatenate([[True], space[:-1]])
     start, end = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
     up, down = _powers(1 << max(19, len(raw).bit_length()))
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_LOWER[codes] * up[: len(codes)])])
-    return _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), start
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), start
 
 
-def _stretches(raw: bytes, part: int) -> Iterator[bytes | int]:
-    """raw in stretches of about `part` bytes, cut at white space, and the hashes of words over _LONG bytes."""
+def _stretches(raw: bytes, part: int, cut: Cut) -> Iterator[bytes | int]:
+    """raw in stretches of about `part` bytes, cut between words, and the hashes of words over _LONG bytes."""
     at = 0
     if len(raw) > _LONG:
-        for m in _WORD.finditer(raw):
+        for m in cut.word.finditer(raw):
             if m.end() - m.start() > _LONG:
-                yield from _stretches_of(raw, at, m.start(), part)
+                yield from _stretches_of(raw, at, m.start(), part, cut)
                 yield xxhash.xxh64_intdigest(m[0].lower())
                 at = m.end()
-    yield from _stretches_of(raw, at, len(raw), part)
+    yield from _stretches_of(raw, at, len(raw), part, cut)
 
 
-def _stretches_of(raw: bytes, at: int, end: int, part: int) -> Iterator[bytes]:
+def _stretches_of(raw: bytes, at: int, end: int, part: int, cut: Cut) -> Iterator[bytes]:
     while at < end:
         stop = min(end, at + part)
-        gap = _GAP.search(raw, stop, end) if stop < end else None
+        gap = cut.gap.search(raw, stop, end) if stop < end else None
         stop = gap.end() if gap else end if stop < end else stop
         yield raw[at:stop] + b"\n"
         at = stop
 
 
-def hash_words(texts: list[str], part: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(texts: list[str], part: int = 1 << 18, cut: Cut = BLANKS) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, the number of the text that each is in), in order. Works on parts of about `part` bytes."""
     hashes, owners, parts, ends, size = [], [], [], [], 0
 
     def flush() -> None:
         nonlocal parts, ends, size
         if parts:
-            h, at = _hash_part(b"".join(parts))
+            h, at = _hash_part(b"".join(parts), cut)
             hashes.append(h)
             owners.append(np.array([x for x, _ in ends])[np.searchsorted(np.array([x for _, x in ends]), at, side="right")])
         parts, ends, size = [], [], 0
 
     for i, text in enumerate(texts):
-        for found in _stretches(text.encode(), part):
+        for found in _stretches(text.encode(), part, cut):
             if isinstance(found, int):
                 flush()
                 hashes.append(np.array([found], dtype=np.uint64))
@@ -130,7 +137,7 @@ def seeds_of(hashes: np.ndarray, owner: np.ndarray, k: int, w: int) -> tuple[np.
     mixed = np.zeros(n, dtype=np.uint64)
     for j in range(k):
         mixed = mixed * _Q + hashes[j : j + n]
-    mixed = _mix(mixed)
+    mixed = mix(mixed)
     own = owner[:n]
     valid = own == owner[k - 1 :]
     mixed = np.where(valid, mixed >> np.uint64(1), _MAX)
@@ -149,7 +156,7 @@ def seeds_of(hashes: np.ndarray, owner: np.ndarray, k: int, w: int) -> tuple[np.
     again = np.concatenate([[False], (found[1:] == found[:-1]) & (own[at[1:]] == own[at[:-1]]) & (np.diff(at) <= w)])
     index = np.arange(len(at))
     place = (index - np.maximum.accumulate(np.where(again, 0, index))).astype(np.uint64)
-    found = np.where(place > 0, _mix(found + place * _Q) >> np.uint64(1), found)
+    found = np.where(place > 0, mix(found + place * _Q) >> np.uint64(1), found)
     return at, found.astype(np.int64)
 
 
