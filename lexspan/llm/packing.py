@@ -88,30 +88,43 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[tuple[int, int]
 _RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1024,}")
 
 
-@lru_cache(2)
-def _ranks(path: str):
-    """(encoder by the pre-token pattern, encoder of a text as one pre-token)."""
+def _rank_file(path: str | None) -> dict[bytes, int]:
     import base64
 
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
+def rank_vocabulary(path: str | None = None) -> list[bytes]:
+    """The bytes of each id of a rank file, by default byte_bpe_50k's."""
+    ranks = _rank_file(path)
+    out = [b""] * (1 + max(ranks.values()))
+    for piece, i in ranks.items():
+        out[i] = piece
+    return out
+
+
+@lru_cache(2)
+def _ranks(path: str | None):
+    """(encoder by the pre-token pattern, encoder of a text as one pre-token)."""
     import public_tokenizers
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    ranks = _rank_file(path)
     return tuple(tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (public_tokenizers.PATTERN, r"[\s\S]+"))
 
 
-def rank_encoder(path: str | None = None, special: str = "<|endoftext|>", special_id: int = 50256) -> Callable[[str], np.ndarray]:
+def rank_encoder(path: str | None = None, special: str | None = "<|endoftext|>", special_id: int = 50256) -> Callable[[str], np.ndarray]:
     """Encodes by the rank file of the byte_bpe_50k vocabulary. Its ids are those of byte_bpe_50k.json, whose special string is
-    one id wherever it occurs; the rank file is several times as fast. `path`: a file that every worker has.
+    one id wherever it occurs (with `special` None it is plain text); the rank file is several times as fast. `path`: a file that every worker has.
 
     The pattern's `\\s+(?!\\S)` backtracks over a run of white space, which overflows the matcher's stack on a long one. So long runs
     are cut out first. A maximal run begins with a pre-token, as no other alternative of the pattern ends in white space; the alternative takes
     it whole at the end of a text and but for its last character before anything else, which then begins a pre-token too. Nothing in the pattern looks
     back, so what stands before, within and after is encoded apart with the same result."""
-    import public_tokenizers
-
-    plain, single = _ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    plain, single = _ranks(path)
     mark = np.array([special_id], dtype=np.uint32)
 
     def parts(text: str) -> Iterator[np.ndarray]:
@@ -125,7 +138,7 @@ def rank_encoder(path: str | None = None, special: str = "<|endoftext|>", specia
 
     def encode(text: str) -> np.ndarray:
         found: list[np.ndarray] = []
-        for i, piece in enumerate(text.split(special)):
+        for i, piece in enumerate(text.split(special) if special else [text]):
             if i:
                 found.append(mark)
             found += parts(piece)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspan.llm import ann, bpe, chat, contamination, middle, oracles, packing, passages, pii, quality, secrets, simhash, toxicity
+from lexspan.llm import alignment, ann, bpe, chat, contamination, middle, oracles, packing, passages, pii, quality, secrets, simhash, toxicity
 from lexspan.llm.common import bounded, table
 
 
@@ -56,9 +56,13 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digests(contamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scored(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.digests(middle.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: bounded(f) for f in (op1_toxicity, op2_pii_pseudonyms, op3_secret_scan, op4_substring_dedup, op5_chat_format, op6_nearest_vectors, op7_packing, op8_byte_bpe, op9_quality_rules, op10_simhash_groups, op11_decontamination, op13_fill_in_middle)}
+QUERIES = {f.__name__: bounded(f) for f in (op1_toxicity, op2_pii_pseudonyms, op3_secret_scan, op4_substring_dedup, op5_chat_format, op6_nearest_vectors, op7_packing, op8_byte_bpe, op9_quality_rules, op10_simhash_groups, op11_decontamination, op12_alignment, op13_fill_in_middle)}
 ORACLE_SQL = dict(oracles.SQL)
