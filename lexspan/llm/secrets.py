@@ -26,19 +26,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import Tables, id_text
+from lexspan.llm.common import Tables, id_text, quoted, spare
 
 
 @dataclass(frozen=True)
 class Rule:
-    """`pattern` is read alike by Java and RE2; `nocase`: ASCII letters in either case; a match counts if group `group` has
-    `least` characters or more."""
+    """`pattern` is read alike by Java and RE2, in time linear in the text; `nocase`: ASCII letters in either case; a match counts if
+    group `group` has `least` characters or more. `asks`: what a match that counts must match besides, for its trigrams."""
 
     kind: str
     pattern: str
     least: int = 0
     group: int = 0
     nocase: bool = False
+    asks: str = ""
 
     @property
     def java(self) -> str:
@@ -56,7 +57,8 @@ MORE = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # the first part is taken whatever follows, so that no part is read again from each place that looks like a start
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}((?:\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})?)", 21, 1, asks=r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\."),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 RULES = BASE + MORE
@@ -233,7 +235,7 @@ def _spans(docs: DataFrame, rules: tuple[Rule, ...], block: int, work: Tables) -
     """(doc_id, h, start, ends_at, rank), a row a span, h being the text's hash: rows may repeat an id with another text. Equal rows count
     once. Rows of one text are together, so what follows by text needs no shuffle; places are running sums, so time is linear in the matches."""
     texts = id_text(docs).select("doc_id", "text", F.xxhash64("text").alias("h"))
-    queries = {r.kind: trigram_query(r.pattern) for r in rules}
+    queries = {r.kind: trigram_query(r.asks or r.pattern) for r in rules}
     keyed = {r.kind: (i, r) for i, r in enumerate(rules) if queries[r.kind] is not True}
     none = F.array().cast(_HITS)
 
@@ -280,8 +282,7 @@ def digests(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]", block: int = 1024) -> DataFrame:
     """The documents with each secret (overlapping ones as one) replaced by `mark`; n_chars, if there, is counted anew."""
     names = docs.columns
-    taken = {n.lower() for n in names}
-    h, kept, last, key = (next(x for x in (n, *(f"{n}_{i}" for i in range(len(taken) + 1))) if x not in taken) for n in ("h", "kept", "last", "key"))
+    h, kept, last, key = (spare(names, n) for n in ("h", "kept", "last", "key"))
     work = Tables(docs.sparkSession, "redact")
     # what is kept before each span, from where the spans before it end
     order = W.partitionBy("doc_id", "h").orderBy("start", "rank").rowsBetween(W.unboundedPreceding, -1)
@@ -306,4 +307,4 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     out = docs.join(some, same, "left").withColumn("text", F.when(hit, where).otherwise(F.col("text")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    return out.select(*map(quoted, names))
