@@ -6,13 +6,15 @@ The links of a document to one earlier document are merged along diagonals into
 in both texts are chained, best score first, with a cost for gaps; a Fenwick tree over the other text's positions finds each
 fragment's best predecessor. Chains are then aligned: words on the diagonals are compared, gaps get a longest common
 subsequence, the ends are extended, and a chain is broken at its worst gap while fewer than `similarity` of its words match.
+At its ends a chain goes on along its diagonal and, where words were put in or left out, along a near one.
 Aligned chains of a document that touch (whatever their sources) form a passage, reported from `least` words on. A chain may be
 a single seed and an alignment a few words: `least` and `piece` (words in common) hold for the passage that they form.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. The first document keeps its passage and is named as the source.
-Cases: null and empty texts have no words; documents without an id take no part; repeated equal rows count once, rows of one id
-with different texts are each aligned; an empty table gives no rows; among equal chains the earliest source wins; other columns
-are ignored; texts of any length are read whole.
+Cases: null and empty texts have no words; repeated equal rows count once; rows of one id with different texts are each a document of their own, as are
+different texts without an id, and both come after the documents whose id is theirs alone, in order of id and then text hash (with no id last; a
+passage's doc_id or source_doc_id is then null); a passage twice in one document and in no earlier one is not reported; an empty table gives no rows;
+among equal chains the earliest source wins; other columns are ignored by passages() and kept by drop_passages(); texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import Tables, arrow, as_batch, id_text, partitions, rows_of, whole_groups
+from lexspan.llm.common import Tables, arrow, as_batch, id_text, keyed, namesakes, over_columns, partitions, quoted, rows_of, spare, whole_groups
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -171,7 +173,7 @@ def seeds(docs: DataFrame, k: int, w: int) -> DataFrame:
             begin = np.searchsorted(owner, np.arange(len(texts)))
             yield as_batch(schema, h, np.array(keys, dtype=np.int64)[owner[at]], (at - begin[owner[at]]).astype(np.int32))
 
-    return arrow(id_text(docs).where("doc_id is not null"), task, "h long, doc_id long, pos int")
+    return arrow(id_text(docs), task, "h long, doc_id long, pos int")
 
 
 class FenwickMax:
@@ -271,7 +273,7 @@ def common_words(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
-def _extend(same: np.ndarray) -> int:
+def _along(same: np.ndarray) -> int:
     """How far to go along a diagonal: a match earns 1, a mismatch costs 2; stops 6 below the best."""
     if not len(same):
         return 0
@@ -283,6 +285,35 @@ def _extend(same: np.ndarray) -> int:
     return best + 1 if len(score) and score[best] > 0 else 0
 
 
+def _pieces(alike: np.ndarray, apart: int = 3) -> Iterator[tuple[int, int, int]]:
+    """(from, to, words in common) of the pieces of a diagonal between which `apart` words or more in a row differ."""
+    at = np.flatnonzero(alike)
+    if len(at):
+        ends = np.flatnonzero(np.diff(at) > apart)
+        for x, y in zip(np.concatenate([[0], ends + 1]).tolist(), np.concatenate([ends, [len(at) - 1]]).tolist(), strict=True):
+            yield int(at[x]), int(at[y]) + 1, y - x + 1
+
+
+#: Words left out of a and of b to go on along another diagonal, fewest first, and how many words have to be alike there.
+_SKIPS, _AGAIN = sorted(((x, y) for x in range(4) for y in range(4) if x + y), key=lambda s: (max(s), sum(s), s)), 4
+
+
+def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """How far a and b go on together from their start, and their words in common. Where the diagonal ends, up to three words of each
+    are left out if _AGAIN words follow that are alike."""
+    i = j = same = 0
+    while True:
+        n = min(len(a) - i, len(b) - j)
+        alike = a[i : i + n] == b[j : j + n]
+        run = _along(alike)
+        i, j, same = i + run, j + run, same + int(alike[:run].sum())
+        x, y = a[i : i + 3 + _AGAIN].tolist(), b[j : j + 3 + _AGAIN].tolist()
+        skip = next(((p, q) for p, q in _SKIPS if x[p : p + _AGAIN] == y[q : q + _AGAIN] and len(x) >= p + _AGAIN), None)
+        if skip is None:
+            return i, j, same
+        i, j = i + skip[0], j + skip[1]
+
+
 def align(a: np.ndarray, b: np.ndarray, parts: list[tuple[int, int, int]], k: int, similarity: float, gap: int = 512) -> list[tuple[int, int, int, int, int]]:
     """(s, e, fs, fe, words in common) of the alignments of a chain over the words a and b. A gap over `gap` words breaks it."""
     blocks: list[list[int]] = []  # a from, a to, b from, in common
@@ -291,8 +322,8 @@ def align(a: np.ndarray, b: np.ndarray, parts: list[tuple[int, int, int]], k: in
             skip = max(0, blocks[-1][1] - a0, blocks[-1][2] + blocks[-1][1] - blocks[-1][0] - b0)
             a0, b0 = a0 + skip, b0 + skip
         end = min(a1 + k, len(a), len(b) - b0 + a0)
-        if end > a0:
-            blocks.append([a0, end, b0, int((a[a0:end] == b[b0 : b0 + end - a0]).sum())])
+        for x, y, same in _pieces(a[a0:end] == b[b0 : b0 + end - a0]):
+            blocks.append([a0 + x, a0 + y, b0 + x, same])
     if not blocks:
         return []
     between = []
@@ -304,14 +335,11 @@ def align(a: np.ndarray, b: np.ndarray, parts: list[tuple[int, int, int]], k: in
     while todo:
         x, y = todo.pop()
         first, last = blocks[x], blocks[y - 1]
-        left = min(first[0], first[2])
-        left = _extend(a[first[0] - left : first[0]][::-1] == b[first[2] - left : first[2]][::-1])
         fe = last[2] + last[1] - last[0]
-        right = min(len(a) - last[1], len(b) - fe)
-        right = _extend(a[last[1] : last[1] + right] == b[fe : fe + right])
-        s, e, fs, fe = first[0] - left, last[1] + right, first[2] - left, fe + right
-        inner = sum(z[3] for z in blocks[x:y]) + sum(z for _, z in between[x : y - 1])
-        same = inner + int((a[s : first[0]] == b[fs : first[2]]).sum()) + int((a[last[1] : e] == b[fe - right : fe]).sum())
+        left_a, left_b, left = _extend(a[: first[0]][::-1], b[: first[2]][::-1])
+        right_a, right_b, right = _extend(a[last[1] :], b[fe:])
+        s, e, fs, fe = first[0] - left_a, last[1] + right_a, first[2] - left_b, fe + right_b
+        same = left + right + sum(z[3] for z in blocks[x:y]) + sum(z for _, z in between[x : y - 1])
         if same >= similarity * max(e - s, fe - fs):
             out.append((s, e, fs, fe, same))
         elif y > x + 1:
@@ -363,6 +391,20 @@ def passages(docs: DataFrame, least: int = 50, similarity: float = 0.8, k: int =
     """One row for each passage that an earlier document has: doc_id, start_word, end_word (exclusive), n_words, source_doc_id
     (of its longest chain) with source_start and source_end, n_sources, similarity."""
     work = Tables(docs.sparkSession, "passages")
+    twins = namesakes(docs, work)
+    rows = keyed(docs.select("doc_id", "text"), twins).select(F.col("key").alias("doc_id"), "text")
+    found = _passages(rows, work, least, similarity, k, w, piece, touch)
+    for name in ("doc_id", "source_doc_id"):
+        of = twins.select(F.col("key").alias(name), F.struct("twin_id").alias("twin"))
+        found = found.join(of, name, "left").withColumn(name, F.when(F.col("twin").isNull(), F.col(name)).otherwise(F.col("twin.twin_id"))).drop("twin")
+    return found.select(*_COLUMNS)
+
+
+_COLUMNS = ["doc_id", "start_word", "end_word", "n_words", "source_doc_id", "source_start", "source_end", "n_sources", "similarity"]
+
+
+def _passages(docs: DataFrame, work: Tables, least: int, similarity: float, k: int, w: int, piece: int, touch: int) -> DataFrame:
+    """passages() where each text has an id of its own."""
     found = work.put("seeds", seeds(docs, k, w))
     shared = work.put("shared", found.groupBy("h").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("h", "source"))
     # the joins are merge joins at every size, so a plan does not change as tables grow
@@ -417,11 +459,13 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 def drop_passages(docs: DataFrame, **how) -> DataFrame:
     """The documents without their passages; those left without words go. n_chars, if there, is counted anew."""
     work = Tables(docs.sparkSession, "passages-drop")
-    spans = work.put("spans", passages(docs, **how).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans")))
-    names = docs.columns
-    taken = {n.lower() for n in names}
-    extra = next(x for x in ("_spans", *(f"_spans{i}" for i in range(len(taken) + 1))) if x not in taken)
-    joined = docs.join(spans.withColumnRenamed("_spans", extra), "doc_id", "left").select(*names, extra)
+    twins, names = namesakes(docs, work), docs.columns
+    key, extra = spare(names, "key"), spare(names, "spans")
+    how = {"least": 50, "similarity": 0.8, "k": 5, "w": 5, "piece": 20, "touch": 3} | how
+    rows = keyed(docs, twins, key)
+    found = _passages(rows.select(F.col(key).alias("doc_id"), "text"), work, **how)
+    spans = work.put("spans", found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(extra)))
+    joined = rows.join(spans, key, "left").select(*map(quoted, names), extra)
     text, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,6 +485,6 @@ def drop_passages(docs: DataFrame, **how) -> DataFrame:
                     columns[count] = pa.array(counts, type=columns[count].type)
                 keep = pa.array([not x or bool(t.strip(" \t\n\x0b\x0c\r")) for x, t in zip(of, texts, strict=True)])
                 columns = [c.filter(keep) for c in columns]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(names))])
 
-    return arrow(joined, task, docs.schema)
+    return over_columns(joined, task, 1)

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexspan.llm.common import arrow, as_batch, id_text, rows_of
+from lexspan.llm.common import arrow, as_batch, id_text, over_columns, rows_of
 
 # The symbols, separators and phrases of the rules, the phrases as one pattern that Python and RE2 read alike.
 SYMBOLS = "#*$%&|<>"
@@ -138,7 +138,6 @@ def quality(docs: DataFrame, rules: LineRules = LineRules(), with_text: bool = F
 def keep_good(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The documents that are kept, their failing lines removed; the other columns stay, n_chars (if there) is counted anew."""
     names = docs.columns
-    schema = docs.schema
     at = names.index("text")
     count = names.index("n_chars") if "n_chars" in names else None
 
@@ -156,4 +155,4 @@ def keep_good(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
                     columns[count] = pa.array(map(len, texts), type=batch.schema.field(count).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return arrow(docs, task, schema)
+    return over_columns(docs, task)

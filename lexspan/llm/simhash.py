@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import Tables, arrow, as_batch, id_text, partitions, rows_of, whole_groups
+from lexspan.llm.common import Tables, arrow, as_batch, id_text, keyed, namesakes, partitions, quoted, rows_of, spare, whole_groups
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -300,20 +300,15 @@ def groups(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """Of each group one row stays: that of smallest id, of rows that repeat it that of least text hash, of equal ones any. Documents without an
-    id stay."""
+    """Of each group one row stays: that of smallest id; of texts that share an id, that of least text hash; of equal rows, any. Documents without
+    an id come after all others, by text hash."""
     work = Tables(docs.sparkSession, "simhash-drop")
-    rows = work.put("rows", grouped(docs, work, radius, words).where("doc_id is not null").groupBy("doc_id", "h", "component_id").agg(F.count(F.lit(1)).alias("n")))
-    first = rows.where("doc_id = component_id").groupBy("doc_id").agg(F.min("h").alias("least"), F.sum("n").alias("n")).where("n > 1")
-    repeated = work.put("repeated", first.select("doc_id", "least"))
-    taken = {c.lower() for c in docs.columns}
-    key, h = (next(x for x in (n, *(f"{n}_{i}" for i in range(len(taken) + 1))) if x not in taken) for n in ("key", "h"))
-    same = (F.col("doc_id").cast("long") == F.col(key)) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(h))
-    gone = work.put("gone", rows.where("doc_id > component_id").select(F.col("doc_id").alias(key), F.col("h").alias(h)))
-    left = docs.join(gone, same, "left_anti")
+    key = spare(docs.columns, "key")
+    rows = keyed(docs, namesakes(docs, work), key)
+    found = grouped(rows.select(F.col(key).alias("doc_id"), "text"), work, radius, words).groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    named = work.put("rows", found.withColumnRenamed("doc_id", key))
+    left = rows.join(named.where(F.col(key) > F.col("first")).select(key), key, "left_anti")
+    repeated = work.put("repeated", named.where((F.col(key) == F.col("first")) & (F.col("n") > 1)).select(key))
     if not repeated.isEmpty():
-        of = repeated.select(F.col("doc_id").alias(key), F.col("least").alias(h))
-        one = docs.join(of, same).dropDuplicates([key]).select(*docs.columns)
-        # an id may be kept here and have gone as another text's namesake
-        left = left.join(of.select(key), F.col("doc_id").cast("long") == F.col(key), "left_anti").unionByName(one)
-    return left.select(*docs.columns)
+        left = left.join(repeated, key, "left_anti").unionByName(rows.join(repeated, key).dropDuplicates([key]).select(*map(quoted, rows.columns)))
+    return left.select(*map(quoted, docs.columns))

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -17,7 +18,7 @@ from lexspan.llm import ann, bpe, chat, packing, passages, pii, quality, secrets
 
 DOCS = "doc_id bigint, text string"
 #: Columns whose names the operators use inside.
-CLASH = ("h", "fp", "found", "hits", "key", "kinds", "node", "label", "spans", "_spans", "n_words", "low")
+CLASH = ("meta.x", "a`b", "h", "fp", "found", "hits", "key", "kinds", "node", "label", "spans", "_spans", "n_words", "low")
 tables = pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
 
 
@@ -215,7 +216,7 @@ def holds(query, text):
 def test_trigram_queries_admit_every_match():
     samples = {"assign": 'Api_Key" : \'abcdefgh1', "access": "AKIAABCDEFGHIJKL", "github": "ghs_" + "x" * 36, "slack": "xoxr-1234567890", "stripe": "rk_live_" + "a" * 16, "google": "AIza" + "b" * 35, "jwt": "eyJ" + "a" * 8 + ".eyJ" + "b" * 8 + "." + "c" * 8, "private_key": "-----BEGIN PRIVATE KEY-----"}
     for r in secrets.RULES:
-        q = secrets.trigram_query(r.pattern)
+        q = secrets.trigram_query(r.asks or r.pattern)
         assert (q is True) == (r.kind == "hex")
         if r.kind in samples:
             assert re.search(r.pattern, samples[r.kind], re.I if r.nocase else 0)
@@ -259,6 +260,24 @@ def test_secrets_of_a_long_listing(spark):
     assert made == {0: brute_redact(text), 1: brute_redact(text[:1000])}
 
 
+def test_secrets_of_runs_that_begin_again_and_again(spark):
+    """A megabyte of what looks like starts of a rule's match."""
+    starts = {"jwt": "eyJ", "github": "ghp_", "slack": "xoxb-", "stripe": "sk_live_", "google": "AIza", "access": "AKIA", "assign": "password", "key": "-----BEGIN ", "hex": "0123456789abcdef0123456789abcde-", "parts": "eyJabcdefgh.", "tail": "eyJabcdefgh.eyJ"}
+    texts = [x * (1_000_000 // len(x)) + y for x in starts.values() for y in ("", " .eyJ", " = ")]
+    began = time.monotonic()
+    found = {r["doc_id"]: r["spans"] for r in secrets.digests(secrets.scan(docs(spark, *texts))).collect()}
+    assert secrets.redact(docs(spark, *texts)).count() == len(texts)
+    assert time.monotonic() - began < 120
+    assert found[0] == ""
+
+
+def test_jwt_rule_as_one_anchored_search(spark):
+    r, plain = random.Random(3), re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    texts = ["".join(r.choice(["eyJ", "abcdefgh", ".", "a-_9", " ", "eyJabcdefgh", "."]) for _ in range(r.randrange(25))) for _ in range(400)]
+    rows = secrets.scan(docs(spark, *texts), tuple(x for x in secrets.RULES if x.kind == "jwt")).collect()
+    assert {row["doc_id"]: [(x["start"], x["ends_at"]) for x in row["found"]] for row in rows} == {i: [m.span() for m in plain.finditer(t)] for i, t in enumerate(texts)}
+
+
 # Passages
 
 
@@ -309,6 +328,40 @@ def test_passages_with_every_seventh_word_changed(spark):
     assert len({r["doc_id"] for r in rows}) >= 39
 
 
+@pytest.mark.parametrize(("kind", "least"), [("put in", 39), ("left out", 38), ("mixed", 38)])
+def test_passages_with_words_moved(spark, kind, least):
+    """A word put in, left out or either or replaced, at each seventh place."""
+    texts = []
+    for i in range(40):
+        shared = words(60, f"{i} shared", 10**6)
+        new = [f"new{i} {j}".replace(" ", "x") for j in range(60)]
+        ways = {"put in": lambda j, x: [x, new[j]], "left out": lambda j, x: [], "mixed": lambda j, x: ([new[j]], [], [new[j], x])[j // 7 % 3]}  # noqa: B023
+        changed = [y for j, x in enumerate(shared) for y in (ways[kind](j, x) if j % 7 == 6 else [x])]
+        texts.append(" ".join(words(60, f"{i} a", 10**6) + shared + words(60, f"{i} b", 10**6)))
+        texts.append(" ".join(words(60, f"{i} c", 10**6) + changed + words(60, f"{i} d", 10**6)))
+        end = 60 + len(changed)
+        texts[-1] = (texts[-1], end)
+    ends = [t[1] if isinstance(t, tuple) else None for t in texts]
+    rows = passages.passages(docs(spark, *(t[0] if isinstance(t, tuple) else t for t in texts))).collect()
+    assert all(r["doc_id"] % 2 and abs(r["start_word"] - 60) <= 8 and abs(r["end_word"] - ends[r["doc_id"]]) <= 8 for r in rows)
+    assert len({r["doc_id"] for r in rows}) >= least
+
+
+def test_namesakes_keep_their_own_words(spark):
+    """Rows that share an id, or have none, are cut and dropped by their own text alone."""
+    p, other, more = (" ".join(words(n, s, 10**6)) for n, s in ((80, "p"), (120, "other"), (30, "more")))
+    rows = [(1, p), (2, f"{more} {p}"), (2, other), (None, p), (None, other), (None, f"x {more}")]
+    frame = spark.createDataFrame(rows, DOCS).withColumn("meta.x", F.lit(1))
+    made = passages.drop_passages(frame)
+    assert made.columns == frame.columns
+    # the passage stays with document 1; other and more stay with the namesakes of id 2
+    assert sorted(((r["doc_id"], r["text"].strip()) for r in made.collect()), key=str) == sorted([(1, p), (2, more), (2, other), (None, f"x {more}")], key=str)
+    found = passages.passages(frame).collect()
+    assert sorted((str(r["doc_id"]), r["source_doc_id"], r["n_words"]) for r in found) == [("2", 1, 80), ("None", 1, 80), ("None", 2, 120)]
+    first = simhash.keep_first(spark.createDataFrame([*rows, (None, p), (None, other), (7, "a b c d e f g"), (None, "a b c d e f g")], DOCS).withColumn("meta.x", F.lit(1)))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in first.collect()) == sorted([("1", p), ("2", f"{more} {p}"), ("2", other), ("None", f"x {more}"), ("7", "a b c d e f g")])
+
+
 def test_passages_against_all_pairs(spark):
     """The whole query against a comparison of all pairs of 200 documents on all diagonals."""
     r = random.Random(12)
