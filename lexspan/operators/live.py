@@ -3,45 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexspan.functions.signal import BLOCK, LEAST_MUTE_S, RATE
+from lexspan.operators.scan import MOST, scan
 
 
-def _in_time():
-    return W.partitionBy("key").orderBy("now_us", "id")
+_ORDER = ("now_us", "id")
 
 
-def deadlines(hits: DataFrame) -> DataFrame:
+def deadlines(hits: DataFrame, most: int = MOST) -> DataFrame:
     """hits(key, id, now_us, dur_us) with until_us, the running latest end of muting, and island, which counts from 1 the
-    windows that do not touch."""
+    windows that do not touch. Keys of over `most` hits are scanned in segments of time."""
     least = F.lit(int(LEAST_MUTE_S * 1_000_000)).cast("bigint")
-    so_far = _in_time().rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = hits.withColumn("until_us", F.max(F.col("now_us") + F.greatest(least, F.col("dur_us"))).over(so_far))
-    new = F.when(F.col("now_us") >= F.lag("until_us").over(_in_time()), 1).otherwise(0)
-    return rows.withColumn("new", new).withColumn("island", (F.sum("new").over(so_far) + 1).cast("bigint")).drop("new")
+    rows = scan(hits, "key", _ORDER, most).running_max(F.col("now_us") + F.greatest(least, F.col("dur_us")), "until_us").lagged(F.col("until_us"), "_until")
+    rows = rows.running_sum(F.when(F.col("now_us") >= F.col("_until"), 1).otherwise(0), "island").rows
+    return rows.withColumn("island", (F.col("island") + 1).cast("bigint")).select(*hits.columns, "until_us", "island")
 
 
-def windows(hits: DataFrame) -> DataFrame:
+def windows(hits: DataFrame, most: int = MOST) -> DataFrame:
     """One row an island: key, island, from_us, until_us, n_hits."""
-    return deadlines(hits).groupBy("key", "island").agg(F.min("now_us").alias("from_us"), F.max("until_us").alias("until_us"), F.count(F.lit(1)).alias("n_hits"))
+    return deadlines(hits, most).groupBy("key", "island").agg(F.min("now_us").alias("from_us"), F.max("until_us").alias("until_us"), F.count(F.lit(1)).alias("n_hits"))
 
 
-def gate(blocks: DataFrame, hits: DataFrame) -> DataFrame:
-    """blocks(key, id, now_us) with muted: whether a deadline set at or before the block's time is later than it. Both go through one
-    ordered window, whose running maximum is the deadline, so no pair of block and hit is made."""
+def gate(blocks: DataFrame, hits: DataFrame, delay_us: int = 0, most: int = MOST) -> DataFrame:
+    """blocks(key, id, now_us) with muted: whether a deadline set at or before the time that the block plays, `delay_us` after now_us, is later
+    than it. Both go through one ordered scan, whose running maximum is the deadline, so no pair of block and hit is made."""
     least = F.lit(int(LEAST_MUTE_S * 1_000_000)).cast("bigint")
     marks = hits.select("key", "id", "now_us", F.lit(0).alias("kind"), (F.col("now_us") + F.greatest(least, F.col("dur_us"))).alias("until_us"))
-    both = blocks.select("key", "id", "now_us", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("until_us")).unionByName(marks)
-    order = W.partitionBy("key").orderBy("now_us", "kind", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    seen = both.withColumn("until", F.max("until_us").over(order)).where("kind = 1")
-    return seen.select("key", "id", "now_us", F.coalesce(F.col("now_us") < F.col("until"), F.lit(False)).alias("muted"))
+    playing = blocks.select("key", "id", (F.col("now_us") + delay_us).alias("now_us"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("until_us"))
+    both = scan(playing.unionByName(marks), "key", ("now_us", "kind", "id"), most)
+    seen = both.running_max(F.col("until_us"), "until").rows.where("kind = 1")
+    return seen.select("key", "id", (F.col("now_us") - delay_us).alias("now_us"), F.coalesce(F.col("now_us") < F.col("until"), F.lit(False)).alias("muted"))
 
 
-def delayed(samples: DataFrame, delay: int) -> DataFrame:
+def delayed(samples: DataFrame, delay: int, most: int = MOST) -> DataFrame:
     """samples(key, n, value) with out, the value `delay` samples before, 0.0 at first."""
-    return samples.withColumn("out", F.lag("value", max(1, delay), 0.0).over(W.partitionBy("key").orderBy("n")))
+    return scan(samples, "key", ("n",), most).shifted(F.col("value"), max(1, delay), "out", F.lit(0.0)).rows.select(*samples.columns, "out")
 
 
 def delay_samples(seconds: float) -> int:

@@ -1,4 +1,4 @@
-"""The edit timeline of a clip. Everything is windows by clip; the state that an edit carries to the next is the last end time."""
+"""The edit timeline of a clip. Everything is ordered scans by clip; the state that an edit carries to the next is the last end time."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions.signal import FADE_MS, fade, gap_fade_at, lead_in_ms
 from lexspan.functions.text import clean_word, clip_filename, concat_line, to_ms
+from lexspan.operators.scan import MOST, scan
 
 
 def with_ms(hits: DataFrame) -> DataFrame:
@@ -32,10 +33,11 @@ def splice_counts(hits: DataFrame, files: DataFrame) -> DataFrame:
     return by.withColumn("fully_censored", F.col("skipped") == 0)
 
 
-def padded(hits: DataFrame, lead_in: int | None = None) -> DataFrame:
+def padded(hits: DataFrame, lead_in: int | None = None, most: int = MOST) -> DataFrame:
     """prev_end (the end of the match before, 0 at first), pad (where the lead-in starts, not before prev_end) and lead_actual,
-    which is negative where matches overlap."""
-    rows = hits.withColumn("prev_end", F.coalesce(F.lag("end_ms").over(W.partitionBy("clip").orderBy("start", "pos")), F.lit(0)).cast("bigint"))
+    which is negative where matches overlap. Clips of over `most` matches are scanned in segments of time."""
+    rows = scan(hits, "clip", ("start", "pos"), most).lagged(F.col("end_ms"), "prev_end").rows.select(*hits.columns, "prev_end")
+    rows = rows.withColumn("prev_end", F.coalesce("prev_end", F.lit(0)).cast("bigint"))
     rows = rows.withColumn("pad", F.greatest("prev_end", F.col("start_ms") - lead_in_ms(clean_word(F.col("word")), lead_in)))
     return rows.withColumn("lead_actual", F.col("start_ms") - F.col("pad"))
 
