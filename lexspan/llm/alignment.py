@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lexspan.llm.common import Tables, arrow, as_batch, id_text, rows_of
 from lexspan.llm.packing import rank_encoder, rank_vocabulary
 
-_SLICE = 1 << 22
+_SLICE = 1 << 20
 
 
 @dataclass
@@ -69,7 +69,7 @@ def piece_side(path: str | None = None) -> Side:
 
 def _owners(ends: np.ndarray, x: int, y: int) -> np.ndarray:
     """The index of the token that has each of the bytes x to y - 1, of tokens that end at `ends`."""
-    of = np.arange(np.searchsorted(ends, x, side="right"), np.searchsorted(ends, y) + 1)
+    of = np.arange(np.searchsorted(ends, x, side="right"), np.searchsorted(ends, y) + 1, dtype=np.int32)
     begun = np.where(of > 0, ends[of - 1], 0)
     return np.repeat(of, np.minimum(ends[of], y) - np.maximum(begun, x))
 
@@ -150,10 +150,10 @@ SIDES: Sides = (rank_side, piece_side)
 _PER_TEXT = [("n_a", "int"), ("n_b", "int"), ("n_groups", "int"), ("n_links", "int")]
 
 
-def lots(docs: DataFrame, sides: Sides = SIDES, lot: int = 1 << 23) -> DataFrame:
-    """A row for each lot: its documents' ids, counts and digests as arrays, its distinct pairs (id of A * B's vocabulary + id of B) with
-    their links, and `links`, each link of the lot as the number of its pair (unsigned, 32 bits)."""
-    schema = pa.schema([("lot", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((n, pa.list_(pa.int32())) for n, _ in _PER_TEXT), ("groups", pa.list_(pa.string())), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("links", pa.binary())])
+def lots(docs: DataFrame, sides: Sides = SIDES, lot: int = 1 << 22) -> DataFrame:
+    """A row for each document: its lot, id, counts, digest of groups, and `links`, each link as the number of its pair in the lot, of 16 bits
+    or, if the lot has more pairs, 32. A lot's first row has its distinct pairs (id of A * B's vocabulary + id of B) and their links."""
+    schema = pa.schema([("lot", pa.int64()), ("doc_id", pa.int64()), *((n, pa.int32()) for n, _ in _PER_TEXT), ("groups", pa.string()), ("links", pa.binary()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -161,37 +161,49 @@ def lots(docs: DataFrame, sides: Sides = SIDES, lot: int = 1 << 23) -> DataFrame
         ctx = TaskContext.get()
         number = (ctx.partitionId() if ctx else 0) << 40
         a, b = (side() for side in sides)
-        held: list[list] = [[] for _ in range(7)]
+        held: list[list] = [[] for _ in range(9)]  # the first six are columns, then the parts' pairs, counts and links
         size = 0
 
         def whole() -> pa.RecordBatch:
             nonlocal held, size, number
-            linked = np.concatenate(held[6])
-            pairs, at, times = np.unique(linked, return_inverse=True, return_counts=True)
-            made = as_batch(schema, [number], *([x] for x in held[:6]), [pairs], [times], [at.astype("<u4").tobytes()])
-            held, size, number = [[] for _ in range(7)], 0, number + 1
+            pairs, at = np.unique(np.concatenate(held[6]), return_inverse=True)
+            times = np.bincount(at, np.concatenate(held[7]), len(pairs)).astype(np.int64)
+            at = at.astype(_width(len(pairs)))
+            ends, edges = np.cumsum([0, *map(len, held[6])]), np.cumsum([0, *held[4]])
+            links = np.concatenate([at[x:y][of] for x, y, of in zip(ends[:-1], ends[1:], held[8], strict=True)])
+            n = len(held[0])
+            made = as_batch(schema, [number] * n, *held[:6], [links[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)], [pairs] + [None] * (n - 1), [times] + [None] * (n - 1))
+            held, size, number = [[] for _ in range(9)], 0, number + 1
             return made
 
-        for keys, texts in rows_of(batches):
+        for keys, texts in rows_of(batches, 1 << 19):
             found = align(texts, a, b)
             held[0] += keys
             for column, values in zip(held[1:5], (found.n_a, found.n_b, found.per_text(found.cut), found.per_text(np.ones(len(found.cut), dtype=np.int64))), strict=True):
                 column += values.tolist()
             held[5] += group_digests(found, len(a.pieces), len(b.pieces))
-            held[6].append(found.a[found.link_a] * len(b.pieces) + found.b[found.link_b])
+            pairs, at, times = np.unique(found.a[found.link_a] * len(b.pieces) + found.b[found.link_b], return_inverse=True, return_counts=True)
+            held[6].append(pairs)
+            held[7].append(times)
+            held[8].append(at.astype(np.int32))
             size += sum(map(len, texts))
             if size >= lot:
                 yield whole()
         if held[0]:
             yield whole()
 
-    return arrow(id_text(docs), task, "lot long, doc_ids array<long>, " + "".join(f"{n} array<{t}>, " for n, t in _PER_TEXT) + "groups array<string>, pairs array<long>, times array<long>, links binary")
+    fields = "lot long, doc_id long, " + "".join(f"{n} {t}, " for n, t in _PER_TEXT) + "groups string, links binary, pairs array<long>, times array<long>"
+    return arrow(id_text(docs), task, fields)
+
+
+def _width(n_pairs: int) -> str:
+    return "<u2" if n_pairs <= 1 << 16 else "<u4"
 
 
 def _pairs(made: DataFrame) -> DataFrame:
     """(lot, place, pair, times): the distinct pairs of the lots."""
     zipped = F.arrays_zip("pairs", "times")
-    return made.select("lot", F.posexplode(zipped).alias("place", "x")).select("lot", "place", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
+    return made.where("pairs is not null").select("lot", F.posexplode(zipped).alias("place", "x")).select("lot", "place", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
 
 
 def pair_counts(made: DataFrame, sides: Sides = SIDES) -> DataFrame:
@@ -202,28 +214,28 @@ def pair_counts(made: DataFrame, sides: Sides = SIDES) -> DataFrame:
     return summed.select("pair", "a_id", "b_id", "n", (F.col("n") == F.max("n").over(W.partitionBy("b_id"))).alias("best"))
 
 
-def scored(docs: DataFrame, sides: Sides = SIDES, lot: int = 1 << 23) -> DataFrame:
+def scored(docs: DataFrame, sides: Sides = SIDES, lot: int = 1 << 22) -> DataFrame:
     """For each document doc_id, n_a, n_b (tokens), n_groups, n_links, n_best (links whose pair is a best one), count_sum (of their pairs'
     counts) and groups_sha256."""
     work = Tables(docs.sparkSession, "alignment")
     made = work.put("lots", lots(docs, sides, lot))
     counts = work.put("counts", pair_counts(made, sides))
-    told = _pairs(made).join(counts.select("pair", "n", "best"), "pair").groupBy("lot").agg(F.array_sort(F.collect_list(F.struct("place", "n", "best"))).alias("told"))
-    # lots without links have nothing to be told
-    both = made.join(told, "lot", "left").select("doc_ids", *(n for n, _ in _PER_TEXT), "groups", "links", F.coalesce("told.n", F.array().cast("array<long>")).alias("n"), F.coalesce("told.best", F.array().cast("array<boolean>")).alias("best"))
+    told = _pairs(made).join(counts.select("pair", "n", "best"), "pair").select(F.col("lot").alias("of"), "place", "n", "best")
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n, _ in _PER_TEXT), ("n_best", pa.int64()), ("count_sum", pa.int64()), ("groups_sha256", pa.string())])
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys, n_a, n_b, n_groups, n_links, groups = (c[i].as_py() for c in batch.columns[:6])
-                at = np.frombuffer(batch.column(6)[i].as_py(), dtype="<u4")
-                edges = np.concatenate([[0], np.cumsum(n_links)]).astype(np.int64)
-                sums = (np.concatenate([[0], np.cumsum(batch.column(j)[i].values.to_numpy(zero_copy_only=False).astype(np.int64)[at])])[edges] for j in (7, 8))
-                count_sum, n_best = map(np.diff, sums)
-                yield as_batch(schema, keys, n_a, n_b, n_groups, n_links, n_best, count_sum, groups)
-
-    return arrow(both, task, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    def task(rows: pa.Table, told: pa.Table) -> pa.Table:
+        place = told["place"].to_numpy()
+        n, best = np.zeros((2, len(place)), dtype=np.int64)
+        n[place], best[place] = told["n"].to_numpy(), told["best"].to_numpy()
+        sums = []
+        for links in rows["links"].to_pylist():
+            at = np.frombuffer(links, dtype=_width(len(place)))
+            sums.append((int(best[at].sum()), int(n[at].sum())))
+        columns = [rows["doc_id"], *(rows[c].cast(pa.int64()) for c, _ in _PER_TEXT), *(pa.array(c, pa.int64()) for c in zip(*sums, strict=True)), rows["groups"]]
+        return pa.Table.from_arrays(columns, schema=schema)
+
+    both = made.drop("pairs", "times").groupBy("lot").cogroup(told.groupBy("of"))
+    return both.applyInArrow(task, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
 def grouped(docs: DataFrame, sides: Sides = SIDES) -> DataFrame:
