@@ -11,7 +11,7 @@ DEFAULT_GAIN, LEAST_GAIN, MOST_GAIN = 6.0, -12.0, 24.0
 LEAD_IN_MS = {"a": 50, "s": 50}
 PADDING_S, LEAST_SPEECH_S, LEAST_MEASURED_S = 0.9, 0.1, 0.02
 FASTER, SLOWER, SLOWEST, STEP = 1.05, 0.95, 0.5, 2.0
-RATE, BLOCK, LEAST_MUTE_S, BEEP_HZ, BEEP_LEVEL = 16000, 1024, 0.15, 1000.0, 0.3
+RATE, BLOCK, LEAST_MUTE_S, BEEP_HZ, BEEP_LEVEL, DELAY_S = 16000, 1024, 0.15, 1000.0, 0.3, 2.0
 TRIM = "silenceremove=start_periods=1:start_silence=0.01:start_threshold=-45dB:detection=peak"
 
 

@@ -59,6 +59,13 @@ def chunks(blocks: DataFrame, per_chunk: int, samples: int = BLOCK) -> DataFrame
     return rows.select("key", "chunk", "n_blocks", (F.col("n_blocks") * samples).alias("n_samples"), (F.col("chunk") * per_chunk * samples).alias("first_sample"))
 
 
+def sample_chunks(blocks: DataFrame, per_chunk: int) -> DataFrame:
+    """Chunks of equal blocks(key, n, now_us, samples), n from 0, with their samples as one array: key, chunk, first_us, last_us, samples. A chunk that is
+    not full gives no row."""
+    by = blocks.groupBy("key", F.floor(F.col("n") / per_chunk).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("n", "samples"))).alias("parts"), F.min("now_us").alias("first_us"), F.max("now_us").alias("last_us"))
+    return by.where(F.size("parts") == per_chunk).select("key", "chunk", "first_us", "last_us", F.flatten("parts.samples").alias("samples"))
+
+
 def simulate(hits: DataFrame, clips: DataFrame) -> DataFrame:
     """By clip with matches: their number, the plain sum of their durations (overlaps count twice), and its share of duration_s."""
     by = hits.groupBy("clip").agg(F.count(F.lit(1)).alias("n_muted"), F.sum(F.col("end") - F.col("start")).alias("muted_s"))

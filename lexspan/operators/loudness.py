@@ -1,5 +1,5 @@
-"""Loudness of time ranges over decoded blocks. Blocks of a clip have equal length, so a range names the blocks that it touches and the join
-is by equality; sums of squares are added up, never the samples gathered."""
+"""Loudness of time ranges over decoded blocks of equal length. Each block knows the power of all samples before it, so a range is two look-ups
+and two ragged ends, however long it is: samples are read once and never moved for a range that spans them."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions.signal import BLOCK, LEAST_MEASURED_S, RATE, gain_db, mean_volume_of, power_of
+from lexspan.operators.scan import MOST, scan
 
 
 def block_power(blocks: DataFrame) -> DataFrame:
@@ -15,21 +16,30 @@ def block_power(blocks: DataFrame) -> DataFrame:
     return by.select("clip", mean_volume_of(F.col("p"), F.col("n")).alias("db"))
 
 
-def range_volume(ranges: DataFrame, blocks: DataFrame, rate: int = RATE, block: int = BLOCK) -> DataFrame:
+def powers(blocks: DataFrame, most: int = MOST) -> DataFrame:
+    """blocks(clip, block_no, samples) with p_before and n_before: the power and the number of the samples of the clip's earlier blocks."""
+    rows = blocks.select("clip", F.col("block_no").cast("bigint").alias("block_no"), "samples", power_of(F.col("samples")).alias("p"), F.size("samples").cast("bigint").alias("n"))
+    rows = scan(rows, "clip", ("block_no",), most).running_sum(F.col("p"), "p_before").running_sum(F.col("n"), "n_before").rows
+    return rows.select("clip", "block_no", "samples", (F.col("p_before") - F.col("p")).alias("p_before"), (F.col("n_before") - F.col("n")).alias("n_before"))
+
+
+def range_volume(ranges: DataFrame, blocks: DataFrame, rate: int = RATE, block: int = BLOCK, most: int = MOST) -> DataFrame:
     """ranges(clip, pos, start, end) with db, the mean volume of blocks(clip, block_no, samples) between start and end; null where the
-    range is too short to measure, silent or beyond the samples."""
+    range is too short to measure, silent or beyond the samples. A clip's blocks are numbered from 0 without holes, and only the last is short."""
     first = F.floor(F.col("start") * rate).cast("bigint")
     last = F.floor(F.col("end") * rate).cast("bigint")  # exclusive
-    wide = ranges.withColumns({"_first": first, "_last": last}).where((F.col("end") - F.col("start") > LEAST_MEASURED_S) & (F.col("_last") > F.col("_first")))
-    numbers = F.sequence(F.floor(F.col("_first") / block), F.floor((F.col("_last") - 1) / block))
-    each = wide.select("clip", "pos", "_first", "_last", F.explode(numbers).alias("block_no")).join(blocks.select("clip", F.col("block_no").cast("bigint").alias("block_no"), "samples"), ["clip", "block_no"])
-    begin = F.greatest(F.lit(0), F.col("_first") - F.col("block_no") * block)
-    size = F.least(F.lit(block), F.col("_last") - F.col("block_no") * block) - begin
-    part = F.slice("samples", (begin + 1).cast("int"), size.cast("int"))
-    sums = each.select("clip", "pos", power_of(part).alias("p"), F.size(part).alias("n"))
-    by = sums.groupBy("clip", "pos").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    db = by.select("clip", "pos", mean_volume_of(F.col("p"), F.col("n")).alias("db"))
-    return ranges.join(db, ["clip", "pos"], "left")
+    wide = ranges.select("clip", "pos", first.alias("first"), last.alias("last"), "start", "end").where((F.col("end") - F.col("start") > LEAST_MEASURED_S) & (F.col("last") > F.col("first")))
+    known = powers(blocks, most)
+    ends = known.groupBy("clip").agg(F.max(F.col("n_before") + F.size("samples")).alias("total"))
+    # either end of a range is a number of samples from the clip's start; what lies before it is asked of the block that holds the last of them
+    sides = wide.join(ends, "clip").select("clip", "pos", F.explode(F.array(F.struct(F.lit(-1).alias("sign"), F.least("first", "total").alias("at")), F.struct(F.lit(1).alias("sign"), F.least("last", "total").alias("at")))).alias("x")).select("clip", "pos", "x.*")
+    asked = sides.where("at > 0").withColumn("block_no", F.floor((F.col("at") - 1) / block))
+    part = F.slice("samples", 1, (F.col("at") - F.col("block_no") * block).cast("int"))
+    told = asked.join(known, ["clip", "block_no"]).select("clip", "pos", (F.col("sign") * (F.col("p_before") + power_of(part))).alias("p"), (F.col("sign") * F.col("at")).alias("n"))
+    by = told.groupBy("clip", "pos").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    # a difference of sums that is silence but for rounding is silence
+    power = F.when(F.col("p") > 1e-9 * F.col("n"), F.col("p")).otherwise(F.lit(0.0))
+    return ranges.join(by.select("clip", "pos", mean_volume_of(power, F.col("n")).alias("db")), ["clip", "pos"], "left")
 
 
 def gains(original: DataFrame, replacement: DataFrame) -> DataFrame:

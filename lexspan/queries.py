@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexspan.functions import signal, text
-from lexspan.operators import live, loudness, manifest, match, timeline
+from lexspan.operators import live, loudness, manifest, match, render, timeline
 from lexspan.schema import MATCH_LIST
 from lexspan.sources import adapters, catalog, lexicon, transcripts
 from lexspan.streaming import live as streams
@@ -516,6 +516,42 @@ def measured_gains(spark, sf_dir):
     return gains.select("clip", "pos", F.round("db", 4).alias("db"), F.round("gain_db", 4).alias("gain_db"))
 
 
+def _clip_blocks(spark, sf_dir, rate: int, block: int) -> DataFrame:
+    """Each clip's samples, a formula of their number, `rate` a second."""
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("total_ms") * rate / 1000 / block))
+    n = F.least(F.lit(block), F.floor(F.col("total_ms") * rate / 1000) - F.col("block_no") * block)
+    samples = F.transform(F.sequence(F.col("block_no") * block, F.col("block_no") * block + F.col("n") - 1), lambda i: ((i * 7) % 11 - 5) / 8)
+    return totals(words_of(spark, sf_dir)).select("clip", "total_ms", F.explode(numbers).alias("block_no")).withColumn("n", n).where("n > 0").select("clip", "block_no", samples.alias("samples"))
+
+
+@query(f"""WITH {_timeline("pos % 7 <> 0")}, lengths AS (SELECT t.*, CAST(greatest(0, floor((src_end_ms - src_start_ms) * 100 / 1000.0::DOUBLE)) AS BIGINT) AS n FROM timeline t),
+put AS (SELECT *, CAST(sum(n) OVER (PARTITION BY clip ORDER BY seq) - n AS BIGINT) AS out_from, (src_end_ms - src_start_ms) / 1000.0::DOUBLE AS d, 10 * (match_pos % 5 + 1) AS spoken, match_pos % 4 AS quiet FROM lengths),
+faded AS (SELECT *, CASE WHEN kind = 'replacement' THEN CASE WHEN d > 0.02::DOUBLE THEN least(0.02::DOUBLE, d / 4) ELSE 0 END ELSE 0.02::DOUBLE END AS fade_s FROM put WHERE n > 0),
+ended AS (SELECT *, CASE WHEN kind = 'replacement' THEN greatest(0, d - fade_s) WHEN kind = 'gap' AND src_end_ms - src_start_ms > 40 THEN greatest(0.0::DOUBLE, (src_end_ms - src_start_ms - 20) / 1000.0::DOUBLE) END AS out_at, CAST(floor(src_start_ms * 100 / 1000.0::DOUBLE) AS BIGINT) AS first FROM faded),
+each AS (SELECT *, unnest(range(n)) AS j FROM ended),
+raw AS (SELECT clip, out_from + j AS place, j / 100.0::DOUBLE AS t, kind, fade_s, out_at,
+  CASE kind WHEN 'silence' THEN 0 WHEN 'replacement' THEN CASE WHEN k < quiet THEN 0 WHEN k < spoken + quiet THEN ((k - quiet) % 7 + 1) / 8.0::DOUBLE WHEN k = spoken + quiet THEN 0.001::DOUBLE ELSE 0 END * CASE WHEN match_pos % 9 <> 4 THEN pow(10.0::DOUBLE, (match_pos % 9 - 4) / 20.0::DOUBLE) ELSE 1 END
+    ELSE CASE WHEN first + j < total THEN (((first + j) * 7) % 11 - 5) / 8.0::DOUBLE ELSE 0 END END AS x FROM (SELECT e.*, j + greatest(0, quiet - 1) AS k, CAST(floor(total_ms * 100 / 1000.0::DOUBLE) AS BIGINT) AS total FROM each e JOIN totals USING (clip))),
+sound AS (SELECT clip, place, x * CASE WHEN kind = 'replacement' AND fade_s > 0 THEN least(1.0::DOUBLE, t / fade_s) ELSE 1 END * CASE WHEN out_at IS NOT NULL AND fade_s > 0 AND t > out_at THEN greatest(0.0::DOUBLE, 1 - (t - out_at) / fade_s) ELSE 1 END AS x FROM raw)
+SELECT clip, CAST(place // 16 AS BIGINT) AS out_block, CAST(count(*) AS BIGINT) AS n, round(sum(x * (place % 16 + 1)), 4) + 0.0 AS weighed, round(sum(abs(x)), 4) AS total FROM sound GROUP BY clip, place // 16""")
+def rendered_blocks(spark, sf_dir):
+    """The edited sound of all clips in blocks of 16 samples, 100 a second: gaps of the clips' own sound, silences, and speech with its gain and
+    fades; every seventh match has no speech. Returned as sums over each block's samples."""
+    rate, block = 100, 16
+    hits = hits_of(spark, sf_dir).where("pos % 7 <> 0")
+    shape = timeline.segments(hits, totals(words_of(spark, sf_dir)))
+    pos = F.col("pos")
+    quiet, spoken = pos % 4, 10 * (pos % 5 + 1)
+    whole = F.concat(F.array_repeat(F.lit(0.0), quiet.cast("int")), F.transform(F.sequence(F.lit(0).cast("bigint"), spoken - 1), lambda i: (i % 7 + 1) / 8), F.array_repeat(F.lit(0.001), F.lit(3)))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.floor((F.size("whole") - 1) / block))
+    speech = hits.select("clip", pos.alias("match_pos"), whole.alias("whole")).select("clip", "match_pos", "whole", F.explode(numbers).alias("block_no"))
+    speech = speech.select("clip", "match_pos", "block_no", F.slice("whole", (F.col("block_no") * block + 1).cast("int"), block).alias("samples"))
+    gains = hits.select("clip", pos.alias("match_pos"), (pos % 9 - 4).cast("double").alias("gain_db"))
+    made = render.render(shape, _clip_blocks(spark, sf_dir, rate, block), speech, gains, rate, block)
+    sums = lambda f: F.aggregate(F.transform("samples", f), F.lit(0.0), lambda a, x: a + x)
+    return made.select("clip", "out_block", F.size("samples").cast("bigint").alias("n"), (F.round(sums(lambda x, i: x * (i + 1)), 4) + 0.0).alias("weighed"), F.round(sums(lambda x: F.abs(x)), 4).alias("total"))
+
+
 _VECTORS = (("Dang,", None), (" hell", "heck"), ("WELL?", None), ("(damn)!", "dang"), ("half-ass.", "lazy"), ("_hell_", "heck"), ("HELL\n", "heck"), ("hell　", "heck"), (" hell ", "heck"), ("' hell'", None), ("“damn”", None), ("don't", None), ("--x--", None), ("", None))
 
 
@@ -641,6 +677,71 @@ def stream_live(spark, sf_dir):
     return _run(streams.muted_live(arriving, arriving.select("key", "id", "now_us"), lexicon.fixture(spark)), path)
 
 
+def _jittered(spark, sf_dir, make) -> DataFrame:
+    """Runs a query over the events as a stream in which rows come up to a minute late, in four micro-batches whatever their time, and heartbeats follow."""
+    path = new_path(spark, "stream")
+    rows = mute_events(spark, sf_dir).select((F.col("key") % 50).alias("key"), "id", F.timestamp_micros("now_us").alias("at"), "now_us", "dur_us")
+    arriving = rows.withColumn("at_us", F.col("now_us") + F.pmod(F.xxhash64("id"), F.lit(60_000_000)))
+    cuts = [int(x) for x in arriving.approxQuantile("at_us", [0.25, 0.5, 0.75], 0.01)] if not rows.isEmpty() else []
+    last = rows.agg(F.max("now_us").alias("t")).select(F.lit(-1).cast("bigint").alias("key"), F.lit(None).cast("bigint").alias("id"), F.timestamp_micros(F.col("t") + 3_600_000_000).alias("at"), (F.col("t") + 3_600_000_000).alias("now_us"), F.lit(None).cast("bigint").alias("dur_us"))
+    end = last.withColumn("at_us", F.col("now_us")).where("at_us is not null")
+    return _run(make(_dropped(arriving.unionByName(end), path, [*cuts, *(r["at_us"] for r in end.collect())])), path)
+
+
+@query(f"""WITH {_MUTES}, {_KEYED}, third AS (SELECT * FROM keyed WHERE id % 3 = 0), {_deadlines('third')}, b AS (SELECT * FROM keyed WHERE id % 3 <> 0)
+SELECT b.key, b.id, b.now_us, b.now_us + 2000000 AS out_us, coalesce(b.now_us + 2000000 < max(i.until_us), false) AS muted FROM b LEFT JOIN islands i ON i.key = b.key AND i.now_us <= b.now_us + 2000000 GROUP BY b.key, b.id, b.now_us""")
+def stream_played(spark, sf_dir):
+    """Blocks gated when they play, two seconds after they come in, from a stream whose rows come late and out of order."""
+    return _jittered(spark, sf_dir, lambda rows: streams.played_blocks(rows.withColumn("dur_us", F.when(F.col("id") % 3 == 0, F.col("dur_us"))), late="2 minutes"))
+
+
+@query(f"WITH {_MUTES}, {_KEYED}, {_deadlines('keyed')} SELECT key, id, now_us, until_us, island FROM islands")
+def stream_mute_late(spark, sf_dir):
+    """Deadlines of hits that come late and out of order."""
+    return _jittered(spark, sf_dir, lambda rows: streams.mute_deadlines(rows, "2 minutes"))
+
+
+def _threshold_ear():
+    """A stand-in recogniser: the number of loud samples names the word; some numbers fail."""
+    names = [k for k, _, _ in lexicon.FIXTURE]
+
+    def run(samples):
+        n = int((samples > 36.0).sum())
+        if n % 7 == 3:
+            raise ValueError(f"{n} loud samples")
+        return [{"words": [{"word": f" {names[n % len(names)].upper()}!", "start": n / 100, "end": n / 100 + 0.25}, {"word": "quiet", "start": 0.5, "end": None}]}, {"words": None}]
+
+    return run
+
+
+_HEARD = "[" + ", ".join(f"'{k}'" for k, _, _ in lexicon.FIXTURE) + "]"
+
+
+@query(rf"""WITH {_MUTES}, {_KEYED}, {_LEXICON}, b AS (SELECT k.key, k.id, k.now_us, CAST(e.value AS FLOAT) > 36.0 AS loud, row_number() OVER (PARTITION BY k.key ORDER BY k.now_us, k.id) - 1 AS n FROM keyed k JOIN events e ON e.event_id = k.id),
+c AS (SELECT key, n // 16 AS chunk, count(*) FILTER (loud) AS loud, max(now_us) AS now_us FROM b GROUP BY key, n // 16 HAVING count(*) = 16),
+w AS (SELECT *, {_HEARD}[loud % {len(lexicon.FIXTURE)} + 1] AS heard FROM c WHERE loud % 7 <> 3)
+SELECT w.key, CAST(chunk AS BIGINT) AS chunk, CAST(0 AS BIGINT) AS place, ' ' || upper(heard) || '!' AS word, replacement, round(loud / 100.0::DOUBLE, 6) AS start_s, now_us, CAST(250000 AS BIGINT) AS dur_us FROM w JOIN lexicon ON lexicon.key = heard""")
+def stream_recognised(spark, sf_dir):
+    """Samples gathered into chunks, recognised and matched in one stream; chunks that fail are dropped."""
+    def heard(rows):
+        chunks = streams.sample_chunks(rows, 16.0, rate=1)
+        return streams.spoken_hits(chunks, _threshold_ear, lexicon.fixture(spark)).select("key", "chunk", "place", "word", "replacement", F.round("start", 6).alias("start_s"), "now_us", "dur_us")
+
+    path = new_path(spark, "stream")
+    return _run(heard(_dropped(_sampled(spark, sf_dir).withColumn("at_us", F.col("now_us")), path, _quarters(spark, sf_dir))), path)
+
+
+def _sampled(spark, sf_dir) -> DataFrame:
+    """Blocks of one sample, the event's value."""
+    e = table(spark, sf_dir, "events")
+    return e.select((F.col("user_id") % 50).alias("key"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("now_us"), F.array(F.col("value").cast("float")).alias("samples"))
+
+
+def _quarters(spark, sf_dir) -> list[int]:
+    rows = mute_events(spark, sf_dir)
+    return [int(x) for x in rows.approxQuantile("now_us", [0.25, 0.5, 0.75], 0.01)] if not rows.isEmpty() else []
+
+
 # Guards --------------------------------------------------------------------------------------------------------------------
 
 

@@ -3,11 +3,14 @@ and is set up once for each partition; the engine ships deterministic stand-ins
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lexspan.schema import SEGMENTS
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -17,7 +20,6 @@ def recognise(clips: DataFrame, make: Callable[[], Callable[[str], list[dict]]])
 
     def task(batches: Batches) -> Batches:
         run = make()
-        shape = pa.list_(pa.struct([("words", pa.list_(pa.struct([("word", pa.string()), ("start", pa.float64()), ("end", pa.float64())])))]))
         for batch in batches:
             clips_, found, errors = batch.column(0), [], []
             for path in batch.column(1).to_pylist():
@@ -27,9 +29,33 @@ def recognise(clips: DataFrame, make: Callable[[], Callable[[str], list[dict]]])
                 except Exception as e:  # noqa: BLE001
                     found.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([clips_, pa.array(found, type=shape), pa.array(errors, type=pa.string())], names=["clip", "segments", "error"])
+            yield pa.RecordBatch.from_arrays([clips_, pa.array(found, type=_SEGMENTS), pa.array(errors, type=pa.string())], names=["clip", "segments", "error"])
+
+    return clips.select("clip", "path").mapInArrow(task, f"clip string, segments {SEGMENTS}, error string")
+
+
+def recognise_samples(chunks: DataFrame, make: Callable[[], Callable]) -> DataFrame:
+    """(key, chunk, last_us, segments, error) of chunks(key, chunk, last_us, samples), of a batch or a stream: `make` loads a model once for each partition and
+    gives a function from an array of samples to segments. A chunk that fails gives its error, which is logged too, and no segments; the others go on."""
+
+    def task(batches: Batches) -> Batches:
+        run = make()
+        for batch in batches:
+            found, errors = [], []
+            for key, chunk, samples in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
+                try:
+                    found.append(run(samples.values.to_numpy(zero_copy_only=False)))
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001
+                    logging.getLogger(__name__).warning("chunk %s of stream %s is dropped: %s", chunk, key, e)
+                    found.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, type=_SEGMENTS), pa.array(errors, type=pa.string())], names=["key", "chunk", "last_us", "segments", "error"])
+
+    return chunks.select("key", "chunk", "last_us", "samples").mapInArrow(task, f"key bigint, chunk bigint, last_us bigint, segments {SEGMENTS}, error string")
+
 
-    return clips.select("clip", "path").mapInArrow(task, "clip string, segments array<struct<words:array<struct<word:string,start:double,end:double>>>>, error string")
+_SEGMENTS = pa.list_(pa.struct([("words", pa.list_(pa.struct([("word", pa.string()), ("start", pa.float64()), ("end", pa.float64())])))]))
 
 
 def speak(texts: DataFrame, make: Callable[[], Callable[[str], bytes]], least_bytes: int = 200) -> DataFrame:
