@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from lexspan.functions import signal, text
 from lexspan.operators import live, loudness, manifest, match, render, timeline
-from lexspan.schema import MATCH_LIST
-from lexspan.sources import adapters, catalog, lexicon, transcripts
+from lexspan.plans import slices
+from lexspan.sources import adapters, catalog, files, lexicon, transcripts
 from lexspan.streaming import live as streams
 from lexspan.work import new_path
 
@@ -575,16 +575,40 @@ UNION ALL SELECT 'manifest', CAST(o_orderkey AS VARCHAR), 0, ['censored', 'clean
 def json_roundtrip(spark, sf_dir):
     """Transcripts, matches and the manifest of all clips, written as files and read back; a match's pos is its place in its file."""
     path = new_path(spark, "json")
-    transcripts.write_words(words_of(spark, sf_dir), f"{path}/words")
-    transcripts.write_matches(hits_of(spark, sf_dir), f"{path}/matches")
+    files.write_files(transcripts.as_json(words_of(spark, sf_dir), "word", "start", "end"), f"{path}/words")
+    files.write_files(transcripts.as_json(hits_of(spark, sf_dir), "word", "start", "end", "replacement"), f"{path}/matches", "matches")
     transcripts.write_manifest(_statuses(spark, sf_dir), f"{path}/manifest")
-    words, hits = transcripts.read_clip_folders(spark, f"{path}/words"), transcripts.read_clip_folders(spark, f"{path}/matches", MATCH_LIST)
+    words, hits = files.read_files(spark, f"{path}/words"), files.read_files(spark, f"{path}/matches", "matches")
     listed = transcripts.read_manifest(spark, f"{path}/manifest").select("clip", F.lit(0).cast("bigint").alias("pos"), F.col("status").alias("word"))
     rows = [x.withColumn("kind", F.lit(k)) for k, x in (("word", words), ("match", hits), ("manifest", listed))]
     every = rows[0].unionByName(rows[1], allowMissingColumns=True).unionByName(rows[2], allowMissingColumns=True)
     return every.select("kind", "clip", "pos", "word", F.round("start", 6).alias("start_s"), F.round("end", 6).alias("end_s"), "replacement")
 
 
+@query(f"""WITH {_hits()} SELECT 'word' AS kind, clip, pos, word, round(s, 6) AS start_s, round(e, 6) AS end_s, NULL AS replacement FROM words
+UNION ALL SELECT 'match', clip, CAST(row_number() OVER (PARTITION BY clip ORDER BY pos) - 1 AS BIGINT), word, round(s, 6), round(e, 6), replacement FROM hits""")
+def plain_files(spark, sf_dir):
+    """The files of all clips, read by the readers of plain files from anywhere."""
+    path = new_path(spark, "plain")
+    files.write_files(transcripts.as_json(words_of(spark, sf_dir), "word", "start", "end"), f"{path}/words")
+    files.write_files(transcripts.as_json(hits_of(spark, sf_dir), "word", "start", "end", "replacement"), f"{path}/matches", "matches")
+    words, hits = transcripts.read_words(spark, f"{path}/words/*.json"), transcripts.read_matches(spark, f"{path}/matches/*.json")
+    every = words.withColumn("kind", F.lit("word")).unionByName(hits.withColumn("kind", F.lit("match")), allowMissingColumns=True)
+    return every.select("kind", "clip", "pos", "word", F.round("start", 6).alias("start_s"), F.round("end", 6).alias("end_s"), "replacement")
+
+
+@query("SELECT 'in/' || o_orderkey || '.wav' AS relative, ['censored', 'clean', 'skipped', 'error'][o_orderkey % 4 + 1] AS status, o_orderkey % 3 = 0 AS first_run FROM orders")
+def manifest_resumed(spark, sf_dir):
+    """A manifest of two runs: the first did a third of the inputs, the second what was left."""
+    log = f"{new_path(spark, 'log')}/manifest"
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("in/"), "o_orderkey", F.lit(".wav")).alias("relative"), F.col("o_orderkey").alias("key"))
+    status = F.element_at(F.array(*map(F.lit, ("censored", "clean", "skipped", "error"))), (F.col("key") % 4 + 1).cast("int"))
+    shape = "relative string, status string, first_run boolean"
+    work = lambda first: lambda part: part.select("relative", status.alias("status"), F.lit(first).alias("first_run"))
+    slices.in_slices(rows.where("key % 3 = 0"), work(True), log, shape, slices=4)
+    return slices.in_slices(rows, work(False), log, shape, slices=4)
+
+
 @query()
 def recognised_clips(spark, sf_dir):
     """The recogniser's surface, with its stand-in, over part names as paths."""

@@ -79,6 +79,31 @@ def speak(texts: DataFrame, make: Callable[[], Callable[[str], bytes]], least_by
     return texts.select("replacement").mapInArrow(task, "replacement string, audio binary, error string")
 
 
+_STORED = "id string, replacement string, voice string, audio binary, error string"
+
+
+def speech_store(texts: DataFrame, make: Callable[[], Callable[[str], bytes]], store: str, voice: str = "", least_bytes: int = 200) -> DataFrame:
+    """(replacement, audio, error) of texts(replacement), each made once: the store, a Parquet folder, has audio by the hash of text and voice, and only
+    texts that it lacks are spoken and added. Errors are not stored, so they are tried again, and are returned by the run that met them alone."""
+    from uuid import uuid4
+
+    from pyspark.sql import functions as F
+
+    spark = texts.sparkSession
+    wanted = texts.select("replacement").where("replacement is not null").distinct().withColumn("id", F.sha2(F.concat_ws("\n", F.lit(voice), "replacement"), 256))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    known = spark.read.schema(_STORED).parquet(store) if there else spark.createDataFrame([], _STORED)
+    lacking = wanted.join(known.where("error is null").select("id"), "id", "left_anti")
+    run = uuid4().hex
+    made = speak(lacking, make, least_bytes).join(wanted, "replacement").select("id", "replacement", F.lit(voice).alias("voice"), "audio", F.when(F.col("error").isNotNull(), F.concat(F.lit(run + " "), "error")).alias("error"))
+    made.write.mode("append").parquet(store)
+    stored = spark.read.schema(_STORED).parquet(store).where(F.col("error").isNull() | F.startswith("error", F.lit(run)))
+    # two runs at once may both have made a text: one of them is given
+    one = stored.join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.min_by(F.struct("replacement", "audio", "error"), F.coalesce("error", F.lit(""))).alias("x"))
+    return one.select("x.replacement", "x.audio", F.substring("x.error", 34, 1 << 30).alias("error"))
+
+
 def save_clips(hits: DataFrame, speech: DataFrame, folder: str) -> DataFrame:
     """Writes the audio of speech(replacement, audio) for each of hits(clip, filename, replacement) as folder/clip/filename; gives (clip, filename,
     length) of what was written, the files that a timeline may use. A file is whole once it has its name, and writing it again changes nothing."""

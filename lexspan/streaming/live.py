@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from lexspan.functions.signal import BLOCK, DELAY_S, LEAST_MUTE_S, RATE
 from lexspan.operators import match
@@ -215,6 +216,37 @@ def delayed_blocks(blocks: DataFrame, delay: int) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(step, "key bigint, id bigint, out_id bigint", "held array<bigint>", "append", "NoTimeout")
 
 
+class Totals(StreamingQueryListener):
+    """Adds up what observed() counts as micro-batches end: chunks and muted words so far, and `say` gets each new total, as a ticker's line."""
+
+    def __init__(self, say: Callable[[dict], None] | None = None):
+        self.totals: dict[str, int] = {}
+        self.say = say
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(OBSERVED)
+        if row is not None:
+            for name, n in row.asDict().items():
+                self.totals[name] = self.totals.get(name, 0) + (n or 0)
+            if self.say:
+                self.say(dict(self.totals))
+
+
+OBSERVED = "live"
+
+
+def observed(heard: DataFrame) -> DataFrame:
+    """Hits or blocks with what a listener counts of them: rows, and muted ones where there is a column `muted`."""
+    muted = [F.count_if("muted").alias("n_muted")] if "muted" in heard.columns else []
+    return heard.observe(OBSERVED, F.count(F.lit(1)).alias("n_rows"), *muted)
+
+
 def play(stream: DataFrame, device, checkpoint: str):
     """Hands each micro-batch to `device(frame, batch_id)`, the playback surface; batches that are tried again keep their number."""
     return stream.writeStream.foreachBatch(device).option("checkpointLocation", checkpoint)
