@@ -39,7 +39,7 @@ def pii_pseudonyms(key: str = EXAMPLE_KEY) -> str:
     date = "CASE WHEN regexp_matches(m, '^[0-9]{4}-') THEN try_strptime(m, '%Y-%m-%d') WHEN contains(m, '.') THEN try_strptime(m, '%d.%m.%Y') ELSE try_strptime(m, '%m/%d/%Y') END"
     kind = f"""CASE WHEN {full("email")} THEN 'email'
   WHEN {full("date")} THEN CASE WHEN {date} BETWEEN TIMESTAMP '1800-01-01' AND TIMESTAMP '2199-12-31' THEN 'date' END
-  WHEN {full("ip")} THEN CASE WHEN list_max(list_transform(string_split(m, '.'), lambda o: CAST(o AS INTEGER))) <= 255 THEN 'ip' END
+  WHEN {full("ip")} THEN CASE WHEN list_max(list_transform(string_split(m, '.'), lambda o: CAST(o AS INTEGER))) <= 255 AND NOT regexp_matches(m, '(^|\\.)0[0-9]') THEN 'ip' END
   WHEN {full("ssn")} THEN CASE WHEN NOT regexp_matches(m, '^(000|666|9..)|^...-00|-0000$') THEN 'ssn' END
   WHEN {full("phone")} THEN 'phone'
   WHEN {full("card")} THEN CASE WHEN {luhn(digits, f"length({digits}) % 2")} % 10 = 0 THEN 'card' END END"""
@@ -52,7 +52,7 @@ def pii_pseudonyms(key: str = EXAMPLE_KEY) -> str:
     alphabet = "CASE WHEN c BETWEEN 'a' AND 'z' THEN chr(97 + (ascii(c) - 97 + s) % 26) WHEN c BETWEEN 'A' AND 'Z' THEN chr(65 + (ascii(c) - 65 + s) % 26) WHEN c BETWEEN '0' AND '9' THEN chr(48 + (ascii(c) - 48 + s) % 10) ELSE c END"
     for i in range(pii.ROUNDS):
         one, other = ("el", "er") if i % 2 == 0 else ("er", "el")
-        stream = f"sha256(concat_ws('|', {_quoted(key)}, 'email', length(body), {i}, {other}))"
+        stream = f"sha256(concat_ws('|', {_quoted(key)}, 'email', length(body), {i}, lower({other})))"
         letter = alphabet.replace("(ascii(c)", "(ascii(c)").replace(" s)", f" CAST('0x' || substr({stream}, (2 * j) % 64 + 1, 2) AS INTEGER))").replace("c ", f"substr({one}, j, 1) ").replace("ascii(c)", f"ascii(substr({one}, j, 1))").replace("ELSE c", f"ELSE substr({one}, j, 1)")
         new = f"array_to_string(list_transform(range(1, length({one}) + 1), lambda j: {letter}), '') AS {one}"
         mails.append(f"mail{i} AS (SELECT * EXCLUDE ({one}), {new} FROM {f'mail{i - 1}' if i else 'mails'})")

@@ -8,10 +8,10 @@ SHA-256, so the map is a permutation of the format's values: equal values stay e
   card   its first digit stays, the middle digits are permuted, the Luhn digit is computed anew; separators stay
   phone  all ten digits are permuted, brackets and separators stay, as does +1; an area code or exchange that can be assigned (first digit
          2 to 9) becomes such a one, another stays another: a number that cannot be dialled is still hidden, and no valid one becomes invalid
-  ip     the four octets
+  ip     the four octets, none with a leading zero, so that no two ways of writing become one
   ssn    the valid areas, groups and serials
   date   the 146,097 days from 1800-01-01 to 2199-12-31; y-m-d, d.m.y and m/d/y stay as they are
-  email  letters and digits permuted within their kind, but for the last part of the domain; parts have the lengths that addresses
+  email  letters and digits permuted within their kind, each letter alike in either case, but for the last part of the domain; parts have the lengths that addresses
          allow (64 before the sign, 63 a label, eight labels), which also bounds the matching: a text of any length takes linear time
 
 Card numbers of each length are permuted for themselves; all other formats have one permutation, however their values are written. The key
@@ -72,7 +72,7 @@ def kind_of(x: Column) -> Column:
     valid = {
         "email": F.lit(True),
         "date": _date(x).isNotNull(),
-        "ip": F.forall(octets, lambda o: _long(o) <= 255),
+        "ip": F.forall(octets, lambda o: (_long(o) <= 255) & ~F.rlike(o, F.lit("^0[0-9]"))),
         "ssn": ~F.rlike(x, F.lit("^(000|666|9..)|^...-00|-0000$")),
         "phone": F.lit(True),
         "card": _luhn(d, F.length(d) % 2) % 10 == 0,
@@ -151,7 +151,7 @@ def _email(key: str, m: Column) -> Column:
     half = F.floor(F.length(body) / 2).cast("int")
 
     def shifted(text: Column, other: Column, turn: Column) -> Column:
-        stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.length(body).cast("string"), turn.cast("string"), other), 256)
+        stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.length(body).cast("string"), turn.cast("string"), F.lower(other)), 256)
 
         def one(i: Column) -> Column:
             c = F.substring(text, i, F.lit(1))
