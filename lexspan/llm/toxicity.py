@@ -22,14 +22,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import arrow, as_batch, id_text, rows_of
+from lexspan.llm.common import Tables, arrow, as_batch, id_text, rows_of
 
 FIELDS = "doc_id long, expected_severity double, grade long, toxic boolean"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("expected_severity", pa.float64()), ("grade", pa.int64()), ("toxic", pa.bool_())])
+MIN_DOCS = 6
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -145,7 +147,7 @@ def fit(features: list[dict], grade: list[int], names: list[str], l2: float = 1e
     return OrdinalModel({w: float(x) for w, x in zip(names, params[:k], strict=True)}, theta.tolist())
 
 
-def learn(texts: list[str], toxic: list[int], grades: int = 4, vocabulary: int = 1 << 14, min_docs: int = 6, least: float = 12.0) -> OrdinalModel:
+def learn(texts: list[str], toxic: list[int], grades: int = 4, vocabulary: int = 1 << 14, min_docs: int = MIN_DOCS, least: float = 12.0) -> OrdinalModel:
     """Chooses the features of greatest chi-square (`least` or more, at most `vocabulary`), grades the labels, and fits."""
     features = [vector_of(x) for x in texts]
     chi = apart(features, toxic, min_docs)
@@ -153,14 +155,47 @@ def learn(texts: list[str], toxic: list[int], grades: int = 4, vocabulary: int =
     return fit(features, grade_labels(features, toxic, chi, grades), names)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, grades: int = 4) -> OrdinalModel:
-    """Fits on at most `sample` labelled documents, half of either label as far as there are so many."""
+def counted(docs: DataFrame) -> DataFrame:
+    """(doc_id, feature, value) of the features of each document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("feature", pa.string()), ("value", pa.float64())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in rows_of(batches):
+            for key, text in zip(keys, texts, strict=True):
+                found = vector_of(text)
+                yield as_batch(schema, [key] * len(found), list(found), list(found.values()))
+
+    return arrow(docs.select("doc_id", "text"), task, "doc_id long, feature string, value double")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, grades: int = 4, vocabulary: int = 1 << 14, least: float = 12.0) -> OrdinalModel:
+    """Fits on at most `sample` labelled documents, half of either label as far as there are so many, and on the `vocabulary` features that tell the labels apart
+    best. Features are counted and chosen by the executors; the driver gets the chosen ones' numbers, never a text."""
     by = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     half = [by.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for t in (0, 1)]
     picked = half[0].unionByName(half[1])
-    rows = id_text(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return learn([r["text"] for r in rows], [r["toxic"] for r in rows], grades)
+    work = Tables(docs.sparkSession, "toxicity")
+    rows = work.put("picked", id_text(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
+    toxic = {r["doc_id"]: r["toxic"] for r in rows.select("doc_id", "toxic").collect()}
+    found = work.put("features", counted(rows).join(rows.select("doc_id", "toxic"), "doc_id"))
+    chi = {r["feature"]: r["chi"] for r in _apart(found, toxic.values()).where(F.abs("chi") >= least).orderBy(F.desc(F.abs("chi")), "feature").limit(vocabulary).collect()}
+    features: dict[int, dict] = {k: {} for k in sorted(toxic)}
+    # no more than `sample` times `vocabulary` numbers, however long the texts are
+    chosen = found.join(F.broadcast(docs.sparkSession.createDataFrame(pd.DataFrame({"feature": list(chi)}), "feature string")), "feature")
+    for r in chosen.select("doc_id", "feature", "value").toArrow().sort_by([("doc_id", "ascending"), ("feature", "ascending")]).to_pylist():
+        features[r["doc_id"]][r["feature"]] = r["value"]
+    work.drop()
+    rows, labelled = list(features.values()), [toxic[k] for k in features]
+    return fit(rows, grade_labels(rows, labelled, chi, grades), list(chi))
+
+
+def _apart(found: DataFrame, labels) -> DataFrame:
+    """(feature, chi) of found(doc_id, feature, toxic), as apart() gives it."""
+    n1, n0 = sum(map(bool, labels)), sum(not x for x in labels)
+    by = found.groupBy("feature").agg(F.count_if(F.col("toxic") > 0).cast("double").alias("x"), F.count_if(F.col("toxic") == 0).cast("double").alias("y"))
+    n, d = F.col("x") + F.col("y"), F.col("x") * n0 - F.col("y") * n1
+    rows = by.where((n >= MIN_DOCS) & F.lit(n1 > 0 and n0 > 0) & (n < n1 + n0))
+    return rows.select("feature", (F.signum(d) * d * d * (n1 + n0) / (float(max(1, n1 * n0)) * n * (n1 + n0 - n))).alias("chi"))
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:

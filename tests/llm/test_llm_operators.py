@@ -91,7 +91,19 @@ def test_toxicity_held_out(spark):
     assert hit[(True, True)] + hit[(False, False)] >= 0.98 * len(pairs)
 
 
-def test_toxicity_without_labels():
+def test_toxicity_trained_by_executors_as_by_one(spark):
+    r = random.Random(4)
+    texts = [" ".join(words(30, i, 60) + (["vile", "horrid"] * r.randrange(1, 4) if i % 3 == 0 else [])) for i in range(200)] + [None, "x " * 200_000]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(202)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs(spark, *texts), labels)
+    plain = toxicity.learn([t or "" for t in texts], [int(i % 3 == 0) for i in range(202)])
+    assert model.weights == pytest.approx(plain.weights, abs=1e-6) and len(model.weights) > 3
+    assert model.thresholds == pytest.approx(plain.thresholds, abs=1e-6)
+    assert toxicity.train(docs(spark, *texts), labels, vocabulary=2).weights.keys() <= model.weights.keys()
+
+
+def test_toxicity_without_labels(spark):
+    assert toxicity.train(docs(spark, "a"), spark.createDataFrame([], "doc_id bigint, toxic int")).thresholds == []
     assert toxicity.learn([], []).score("a", {}) == (0.0, 0, False)
     assert toxicity.learn(["a b"], [1]).thresholds == []
 
@@ -172,6 +184,14 @@ def test_pii_links_however_it_is_written(spark):
     assert pii.pseudonymise(ips, "k").select("text").distinct().count() == ips.count()
 
 
+def test_pii_leading_zeros_and_case(spark):
+    texts = ["010.0.0.1 10.0.0.1 0.0.0.0 1.2.3.04", "Bob.Ab-42@X.com", "bob.ab-42@x.com", "BOB.AB-42@x.com"]
+    new = [r["text"] for r in pii.pseudonymise(docs(spark, *texts), "k").orderBy("doc_id").collect()]
+    ips = new[0].split()
+    assert ips[0] == "010.0.0.1" and ips[3] == "1.2.3.04" and ips[1] != "10.0.0.1" and ips[2] != "0.0.0.0"
+    assert new[1] != texts[1] and {x.lower() for x in new[1:]} == {new[2]} and [c.isupper() for c in new[1]] == [c.isupper() for c in texts[1]]
+
+
 def test_pii_of_long_runs(spark):
     runs = ["a" * 2_000_000 + " 7", "7" * 2_000_000, "a." * 500_000 + "@", "a@" * 500_000, "a@" + "b." * 500_000, "x" * 500_000 + "@b.com", "7" * 100 + "-" * 500_000]
     rows = pii.pseudonymise(docs(spark, *runs), "k").orderBy("doc_id").collect()
