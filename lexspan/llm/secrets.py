@@ -1,8 +1,8 @@
 """Secret scans by a trigram inverted index.
 
 A Boolean trigram query is derived from each rule's regular expression (planning, on the driver, from the parsed pattern).
-The index has a posting list of document ids for each trigram that a query names, cut into blocks of `block` consecutive ids, so
-that no list and no task grows with a common trigram. Within a block the lists are intersected and united as the query says; the
+The index has a posting list of document ids for each trigram that a query names, cut into blocks of about `block` documents by a hash of the id,
+so that no list and no task grows with a common trigram, whatever the ids are. Within a block the lists are intersected and united as the query says; the
 rule is then verified on the candidates' texts only. A rule without mandatory trigrams scans every text.
 Trigrams are of ASCII-lower-cased text, so one index serves rules with and without case.
 
@@ -181,7 +181,8 @@ def trigrams(query: Query) -> set[str]:
 
 
 def build_index(docs: DataFrame, wanted: set[str], block: int = 1024) -> DataFrame:
-    """The inverted index of the trigrams wanted: (block, trigram, docs), docs being the posting list within a block of ids."""
+    """The inverted index of the trigrams wanted: (block, trigram, docs), docs being the posting list within a block of about `block` ids."""
+    blocks = -(-docs.count() // block) or 1
     # translate() lowers ASCII only, as the patterns read it
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     has = F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in sorted(wanted)))
@@ -189,7 +190,7 @@ def build_index(docs: DataFrame, wanted: set[str], block: int = 1024) -> DataFra
         docs.where("doc_id is not null")
         .select("doc_id", low.alias("low"))
         .select("doc_id", F.explode(F.array_compact(has)).alias("trigram"))
-        .groupBy(F.floor(F.col("doc_id") / block).alias("block"), "trigram")
+        .groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), "trigram")
         .agg(F.collect_set("doc_id").alias("docs"))
     )
 
