@@ -120,16 +120,18 @@ def spare(names: list[str], wanted: str) -> str:
     return next(x for x in (wanted, *(f"{wanted}_{i}" for i in range(len(taken) + 1))) if x.lower() not in taken)
 
 
-def namesakes(docs: DataFrame, work: Tables) -> DataFrame:
-    """A written table (twin_id, twin_hash, key): documents without an id, and those that share one with another text, each by its text's hash,
+def namesakes(docs: DataFrame, work: Tables) -> DataFrame | None:
+    """None where each document has an id that no other text has; else a written table (twin_id, twin_hash, key): documents without an id, and those that share one with another text, each by its text's hash,
     with a number that no id is. Numbers follow the ids and go on by (id, hash), documents without an id last. Elsewhere the id alone names a text."""
     ids = docs.select(F.col("doc_id").cast("long").alias("twin_id"), text_hash().alias("twin_hash"))
     shared = work.put("twin-ids", ids.where("twin_id is not null").groupBy("twin_id").agg(F.min("twin_hash").alias("a"), F.max("twin_hash").alias("b")).where("a < b").select("twin_id"))
     rows = ids.join(shared, "twin_id", "left_semi").unionByName(ids.where("twin_id is null")).distinct()
     twins = work.put("twins", rows.orderBy(F.asc_nulls_last("twin_id"), "twin_hash").select("twin_id", "twin_hash", F.monotonically_increasing_id().alias("n")))
     most = twins.agg(F.max("n")).first()[0]
-    top = 0 if most is None else ids.agg(F.max("twin_id")).first()[0] or 0
-    if most is not None and top + most + 1 >= 1 << 63:
+    if most is None:
+        return None
+    top = ids.agg(F.max("twin_id")).first()[0] or 0
+    if top + most + 1 >= 1 << 63:
         raise ValueError("documents that share an id, or have none, need numbers above the greatest id, and there are too few")
     return twins.select("twin_id", "twin_hash", (F.col("n") + top + 1).alias("key"))
 
@@ -138,8 +140,10 @@ def text_hash(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def keyed(docs: DataFrame, twins: DataFrame, name: str = "key") -> DataFrame:
+def keyed(docs: DataFrame, twins: DataFrame | None, name: str = "key") -> DataFrame:
     """The documents with a last column `name` that names id and text: the id, or the number of a namesake."""
+    if twins is None:
+        return docs.select(*map(quoted, docs.columns), F.col("doc_id").cast("long").alias(name))
     names = [spare(docs.columns, n) for n in ("twin_id", "twin_hash", "twin_key")]
     of = twins.toDF(*names)
     # a merge join where the namesakes are many, and no movement of texts where they are few

@@ -394,7 +394,7 @@ def passages(docs: DataFrame, least: int = 50, similarity: float = 0.8, k: int =
     twins = namesakes(docs, work)
     rows = keyed(docs.select("doc_id", "text"), twins).select(F.col("key").alias("doc_id"), "text")
     found = _passages(rows, work, least, similarity, k, w, piece, touch)
-    for name in ("doc_id", "source_doc_id"):
+    for name in ("doc_id", "source_doc_id") if twins is not None else ():
         of = twins.select(F.col("key").alias(name), F.struct("twin_id").alias("twin"))
         found = found.join(of, name, "left").withColumn(name, F.when(F.col("twin").isNull(), F.col(name)).otherwise(F.col("twin.twin_id"))).drop("twin")
     return found.select(*_COLUMNS)
