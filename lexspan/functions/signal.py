@@ -106,9 +106,14 @@ def mean_volume_of(power: Column, n: Column) -> Column:
     return F.when((n > 0) & (power > 0), 10 * F.log10(power / n))
 
 
+def tone_at(i: Column) -> Column:
+    """The i-th sample of a block of the tone."""
+    return BEEP_LEVEL * F.sin(2 * 3.141592653589793 * BEEP_HZ * i / RATE)
+
+
 def beep(n: int = BLOCK) -> Column:
     """A block of a 1 kHz tone; its phase starts anew in each block."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: BEEP_LEVEL * F.sin(2 * 3.141592653589793 * BEEP_HZ * i / RATE))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), tone_at)
 
 
 def spoken_duration(seconds: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.functions.signal import BLOCK, LEAST_MUTE_S, RATE
+from lexspan.functions.signal import BLOCK, LEAST_MUTE_S, RATE, tone_at
 from lexspan.operators.scan import MOST, scan
 
 
@@ -37,6 +37,13 @@ def gate(blocks: DataFrame, hits: DataFrame, delay_us: int = 0, most: int = MOST
     return seen.select("key", "id", (F.col("now_us") - delay_us).alias("now_us"), F.coalesce(F.col("now_us") < F.col("until"), F.lit(False)).alias("muted"))
 
 
+def sounded(blocks: DataFrame, beep: bool = False) -> DataFrame:
+    """blocks(muted, samples) as they are heard: silence, or the tone, in place of each muted one's samples."""
+    silence = F.transform("samples", lambda x: F.lit(0.0))
+    tone = F.when(F.size("samples") > 0, F.transform(F.sequence(F.lit(1), F.size("samples")), lambda i: tone_at(i - 1))).otherwise(silence)
+    return blocks.withColumn("samples", F.when(F.col("muted"), tone if beep else silence).otherwise(F.col("samples").cast("array<double>")))
+
+
 def delayed(samples: DataFrame, delay: int, most: int = MOST) -> DataFrame:
     """samples(key, n, value) with out, the value `delay` samples before, 0.0 at first."""
     return scan(samples, "key", ("n",), most).shifted(F.col("value"), max(1, delay), "out", F.lit(0.0)).rows.select(*samples.columns, "out")

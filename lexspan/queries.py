@@ -482,17 +482,29 @@ def asr_chunks(spark, sf_dir):
     return live.chunks(_blocks(spark, sf_dir), live.blocks_per_chunk())
 
 
-@query(f"WITH {_MUTES}, r AS (SELECT key, id, now_us, now_us + greatest(150000, dur_us) AS until_us FROM mutes WHERE id % 5 = 0), b AS (SELECT DISTINCT key, now_us // 60000000 AS block_no FROM mutes) SELECT r.key, r.id, CAST(count(*) AS BIGINT) AS n_blocks FROM r JOIN b ON b.key = r.key AND b.block_no * 60000000 < r.until_us AND (b.block_no + 1) * 60000000 > r.now_us GROUP BY r.key, r.id")
+@query(f"WITH {_MUTES}, r AS (SELECT key, id, now_us, now_us + greatest(150000, dur_us) AS until_us FROM mutes), b AS (SELECT DISTINCT key, now_us // 60000000 AS block_no FROM mutes) SELECT r.key, r.id, CAST(count(*) AS BIGINT) AS n_blocks FROM r JOIN b ON b.key = r.key AND b.block_no * 60000000 < r.until_us AND (b.block_no + 1) * 60000000 > r.now_us GROUP BY r.key, r.id")
 def overlapping_blocks(spark, sf_dir):
     rows = mute_events(spark, sf_dir)
-    ranges = rows.where("id % 5 = 0").select("key", "id", F.col("now_us").alias("from_us"), (F.col("now_us") + F.greatest(F.lit(150000), "dur_us")).alias("until_us"))
+    ranges = rows.select("key", "id", F.col("now_us").alias("from_us"), (F.col("now_us") + F.greatest(F.lit(150000), "dur_us")).alias("until_us"))
     blocks = rows.select("key", F.floor(F.col("now_us") / 60000000).alias("block_no")).distinct()
     return live.overlapping_blocks(ranges, blocks, 60_000_000).groupBy("key", "id").agg(F.count(F.lit(1)).alias("n_blocks"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, round(0.3::DOUBLE * sin(2 * 3.141592653589793::DOUBLE * 1000.0::DOUBLE * i / 16000), 6) + 0.0 AS sample FROM range(1024) t(i)")
+_BEEP = "0.3::DOUBLE * sin(2 * 3.141592653589793::DOUBLE * 1000.0::DOUBLE * i / 16000)"
+
+
+@query(f"""WITH {_MUTES}, third AS (SELECT * FROM mutes WHERE id % 3 = 0), {_deadlines('third')}, b AS (SELECT m.*, e.value FROM mutes m JOIN events e ON e.event_id = m.id WHERE id % 3 <> 0),
+gated AS (SELECT b.key, b.id, any_value(b.value) AS value, coalesce(b.now_us < max(i.until_us), false) AS muted FROM b LEFT JOIN islands i ON i.key = b.key AND i.now_us <= b.now_us GROUP BY b.key, b.id, b.now_us),
+beep AS (SELECT sum({_BEEP} * (i + 1)) AS weighed FROM range(1024) t(i))
+SELECT key, id, round(CASE WHEN muted THEN weighed ELSE value * 524800 END, 4) + 0.0 AS weighed FROM gated, beep""")
 def beep_block(spark, sf_dir):
-    return spark.range(1).select(F.posexplode(signal.beep()).alias("i", "x")).select("i", (F.round("x", 6) + 0.0).alias("sample"))
+    """Blocks of 1024 samples, each its event's value, with a tone in place of the muted ones: the sum of samples times their places."""
+    rows = mute_events(spark, sf_dir)
+    gated = live.gate(rows.where("id % 3 <> 0"), rows.where("id % 3 = 0"))
+    values = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.array_repeat("value", signal.BLOCK).alias("samples"))
+    sounded = live.sounded(gated.join(values, "id"), beep=True)
+    weighed = F.aggregate(F.transform("samples", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return sounded.select("key", "id", (F.round(weighed, 4) + 0.0).alias("weighed"))
 
 
 @query("SELECT user_id AS key, round(10 * log10(avg(value * value)), 4) AS db FROM events GROUP BY user_id HAVING avg(value * value) > 0")
@@ -552,13 +564,24 @@ def rendered_blocks(spark, sf_dir):
     return made.select("clip", "out_block", F.size("samples").cast("bigint").alias("n"), (F.round(sums(lambda x, i: x * (i + 1)), 4) + 0.0).alias("weighed"), F.round(sums(lambda x: F.abs(x)), 4).alias("total"))
 
 
-_VECTORS = (("Dang,", None), (" hell", "heck"), ("WELL?", None), ("(damn)!", "dang"), ("half-ass.", "lazy"), ("_hell_", "heck"), ("HELL\n", "heck"), ("hell　", "heck"), (" hell ", "heck"), ("' hell'", None), ("“damn”", None), ("don't", None), ("--x--", None), ("", None))
+def _decorated(key: str, n: str) -> tuple[str, str]:
+    """A lexicon's key as it may stand in a transcript, by n: in SQL and as an expression of Spark."""
+    ways = [("' ' || {k}", "concat(' ', {k})"), ("upper({k}) || ','", "concat(upper({k}), ',')"), ("'(' || {k} || ')!'", "concat('(', {k}, ')!')"), ("'_' || {k} || chr(10)", "concat('_', {k}, char(10))"), ("chr(39) || ' ' || {k}", "concat(char(39), ' ', {k})"), ("'x' || {k}", "concat('x', {k})")]
+    return tuple(f"CASE {n} % {len(ways)} " + " ".join(f"WHEN {i} THEN {w[j].format(k=key)}" for i, w in enumerate(ways)) + " END" for j in (0, 1))
+
+
+_REAL = "packaged(key, replacement, i) AS (VALUES " + ", ".join(f"('{k}', '{r}', {i})" for i, (k, r, _) in enumerate(lexicon.packaged_rows())) + ")"
+_N_REAL = len(lexicon.packaged_rows())
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{v}')" for i, (_, v) in enumerate(_VECTORS) if v) + ") t(pos, replacement)")
+@query(f"""WITH {_REAL}, said AS (SELECT o_orderkey AS pos, {_decorated("key", "(o_orderkey // 7)")[0]} AS word FROM orders JOIN packaged ON i = o_orderkey % {_N_REAL})
+SELECT pos, word, replacement FROM (SELECT *, {_CLEAN} AS k FROM said) JOIN packaged ON k = key""")
 def real_lexicon_vectors(spark, sf_dir):
-    rows = spark.createDataFrame([("literal", i, w, 0.1 * i, 0.1 * i + 0.05) for i, (w, _) in enumerate(_VECTORS)], "clip string, pos bigint, word string, start double, end double")
-    return match.matches(rows, lexicon.packaged(spark)).select("pos", "replacement")
+    """Words of the packaged lexicon with what may stand around them, one for each order, matched against it; a quote and a blank within, or a letter
+    before, hide a word."""
+    said = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.element_at(F.array(*(F.lit(k) for k, _, _ in lexicon.packaged_rows())), (F.col("o_orderkey") % _N_REAL + 1).cast("int")).alias("said"))
+    rows = said.select(F.lit("orders").alias("clip"), "pos", F.expr(_decorated("said", "(pos div 7)")[1]).alias("word"), F.col("pos").cast("double").alias("start"), (F.col("pos") + 0.5).alias("end"))
+    return match.matches(rows, lexicon.packaged(spark)).select("pos", "word", "replacement")
 
 
 # Files and streams ---------------------------------------------------------------------------------------------------------
@@ -569,6 +592,19 @@ def media_catalog(spark, sf_dir):
     return catalog.media(spark, sf_dir, (".parquet",)).select("rel", "stem", "ext", "length")
 
 
+@query("""SELECT 'n' || s_nationkey || '/' || replace(s_name, '#', '.') || ['.MKV', '.mp3'][s_suppkey % 3 + 1] AS rel, 'n' || s_nationkey AS parent, replace(s_name, '#', '.') AS stem, ['.MKV', '.mp3'][s_suppkey % 3 + 1] AS ext, CAST(length(s_name) + s_suppkey % 50 AS BIGINT) AS length
+FROM supplier WHERE s_suppkey % 3 < 2""")
+def media_files(spark, sf_dir):
+    """The catalogue of files written for the suppliers, by nation, of which a third are no media."""
+    root = new_path(spark, "media")
+    key = F.col("s_suppkey")
+    ext = F.element_at(F.array(F.lit(".MKV"), F.lit(".mp3"), F.lit(".txt")), (key % 3 + 1).cast("int"))
+    data = F.concat("s_name", F.repeat(F.lit("-"), (key % 50).cast("int")))
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), "s_nationkey", F.lit("/"), F.replace("s_name", F.lit("#"), F.lit(".")), ext).alias("rel"), data.cast("binary").alias("data"))
+    adapters.save_files(rows, root)
+    return catalog.media(spark, root).select("rel", "parent", "stem", "ext", "length")
+
+
 @query(f"""WITH {_hits()} SELECT 'word' AS kind, clip, pos, word, round(s, 6) AS start_s, round(e, 6) AS end_s, NULL AS replacement FROM words
 UNION ALL SELECT 'match', clip, CAST(row_number() OVER (PARTITION BY clip ORDER BY pos) - 1 AS BIGINT), word, round(s, 6), round(e, 6), replacement FROM hits
 UNION ALL SELECT 'manifest', CAST(o_orderkey AS VARCHAR), 0, ['censored', 'clean', 'skipped', 'error'][o_orderkey % 4 + 1], NULL, NULL, NULL FROM orders""")
@@ -609,7 +645,8 @@ def manifest_resumed(spark, sf_dir):
     return slices.in_slices(rows, work(False), log, shape, slices=4)
 
 
-@query()
+@query(r"""WITH named AS (SELECT CAST(p_partkey AS VARCHAR) AS clip, string_split(replace(trim(regexp_replace(p_name, '[^\p{L}\p{N}_-]', '_', 'g'), '_'), '-', '_'), '_') AS ws FROM part)
+SELECT clip, unnest(range(len(ws))) AS pos, unnest(ws) AS word, 0.4::DOUBLE * unnest(range(len(ws))) AS start, 0.4::DOUBLE * unnest(range(len(ws))) + 0.3::DOUBLE AS "end" FROM named""")
 def recognised_clips(spark, sf_dir):
     """The recogniser's surface, with its stand-in, over part names as paths."""
     clips = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("clip"), F.concat(F.lit("clips/"), text.safe_name(F.col("p_name")), F.lit(".wav")).alias("path"))
@@ -660,9 +697,12 @@ def stream_chunks(spark, sf_dir):
     return _streamed(spark, sf_dir, streams.asr_chunks)
 
 
-@query()
+@query(f"""WITH {_MUTES}, {_KEYED}, whole AS (SELECT key, id, now_us, dur_us // 1000 * 1000 AS dur_us FROM keyed), {_deadlines('whole')}
+SELECT key, min(now_us) AS from_us, max(until_us) AS until_us, CAST(count(*) AS BIGINT) AS n_hits FROM islands GROUP BY key, island HAVING max(until_us) <= (SELECT max(now_us) // 1000 * 1000 - 10000000 FROM keyed)""")
 def stream_sessions(spark, sf_dir):
-    return _streamed(spark, sf_dir, streams.mute_sessions)
+    """The sessions that the watermark has closed, ten seconds behind the last hit."""
+    found = _streamed(spark, sf_dir, streams.mute_sessions)
+    return found.select("key", F.unix_micros("from_at").alias("from_us"), F.unix_micros("until_at").alias("until_us"), "n_hits")
 
 
 @query(f"""WITH {_MUTES}, {_KEYED}, third AS (SELECT * FROM keyed WHERE id % 3 = 0), {_deadlines('third')}, b AS (SELECT * FROM keyed WHERE id % 3 <> 0)

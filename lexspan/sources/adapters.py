@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lexspan.schema import SEGMENTS
+from lexspan.sources.files import opened, put
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -109,19 +110,12 @@ def save_clips(hits: DataFrame, speech: DataFrame, folder: str) -> DataFrame:
     length) of what was written, the files that a timeline may use. A file is whole once it has its name, and writing it again changes nothing."""
 
     def task(batches: Batches) -> Batches:
-        import uuid
-
-        from pyarrow import fs
-
-        files, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        files, root = opened(folder)
         for batch in batches:
             lengths = []
             for clip, filename, audio in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 files.create_dir(f"{root}/{clip}")
-                part = f"{root}/{clip}/.{filename}-{uuid.uuid4().hex}"
-                with files.open_output_stream(part) as out:
-                    out.write(audio)
-                files.move(part, f"{root}/{clip}/{filename}")
+                put(files, f"{root}/{clip}/{filename}", audio)
                 lengths.append(len(audio))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, type=pa.int64())], names=["clip", "filename", "length"])
 
@@ -129,6 +123,20 @@ def save_clips(hits: DataFrame, speech: DataFrame, folder: str) -> DataFrame:
     return hits.join(made, "replacement").select("clip", "filename", "audio").mapInArrow(task, "clip string, filename string, length bigint")
 
 
+def save_files(rows: DataFrame, folder: str) -> int:
+    """Writes data of rows(rel, data) as folder/rel; gives the number of files."""
+
+    def task(batches: Batches) -> Batches:
+        files, root = opened(folder)
+        for batch in batches:
+            for rel, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                files.create_dir(f"{root}/{rel}".rpartition("/")[0])
+                put(files, f"{root}/{rel}", data)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], type=pa.int64())], names=["n"])
+
+    return rows.select("rel", "data").mapInArrow(task, "n bigint").groupBy().sum("n").first()[0] or 0
+
+
 def probe(clips: DataFrame, make: Callable[[], Callable[[str], tuple[float, int, int, bool]]]) -> DataFrame:
     """(clip, duration_s, sample_rate, channels, has_video) of clips(clip, path); a clip that fails has no duration, 44100 Hz, two
     channels and no video."""
