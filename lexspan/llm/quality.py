@@ -28,8 +28,18 @@ from lexspan.llm.common import arrow, as_batch, id_text, over_columns, rows_of
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BARS = ("|", "»", "›", ">", "/", "·", "•")
-NAVIGATION = ("home", "menu", "login", "log in", "logout", "log out", "sign in", "sign up", "register", "next", "previous", "share", "search", "sitemap", "subscribe", "contact us", "about us", "skip to content", "back to top", "read more")
-BOILERPLATE = ("all rights reserved", "copyright ©", "privacy policy", "terms of use", "terms of service", "cookie policy", "we use cookies", "enable javascript", "lorem ipsum", "unsubscribe")
+NAVIGATION = (
+    *("home", "menu", "login", "log in", "logout", "log out", "sign in", "sign up", "register", "next", "previous", "share", "search", "sitemap", "subscribe", "contact us", "about us", "skip to content", "back to top", "read more"),
+    *("accueil", "connexion", "déconnexion", "s'inscrire", "suivant", "précédent", "partager", "rechercher", "plan du site", "contactez-nous", "à propos", "À propos", "lire la suite", "haut de page"),
+    *("startseite", "anmelden", "abmelden", "registrieren", "weiter", "zurück", "teilen", "suche", "kontakt", "über uns", "Über uns", "nach oben", "weiterlesen"),
+    *("inicio", "iniciar sesión", "cerrar sesión", "registrarse", "siguiente", "anterior", "compartir", "buscar", "mapa del sitio", "contáctenos", "sobre nosotros", "leer más", "volver arriba"),
+)
+BOILERPLATE = (
+    *("all rights reserved", "copyright ©", "privacy policy", "terms of use", "terms of service", "cookie policy", "we use cookies", "enable javascript", "lorem ipsum", "unsubscribe"),
+    *("tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "nous utilisons des cookies", "se désabonner"),
+    *("alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookie-richtlinie", "impressum", "wir verwenden cookies"),
+    *("todos los derechos reservados", "política de privacidad", "términos de uso", "condiciones de uso", "usamos cookies", "aviso legal", "darse de baja"),
+)
 _NAV = re.compile("|".join(map(re.escape, NAVIGATION)))
 _BOILER = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _SPACES = " \t\n\x0b\x0c\r"

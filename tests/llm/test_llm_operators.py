@@ -703,6 +703,12 @@ def test_chunks_dealt_to_tasks(spark, small, plain):
 # Quality rules
 
 
+@pytest.mark.parametrize("line", ["Accueil > Plan du site", "Startseite Kontakt Über uns", "Inicio, Buscar, Iniciar sesión", "Tous droits réservés.", "Alle Rechte vorbehalten 2020", "© Todos los derechos reservados", "Impressum"])
+def test_quality_terms_of_other_languages(line):
+    assert quality.line_fails(line)
+    assert not quality.line_fails(f"une phrase entière qui parle longuement de tout ce que dit {line} et de bien autre chose encore")
+
+
 def brute_quality(text):
     found = [(m.start(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
     ws = [w for _, w in found]
