@@ -16,6 +16,7 @@ from lexspan.functions import signal, text
 from lexspan.operators import live, loudness, manifest, match, render, timeline
 from lexspan.plans import slices
 from lexspan.sources import adapters, catalog, files, lexicon, transcripts
+from lexspan.streaming import blocklog
 from lexspan.streaming import live as streams
 from lexspan.work import new_path
 
@@ -716,6 +717,19 @@ def stream_delay(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda rows: streams.delayed_blocks(rows, 5))
 
 
+@query(f"WITH {_MUTES}, {_KEYED} SELECT key, id, lag(id, 5) OVER (PARTITION BY key ORDER BY now_us, id) AS out_id FROM keyed")
+def stream_log(spark, sf_dir):
+    """Blocks written to a log by one stream and played from it, with a delay, into another by a second one that is started twice."""
+    path = new_path(spark, "log")
+    rows = mute_events(spark, sf_dir).select((F.col("key") % 50).alias("key"), "id", "now_us", F.col("now_us").alias("at_us"))
+    recorded = _dropped(rows, path, _quarters(spark, sf_dir))
+    blocklog.play(recorded, f"{path}/recorded", f"{path}/state", once=True).awaitTermination()
+    for _ in range(2):
+        delayed = streams.delayed_blocks(blocklog.stream(spark, f"{path}/recorded", "key bigint, id bigint, now_us bigint"), 5)
+        blocklog.play(delayed, f"{path}/played", f"{path}/playing", once=True).awaitTermination()
+    return blocklog.read(spark, f"{path}/played", "key bigint, id bigint, out_id bigint")
+
+
 @query("SELECT user_id % 50 AS key, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
 def stream_ticker(spark, sf_dir):
     """The last running count of each key."""
