@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -15,19 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. It is set here only where it is unset and all tasks run in this
-    process (tests); on a cluster a folder of one machine would lose data, so there it has to be named."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        ctx = spark.sparkContext
-        if ctx._jsc.sc().getCheckpointDir().isEmpty():
-            if not (ctx.master == "local" or ctx.master.startswith("local[")):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            ctx.setCheckpointDir(tempfile.mkdtemp(prefix="lexspan-"))
-        found = ctx._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
+from lexspan.work import shared_dir
 
 
 @contextmanager

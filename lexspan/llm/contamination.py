@@ -191,6 +191,8 @@ def find(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, bits:
     by_row = met.select("row", "start", "stretch").join(hit, "stretch").groupBy("row").agg(F.array_sort(F.flatten(F.collect_list(moved))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sets")))).alias("sets"))
     hits = work.put("hits", by_row.select("row", "spans", "sets", F.sha2(F.array_join("sets", ","), 256).alias("item_set")))
 
+    work.drop("shingles", "stretches", "occurrences", "hit")
+
     sets = wins.groupBy("set").agg(F.first("items").alias("items"))
     asked = hits.select("item_set", "sets").distinct().select("item_set", F.explode("sets").alias("set"))
     item_sets = asked.join(sets, "set").groupBy("item_set").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"))
