@@ -5,7 +5,8 @@
   plan WORDS OUT           transcripts to the edit timeline; --lead-in-ms, --total-ms, --files (a folder of generated clips)
   simulate WORDS           muted words, seconds and share of each clip
   batch WORDS OUT          the manifest of a folder of transcripts, as JSON lines, up to the first that fails; --continue-on-error, --skip-existing (by
-                           the manifest in OUT), --copy-clean (OUT-copied lists the originals to copy), --dry-run (each match as OK or MISSING, nothing written)
+                           the manifest in OUT), --copy-clean (OUT-copied lists the originals to copy), --dry-run (each match as OK or MISSING, nothing written),
+                           --log FOLDER (clips go in slices whose records are committed there, errors too; a run that was killed goes on)
   status MANIFEST          records by status
 
 Exit codes: 0 done, 1 failed, 2 input missing.
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from lexspan.functions.signal import FADE_MS
 from lexspan.functions.text import name, parent, to_ms
 from lexspan.operators import live, manifest, match, timeline
-from lexspan.plans import flows
+from lexspan.plans import flows, slices
+from lexspan.schema import MANIFEST
 from lexspan.sources import catalog, lexicon, transcripts
 from lexspan.work import new_path
 
@@ -48,6 +50,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
             one.add_argument("--continue-on-error", action="store_true")
             one.add_argument("--copy-clean", action="store_true")
             one.add_argument("--dry-run", action="store_true")
+            one.add_argument("--log", help="a folder where what is done is committed slice by slice, and where a later run goes on")
+            one.add_argument("--slices", type=int, default=16)
         if step == "plan":
             one.add_argument("--crossfade-ms", type=int, default=FADE_MS, help="length of the fades of gaps; 0: none")
             one.add_argument("--lead-in-ms", type=int, help="the same for all words; default: by first letter")
@@ -87,9 +91,14 @@ def _batch(spark: SparkSession, args: argparse.Namespace, lex: DataFrame) -> Dat
         done = transcripts.read_manifest(spark, args.out).where("relative is not null and status <> 'error'")
     except AnalysisException:
         done = spark.createDataFrame([], "relative string")
-    rows = flows.batch(segments, lex, files, done, args.skip_existing, args.continue_on_error)
+    if args.log:
+        inputs = segments.withColumn("relative", F.concat("clip", F.lit(".json")))
+        none = spark.createDataFrame([], "relative string")
+        rows = slices.in_slices(inputs, lambda part: flows.batch(part.drop("relative"), lex, files, none, False, True).drop("idx"), args.log, MANIFEST, slices=args.slices)
+    else:
+        rows = flows.batch(segments, lex, files, done, args.skip_existing, args.continue_on_error).drop("idx")
     new = new_path(spark, "manifest")
-    transcripts.write_manifest(rows.drop("idx"), new)  # what was there is read until the new one is whole
+    transcripts.write_manifest(rows, new)  # what was there is read until the new one is whole
     rows = transcripts.read_manifest(spark, new)
     rows.write.mode("append" if args.skip_existing else "overwrite").json(args.out)
     if args.copy_clean:

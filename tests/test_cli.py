@@ -40,3 +40,8 @@ def test_batch(spark, tmp_path):
     (tmp_path / "f" / "none.wav").write_bytes(b"1")
     assert [r["state"] for r in run(spark, arguments(["batch", w, f"{out}2", "--dry-run", "--files", f"{tmp_path}/f"])).collect()] == ["MISSING"]
     assert not (tmp_path / "out2").exists()
+    logged = ("--log", f"{tmp_path}/log", "--slices", "2")
+    assert status(f"{out}3", *logged) == {"a": "censored", "b": "error", "c": "clean", "d": "clean"}
+    (tmp_path / "w" / "e.json").write_text("[]")
+    assert status(f"{out}4", *logged) == {"a": "censored", "b": "error", "c": "clean", "d": "clean", "e": "clean"}
+    assert len(list((tmp_path / "log").glob("slice-*"))) == 4
