@@ -300,14 +300,15 @@ def groups(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """Of each group one row stays: that of smallest id; of texts that share an id, that of least text hash; of equal rows, any. Documents without
-    an id come after all others, by text hash."""
+    """Of each group one row stays: that of smallest id; of equal rows, any. Texts that share an id with another text come after the documents whose
+    id is theirs alone, by id and text hash, and texts without an id come last."""
     work = Tables(docs.sparkSession, "simhash-drop")
     key = spare(docs.columns, "key")
     rows = keyed(docs, namesakes(docs, work), key)
     found = grouped(rows.select(F.col(key).alias("doc_id"), "text"), work, radius, words).groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("n"))
     named = work.put("rows", found.withColumnRenamed("doc_id", key))
-    left = rows.join(named.where(F.col(key) > F.col("first")).select(key), key, "left_anti")
+    # a merge join at every size, so that the plan does not change as tables grow
+    left = rows.join(named.where(F.col(key) > F.col("first")).select(key).hint("merge"), key, "left_anti")
     repeated = work.put("repeated", named.where((F.col(key) == F.col("first")) & (F.col("n") > 1)).select(key))
     if not repeated.isEmpty():
         left = left.join(repeated, key, "left_anti").unionByName(rows.join(repeated, key).dropDuplicates([key]).select(*map(quoted, rows.columns)))
