@@ -14,7 +14,6 @@ texts of any length are read whole.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from lexspan.llm.common import arrow, as_batch, id_text, over_columns, rows_of
 
-# The symbols, separators and phrases of the rules, the phrases as one pattern that Python and RE2 read alike.
+# The symbols, separators and phrases of the rules.
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BARS = ("|", "»", "›", ">", "/", "·", "•")
@@ -40,8 +39,6 @@ BOILERPLATE = (
     *("alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookie-richtlinie", "impressum", "wir verwenden cookies"),
     *("todos los derechos reservados", "política de privacidad", "términos de uso", "condiciones de uso", "usamos cookies", "aviso legal", "darse de baja"),
 )
-_NAV = re.compile("|".join(map(re.escape, NAVIGATION)))
-_BOILER = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _SPACES = " \t\n\x0b\x0c\r"
 
 FIELDS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_bad_lines long, lost_chars long"
@@ -87,7 +84,7 @@ def line_fails(line: str, rules: LineRules = LineRules()) -> bool:
         if bars >= rules.min_bars and 100 * bars >= rules.bar_share * n:
             return True
     low = _ascii_lower(line)
-    nav, boiler = n <= rules.nav_words and _NAV.search(low), _BOILER.search(low)
+    nav, boiler = n <= rules.nav_words and any(t in low for t in NAVIGATION), any(t in low for t in BOILERPLATE)
     if nav or boiler:
         bare = "".join(f" {x.strip(PUNCTUATION)} " for x in b" ".join(words).lower().decode().split(" "))
         if nav and 100 * _words_in(NAVIGATION, bare) >= rules.nav_share * n or boiler and 100 * _words_in(BOILERPLATE, bare) >= rules.boiler_share * n:
