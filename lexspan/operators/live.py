@@ -26,15 +26,15 @@ def windows(hits: DataFrame, most: int = MOST) -> DataFrame:
     return deadlines(hits, most).groupBy("key", "island").agg(F.min("now_us").alias("from_us"), F.max("until_us").alias("until_us"), F.count(F.lit(1)).alias("n_hits"))
 
 
-def gate(blocks: DataFrame, hits: DataFrame, delay_us: int = 0, most: int = MOST) -> DataFrame:
-    """blocks(key, id, now_us) with muted: whether a deadline set at or before the time that the block plays, `delay_us` after now_us, is later
-    than it. Both go through one ordered scan, whose running maximum is the deadline, so no pair of block and hit is made."""
+def gate(blocks: DataFrame, hits: DataFrame, delay_us: int = 0, most: int = MOST, carried: tuple[str, ...] = ()) -> DataFrame:
+    """blocks(key, id, now_us) with the `carried` columns and muted: whether a deadline set at or before the time that the block plays, `delay_us` after
+    now_us, is later than it. Both go through one ordered scan, whose running maximum is the deadline, so no pair of block and hit is made."""
     least = F.lit(int(LEAST_MUTE_S * 1_000_000)).cast("bigint")
     marks = hits.select("key", "id", "now_us", F.lit(0).alias("kind"), (F.col("now_us") + F.greatest(least, F.col("dur_us"))).alias("until_us"))
-    playing = blocks.select("key", "id", (F.col("now_us") + delay_us).alias("now_us"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("until_us"))
-    both = scan(playing.unionByName(marks), "key", ("now_us", "kind", "id"), most)
+    playing = blocks.select("key", "id", (F.col("now_us") + delay_us).alias("now_us"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("until_us"), *carried)
+    both = scan(playing.unionByName(marks, allowMissingColumns=True), "key", ("now_us", "kind", "id"), most)
     seen = both.running_max(F.col("until_us"), "until").rows.where("kind = 1")
-    return seen.select("key", "id", (F.col("now_us") - delay_us).alias("now_us"), F.coalesce(F.col("now_us") < F.col("until"), F.lit(False)).alias("muted"))
+    return seen.select("key", "id", (F.col("now_us") - delay_us).alias("now_us"), *carried, F.coalesce(F.col("now_us") < F.col("until"), F.lit(False)).alias("muted"))
 
 
 def sounded(blocks: DataFrame, beep: bool = False) -> DataFrame:
