@@ -79,8 +79,15 @@ def simulate(hits: DataFrame, clips: DataFrame) -> DataFrame:
     return by.join(clips.select("clip", "duration_s"), "clip").withColumn("share", 100 * F.col("muted_s") / F.nullif(F.col("duration_s"), F.lit(0.0)))
 
 
+#: Blocks to a stretch of overlapping_blocks.
+STRETCH = 64
+
+
 def overlapping_blocks(ranges: DataFrame, blocks: DataFrame, length_us: int) -> DataFrame:
-    """ranges(key, id, from_us, until_us) with the blocks(key, block_no) of equal length that they touch: each range names its block
-    numbers, so the join is by equality."""
-    numbers = F.sequence(F.floor(F.col("from_us") / length_us), F.floor((F.col("until_us") - 1) / length_us))
-    return ranges.where("until_us > from_us").withColumn("block_no", F.explode(numbers)).join(blocks, ["key", "block_no"])
+    """ranges(key, id, from_us, until_us) with the blocks(key, block_no) of equal length that they touch: each range names the stretches of 64 blocks that
+    it touches, so the join is by equality, and of its two outer stretches the blocks that it does not reach go. Both sides are merged whatever their size:
+    rows that an array is made into are many more than a plan expects, and must not be broadcast."""
+    first, last = F.floor(F.col("from_us") / length_us), F.floor((F.col("until_us") - 1) / length_us)
+    named = ranges.where("until_us > from_us").withColumn("_stretch", F.explode(F.sequence(F.floor(first / STRETCH), F.floor(last / STRETCH))))
+    dealt = blocks.withColumn("_stretch", F.floor(F.col("block_no") / STRETCH))
+    return named.hint("merge").join(dealt, ["key", "_stretch"]).where((F.col("block_no") >= first) & (F.col("block_no") <= last)).drop("_stretch")

@@ -21,3 +21,18 @@ def test_beep_block_joins_no_samples(spark, small):
     loud = {r["id"]: r["value"] * 524800 for r in gated.where("not muted").collect()}
     found = {r["id"]: r["weighed"] for r in made.collect()}
     assert loud and all(found[i] == pytest.approx(x, abs=1e-3) for i, x in loud.items())
+
+
+def test_overlapping_blocks_by_stretches(spark):
+    """Ranges were made into their single block numbers and broadcast; each block still counts once, at the edges of stretches too."""
+    rows = [(k, i, a, a + n) for k in (1, 2) for i, (a, n) in enumerate([(0, 1), (-5, 5), (-130, 1300), (639, 1), (639, 2), (5, 0), (100, 6400), (1279, 2), (-6400, 12800)])]
+    ranges = spark.createDataFrame(rows, "key bigint, id bigint, from_us bigint, until_us bigint")
+    blocks = spark.range(-200, 700, 3).select(F.explode(F.array(F.lit(1).cast("bigint"), F.lit(3).cast("bigint"))).alias("key"), F.col("id").alias("block_no"))
+    made = live.overlapping_blocks(ranges, blocks, 10)
+    assert set(made.columns) == {"key", "id", "from_us", "until_us", "block_no"}
+    want = sorted((k, i, b) for k, i, a, z in rows for b in range(-200, 700, 3) if k == 1 and z > a and b * 10 < z and (b + 1) * 10 > a)
+    assert sorted((r["key"], r["id"], r["block_no"]) for r in made.collect()) == want
+    assert "BroadcastHashJoin" not in plan(made)
+    long = ranges.select("key", "id", F.lit(0).alias("from_us"), F.lit(640_000).alias("until_us"))
+    named = live.overlapping_blocks(long, blocks, 10)
+    assert "_stretch" not in named.columns and named.count() == 9 * 233
