@@ -36,3 +36,25 @@ def test_overlapping_blocks_by_stretches(spark):
     long = ranges.select("key", "id", F.lit(0).alias("from_us"), F.lit(640_000).alias("until_us"))
     named = live.overlapping_blocks(long, blocks, 10)
     assert "_stretch" not in named.columns and named.count() == 9 * 233
+
+
+def test_range_volume_joins_no_samples(spark):
+    """Blocks were joined to the ranges' ends and broadcast, as Spark expects few of them; scans in segments give the same."""
+    from lexspan.operators import loudness
+
+    n = spark.range(3).select(F.col("id").cast("string").alias("clip"), F.explode(F.sequence(F.lit(0), F.col("id") * 20)).alias("block_no"))
+    blocks = n.withColumn("samples", F.transform(F.sequence(F.lit(0), F.when(F.col("block_no") == F.col("clip").cast("int") * 20, 4).otherwise(15)), lambda i: (F.col("block_no") * 16 + i) % 7 / 8))
+    rows = [(c, p, s / 100, e / 100) for c in "0123" for p, (s, e) in enumerate([(0, 16), (0, 5), (3, 200), (16, 32), (100, 105), (319, 330), (320, 325), (324, 360), (400, 500), (7, 8)])]
+    made = loudness.range_volume(spark.createDataFrame(rows, "clip string, pos bigint, start double, end double"), blocks, 100, 16)
+    assert "BroadcastHashJoin" not in plan(made)
+
+    def power(c, s, e):
+        x = [i % 7 / 8 for i in range(int(s * 100), min(int(e * 100), int(c) * 320 + 5 if c < "3" else 0))]
+        return sum(v * v for v in x) / len(x) if x and e - s > 0.02 else 0
+
+    for most in (1 << 20, 4):
+        found = loudness.range_volume(spark.createDataFrame(rows, "clip string, pos bigint, start double, end double"), blocks, 100, 16, most).collect()
+        assert len(found) == len(rows)
+        for r in found:
+            want = power(r["clip"], r["start"], r["end"])
+            assert r["db"] is None if want == 0 else 10 ** (r["db"] / 10) == pytest.approx(want), r
