@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexspan import queries
-from lexspan.operators import live
+from lexspan.operators import live, render
 
 
 def plan(frame) -> str:
@@ -77,3 +77,52 @@ def test_plain_files_lists_folders(spark, small):
     """Each clip's file was a path of its own, which the driver listed one by one; now the two folders are."""
     found = re.findall(r"InMemoryFileIndex\((\d+) paths\)", plan(queries.plain_files(spark, small)))
     assert found and set(found) == {"1"}
+
+
+def test_rendered_blocks_makes_words_once(spark, small):
+    """Words were taken apart and put in order for each of six uses, and samples were joined block by block."""
+    made = plan(queries.rendered_blocks(spark, small))
+    assert "posexplode" not in made and "row_number" not in made
+    assert "stretch" in made
+    totals = {r["clip"]: r["total_ms"] for r in queries.totals(queries.words_of(spark, small)).collect()}
+    assert totals and totals == {r["clip"]: r["total_ms"] for r in queries._turn_totals(spark, small).collect()}
+
+
+def test_render_by_stretches(spark):
+    """Pieces are cut at stretches of 64 blocks of the source and of the output; blocks that lack, are short or too long, and what follows."""
+    rate, block = 1000, 16
+
+    def sample(c, b):
+        size = {3: 0, 70: 5, 90: 40}.get(b, block)
+        return [((b * block + i) * 7 % 13 + int(c)) / 16 for i in range(size)]
+
+    had = {c: [b for b in range(200) if b % 41 != 7] if c == "1" else list(range(150)) for c in "12"}
+    blocks = spark.createDataFrame([(c, b, sample(c, b)) for c in had for b in had[c]], "clip string, block_no bigint, samples array<double>")
+    said = {("1", 1): [0.0] * 30 + [0.5, 0.25] * 600, ("1", 2): [0.0] * 40, ("2", 1): [0.75] * 25}
+    speech = spark.createDataFrame([(c, m, b, x[b * block : (b + 1) * block]) for (c, m), x in said.items() for b in range(-(-len(x) // block))], "clip string, match_pos bigint, block_no bigint, samples array<double>")
+    gains = spark.createDataFrame([("1", 1, 6.0), ("2", 1, -3.5)], "clip string, match_pos bigint, gain_db double")
+    rows = [("1", 0, "gap", 5, 1500, 1), ("1", 1, "silence", 1500, 1510, 1), ("1", 2, "replacement", 1510, 3010, 1), ("1", 3, "gap", 1000, 1039, 2), ("1", 4, "replacement", 1039, 1339, 2), ("1", 5, "replacement", 1339, 1400, 3), ("1", 6, "final", 1400, 3300, None), ("2", 0, "replacement", 0, 77, 1), ("2", 1, "final", 77, 2500, None)]
+    shape = spark.createDataFrame(rows, "clip string, seq bigint, kind string, src_start_ms bigint, src_end_ms bigint, match_pos bigint")
+    want = {}
+    for c, _, kind, start, end, m in rows:
+        d = (end - start) / 1000
+        x = said.get((c, m), [])
+        loud = [i for i, v in enumerate(x) if abs(v) > render.QUIET]
+        heard = x[max(0, loud[0] - 10) : loud[-1] + 11] if loud else []
+        fade = min(0.02, d / 4)
+        for j in range(end - start):
+            t, v = j / rate, 0.0
+            if kind in ("gap", "final"):
+                b, i = divmod(start + j, block)
+                v = (sample(c, b)[:block] + [0.0] * block)[i] if b in had[c] else 0.0
+                if kind == "gap" and end - start > 40 and t > (end - start - 20) / 1000:
+                    v *= max(0.0, 1 - (t - (end - start - 20) / 1000) / 0.02)
+            elif kind == "replacement" and j < len(heard):
+                v = heard[j] * 10 ** ({("1", 1): 6.0, ("2", 1): -3.5}.get((c, m), 0.0) / 20) * min(1.0, t / fade) * (max(0.0, 1 - (t - (d - fade)) / fade) if t > d - fade else 1)
+            want.setdefault(c, []).append(v)
+    for most in (1 << 20, 3):
+        found = {}
+        for r in sorted(render.render(shape, blocks, speech, gains, rate, block, most=most).collect(), key=lambda r: (r["clip"], r["out_block"])):
+            assert len(found.setdefault(r["clip"], [])) == r["out_block"] * block
+            found[r["clip"]] += r["samples"]
+        assert found == {c: pytest.approx(x, abs=1e-12) for c, x in want.items()}
