@@ -126,3 +126,15 @@ def test_render_by_stretches(spark):
             assert len(found.setdefault(r["clip"], [])) == r["out_block"] * block
             found[r["clip"]] += r["samples"]
         assert found == {c: pytest.approx(x, abs=1e-12) for c, x in want.items()}
+
+
+def test_stream_hits_has_files_as_words(spark, small, tmp_path, monkeypatch):
+    """Each stretch of the words was two files, whatever their number, so one task read half of it."""
+    dropped = queries._dropped
+    monkeypatch.setattr(queries, "new_path", lambda spark, label: str(tmp_path))
+    monkeypatch.setattr(queries, "_dropped", lambda *a: dropped(*a, file_rows=500))
+    found = queries.stream_hits(spark, small)
+    words = queries.words_of(spark, small)
+    most = max(words.where(x).count() for x in ("pos < 50", "pos >= 50 and pos < 200", "pos >= 200"))
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == 3 * -(-most // 500) > 6
+    assert sorted((r["clip"], r["pos"]) for r in found.collect()) == sorted((r["clip"], r["pos"]) for r in queries.hits_of(spark, small).collect())
